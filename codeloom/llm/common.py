@@ -81,3 +81,18 @@ def int_lists(lists, kind=None) -> pa.Array:
     np.cumsum(sizes, out=offsets[1:])
     flat = np.concatenate([np.asarray(x, dtype=kind) for x in lists]) if len(lists) else np.zeros(0, dtype=kind)
     return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(flat))
+
+
+def put_file(folder: str, name: str, content: bytes) -> str:
+    """Write one file into a folder given as a URI that driver and executors share, whole or not at all; returns its URI."""
+    import uuid
+
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    store.create_dir(root, recursive=True)
+    part = f"{root}/_{uuid.uuid4().hex}.tmp"
+    with store.open_output_stream(part) as f:
+        f.write(content)
+    store.move(part, f"{root}/{name}")
+    return f"{folder.rstrip('/')}/{name}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import bpe, decontam, quality
+from codeloom.llm import bpe, decontam, license, packing, quality, warc
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -18,6 +18,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
@@ -26,7 +30,15 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op4_byte_bpe, op6_quality_rules)}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_token_packing, op4_byte_bpe, op6_quality_rules, op9_warc, op10_license_scan)}
 
 _OP2_SQL = r"""
 WITH norm AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' ') IF x <> ''] AS ws FROM documents),
@@ -41,4 +53,4 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(cov.n, 0) AS BI
   sha256(coalesce(names, '')) AS items_sha256, coalesce(its.n, 0) >= 2 AS contaminated
 FROM norm LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 """
-ORACLE_SQL = {"op2_decontamination": _OP2_SQL, "op6_quality_rules": quality.JUDGE_SQL}
+ORACLE_SQL = {"op2_decontamination": _OP2_SQL, "op6_quality_rules": quality.JUDGE_SQL, "op9_warc": warc.ROUND_TRIP_SQL}
