@@ -8,10 +8,10 @@ candidates, and every link is confirmed on the full sets of the two texts.
 How it scales:
 
 * Documents with equal sets form one node, so copies are sketched into one row per node by partial aggregation.
-* A bucket never turns into all its pairs. First all members are compared with one pivot. Then only members of different
-  components are left to compare; the members outside a bucket's largest component become pivots, a few at a time, and
-  leave the bucket when they have been compared with the rest. This ends when every bucket holds one component, so
-  every candidate pair is compared or already connected, however large the bucket is: there is no cap.
+* A bucket never turns into all its pairs. First all members are compared with one pivot, which connects most of a
+  group of copies. Then only members of different components are left to compare: those outside a bucket's largest
+  component are queries against all its members, in blocks of bounded size. So every candidate pair is compared or
+  already connected, however large the bucket is: there is no cap.
 * Links, labels and fingerprints stay in the cluster; only counts reach the driver. Rounds are cut by checkpoints.
 
 With 32 bands of 4 coordinates a pair of similarity 0.8 is missed by all bands with probability (1 - 0.8^4)^32 < 1e-7.
@@ -31,7 +31,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from codeloom.llm.bpe import sliced
 from codeloom.llm.common import cut, id_text, id_type, row_key, space_words
@@ -41,8 +40,8 @@ BINS = 128
 BANDS = 32
 #: Similarity as a fraction; a link needs den * intersection >= num * union.
 SIMILARITY = (80, 100)
-#: A bucket's open pairs up to which all pivots are used at once, and pivots a round beyond.
-OPEN_PAIRS, PIVOTS = 1024, 8
+#: Rows and queries that meet in one block of a bucket.
+BLOCK_ROWS, BLOCK_QUERIES = 2048, 256
 _VALUE = np.uint64(48)
 _MASK = np.uint64((1 << 48) - 1)
 
@@ -97,8 +96,9 @@ class Hasher:
             return np.zeros(0, dtype=np.uint64)
         if len(memo) > 500_000:
             memo.clear()
-        for w in set(words) - memo.keys():
-            memo[w] = xxhash.xxh3_64_intdigest(w)
+        for w in set(words):
+            if w not in memo:
+                memo[w] = xxhash.xxh3_64_intdigest(w)
         h = np.array([memo[w] for w in words], dtype=np.uint64)
         m = len(words) - n + 1
         out = np.full(m, n, dtype=np.uint64)
@@ -154,6 +154,50 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity:
     return full.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
+def across(members: DataFrame, texts: DataFrame, shingle_words: int, similarity: tuple[int, int]) -> DataFrame:
+    """Similar pairs (a, b) between different labels of a bucket, one for each node and other label.
+
+    members: ``bucket, node, label, size, outer, main``; main is the bucket's largest label, outer the number of members
+    of other labels. Those are the queries; they meet all members of the bucket in blocks of bounded size.
+    """
+    num, den = similarity
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(shingle_words)
+        for batch in batches:
+            yield pa.record_batch([batch.column("node"), pa.array([hasher.elements(space_words(t)).tobytes() for t in batch.column("text").to_pylist()], type=pa.binary())], names=["node", "elements"])
+
+    def compare(group: pa.Table) -> pa.Table:
+        role, node, label, sets = (group.column(c).to_pylist() for c in ("query", "node", "label", "elements"))
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in sets]
+        rows = [i for i, q in enumerate(role) if not q]
+        values, flat = np.unique(np.concatenate([sets[i] for i in rows]), return_inverse=True)
+        sizes = np.array([len(sets[i]) for i in rows])
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        names = [label[i] for i in rows]
+        out = []
+        for i, q in enumerate(role):
+            if q:
+                at = np.minimum(np.searchsorted(values, sets[i]), len(values) - 1)
+                mark = np.zeros(len(values), dtype=np.int32)
+                mark[at[values[at] == sets[i]]] = 1
+                both = np.add.reduceat(mark[flat], starts)
+                best: dict[bytes, int] = {}
+                for k in np.flatnonzero(den * both >= num * (len(sets[i]) + sizes - both)):
+                    if names[k] != label[i] and (names[k] not in best or both[k] > both[best[names[k]]]):
+                        best[names[k]] = k
+                out += [(node[i], node[rows[k]]) for k in best.values()]
+        return pa.table([pa.array([min(x) for x in out], type=pa.binary()), pa.array([max(x) for x in out], type=pa.binary())], names=["a", "b"])
+
+    sets = texts.join(members.select("node").distinct(), "node").select("node", "text").mapInArrow(hashed, "node binary, elements binary")
+    full = members.join(sets, "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK_ROWS)).withColumn("chunks", F.ceil(F.col("outer") / BLOCK_QUERIES))
+    some = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    queries = full.where("label <> main").select("bucket", F.lit(True).alias("query"), "node", "label", "elements", some("chunks", 1).alias("chunk"), every("blocks").alias("block"))
+    rows = full.select("bucket", F.lit(False).alias("query"), "node", "label", "elements", some("blocks", 2).alias("block"), every("chunks").alias("chunk"))
+    return queries.unionByName(rows).groupBy("bucket", "chunk", "block").applyInArrow(compare, "a binary, b binary").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, label``: the least node of each node's component, for the nodes of edges (a, b).
 
@@ -188,25 +232,14 @@ def groups(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, similarity: t
     pairs = cut(members.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
     edges = cut(verified(pairs, texts, shingle_words, similarity))
     labels = components(edges)
-    tested, members = pairs, members.select("bucket", "node")
-    while True:
-        named = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        parts = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        mixed = parts.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-        open_ = cut(named.join(mixed.select("bucket", "size", F.col("main.n").alias("main_n"), F.col("main.label").alias("main")), "bucket"))
-        if not open_.limit(1).count():
-            break
-        order = Window.partitionBy("bucket").orderBy("node")
-        outer = open_.where("label <> main").withColumn("rank", F.row_number().over(order))
-        pivots = cut(outer.where((F.col("rank") <= PIVOTS) | ((F.col("size") - F.col("main_n")) * F.col("size") <= OPEN_PAIRS)).select("bucket", F.col("node").alias("p"), F.col("label").alias("of")))
-        pairs = open_.join(pivots, "bucket").where("label <> of").select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
-        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = cut(tested.unionAll(pairs))
-        more = cut(verified(pairs, texts, shingle_words, similarity))
-        if more.limit(1).count():
-            edges = cut(edges.unionAll(more))
-            labels = components(edges)
-        members = open_.select("bucket", "node").join(pivots.select("bucket", F.col("p").alias("node")), ["bucket", "node"], "left_anti")
+    # What one bucket still holds in different components is compared in blocks; after that nothing is left open.
+    named = members.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    parts = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    mixed = mixed.select("bucket", "size", (F.col("size") - F.col("main.n")).alias("outer"), F.col("main.label").alias("main"))
+    more = cut(verified(across(cut(named.join(mixed, "bucket")), texts, shingle_words, similarity), texts, shingle_words, similarity))
+    if more.limit(1).count():
+        labels = components(edges.unionAll(more))
     least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     label = least.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     ids = label.groupBy("label").agg(F.min("least").alias("component"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import bpe, decontam, license, packing, quality, warc
+from codeloom.llm import bpe, decontam, license, minhash, packing, quality, warc
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -38,7 +42,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_token_packing, op4_byte_bpe, op6_quality_rules, op9_warc, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_decontamination, op3_token_packing, op4_byte_bpe, op6_quality_rules, op9_warc, op10_license_scan)}
 
 _OP2_SQL = r"""
 WITH norm AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' ') IF x <> ''] AS ws FROM documents),
