@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import bpe, decontam, license, minhash, packing, quality, warc
+from codeloom.llm import bpe, decontam, license, linedup, minhash, packing, quality, warc
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -34,6 +34,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
@@ -42,7 +46,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_decontamination, op3_token_packing, op4_byte_bpe, op6_quality_rules, op9_warc, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_decontamination, op3_token_packing, op4_byte_bpe, op6_quality_rules, op8_line_dedup, op9_warc, op10_license_scan)}
 
 _OP2_SQL = r"""
 WITH norm AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' ') IF x <> ''] AS ws FROM documents),
@@ -57,4 +61,4 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(cov.n, 0) AS BI
   sha256(coalesce(names, '')) AS items_sha256, coalesce(its.n, 0) >= 2 AS contaminated
 FROM norm LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 """
-ORACLE_SQL = {"op2_decontamination": _OP2_SQL, "op6_quality_rules": quality.JUDGE_SQL, "op9_warc": warc.ROUND_TRIP_SQL}
+ORACLE_SQL = {"op2_decontamination": _OP2_SQL, "op6_quality_rules": quality.JUDGE_SQL, "op8_line_dedup": linedup.REPORT_SQL, "op9_warc": warc.ROUND_TRIP_SQL}
