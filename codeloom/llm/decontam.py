@@ -151,5 +151,21 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """docs without the benchmark: rows with two items or more go; where one item occurs, its hit words are cut out.
+
+    Returns the columns of docs; ``text`` is changed in the rows with one item. ``find`` runs over the whole rows, so
+    nothing is joined: the row travels with its hits.
+    """
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), "text")
+    found = find(keyed.select("doc_id", "text"), benchmark, **options).where(F.size("items") < 2).select(F.col("doc_id").alias("row"), "hits")
+    text = F.col("row.text").cast("string")
+    first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    step = lambda acc, h: F.struct(h["stop"].alias("at"), F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (h["start"] - acc["at"]).cast("int"))).alias("out"))
+    rest = F.aggregate("hits", first, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    new = F.when(F.size("hits") > 0, rest).otherwise(text)
+    return found.select(*[(new if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
 def items_digest(names) -> str:
     return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()

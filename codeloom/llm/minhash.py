@@ -217,7 +217,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """``doc_id, k1, k2, n_shingles, component_id, kept`` for every row of docs."""
+    """``doc_id, k1, k2, n_shingles, component_id, group, kept`` for every row of docs; group is the component's own key."""
     rows = cut(profiles(docs, shingle_words))
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("k1", "k2")).alias("key"), F.first("buckets").alias("buckets"))
     members = nodes.select("node", F.explode("buckets").alias("bucket"))
@@ -243,12 +243,20 @@ def groups(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, similarity: t
     least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     label = least.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     ids = label.groupBy("label").agg(F.min("least").alias("component"))
-    of_node = label.join(ids, "label").select("node", "component")
+    of_node = label.join(ids, "label").select("node", "component", "label")
     full = rows.select("doc_id", "k1", "k2", "n_shingles", "node").join(of_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return full.select("doc_id", "k1", "k2", "n_shingles", component.alias("component_id"), F.col("node").isNotNull().alias("linked")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return full.select("doc_id", "k1", "k2", "n_shingles", component.alias("component_id"), F.coalesce("label", F.encode(F.concat_ws(",", "k1", "k2"), "UTF-8")).alias("group")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The result of op1: ``doc_id, n_shingles, component_id, kept`` for every row of docs."""
     return groups(docs, **options).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, with all their columns, of one document of each group: the one with the least id (null last)."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("first")
+    chosen = groups(docs, **options).groupBy("group").agg(first).select("first.k1", "first.k2")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key())
+    return rows.join(chosen, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("row.*")
