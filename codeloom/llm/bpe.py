@@ -42,7 +42,10 @@ class ByteBPE:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes_of = {b: a for a, b in ranks.items()}
         self._find = regex.compile(pattern)
-        self._merge = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self._merge = library._core_bpe.encode_single_piece
+        #: The library's own encoding of a whole text, for operators that need ids and no chunks.
+        self.encode_ordinary = library.encode_ordinary
         self._memo: dict[str, list[int]] = {}
 
     def ends(self, text: str) -> np.ndarray:

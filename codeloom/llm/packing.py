@@ -97,7 +97,7 @@ def pack(docs: DataFrame, rank_file: str, pattern: str, *, length: int = ROW_TOK
         for batch in batches:
             for some in sliced(batch):
                 for doc, text in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), strict=True):
-                    ids = np.array(bpe.encode(text), dtype=np.int32)
+                    ids = np.array(bpe.encode_ordinary(text), dtype=np.int32)
                     for k in range(0, len(ids), length):
                         parts.append(ids[k : k + length])
                         owner.append(doc)
