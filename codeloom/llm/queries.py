@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import bpe, decontam, license, linedup, minhash, packing, pii, quality, warc
+from codeloom.llm import bpe, decontam, license, linedup, minhash, packing, pii, quality, suffix, warc
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -38,6 +38,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.report(_table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.report(_table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_decontamination, op3_token_packing, op4_byte_bpe, op5_pii, op6_quality_rules, op8_line_dedup, op9_warc, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_decontamination, op3_token_packing, op4_byte_bpe, op5_pii, op6_quality_rules, op7_suffix_dedup, op8_line_dedup, op9_warc, op10_license_scan)}
 
 _OP2_SQL = r"""
 WITH norm AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' ') IF x <> ''] AS ws FROM documents),
