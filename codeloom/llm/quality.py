@@ -18,13 +18,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import cut, id_text
+from codeloom.llm.common import id_text
 
 _SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 #: Rows of the sample on which the cascade estimates cost and selectivity; they decide the order of evaluation only.
-SAMPLE_ROWS = 2_000
+SAMPLE_ROWS = 256
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -38,11 +38,8 @@ def text_of(c: str = "text") -> Column:
 
 def words(text: Column) -> Column:
     spaced = F.trim(F.translate(text, _SPACES, " " * len(_SPACES)))
-    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " +"))
-
-
-def n_words(text: Column) -> Column:
-    return F.size(words(text)).cast("long")
+    some = F.when(F.contains(spaced, F.lit("  ")), F.split(spaced, " +")).otherwise(F.split(spaced, " "))  # the plain split is the faster one
+    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(some)
 
 
 def word_chars(text: Column) -> Column:
@@ -61,8 +58,8 @@ def n_dup_lines(text: Column) -> Column:
     return let(lines_with_words(text), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
 
-def n_repeat_words(text: Column) -> Column:
-    """Words that stand in a three-word window found twice or more in the text."""
+def n_repeat_words(listed: Column) -> Column:
+    """Of listed words, how many stand in a three-word window found twice or more."""
 
     def covered(starts: Column) -> Column:
         first = F.struct(F.lit(-3).alias("at"), F.lit(0).alias("n"))
@@ -81,7 +78,7 @@ def n_repeat_words(text: Column) -> Column:
         some = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(repeats(h)))
         return F.when(F.size(w) < 4, 0).otherwise(some)
 
-    return let(words(text), of).cast("long")
+    return let(listed, of).cast("long")
 
 
 @dataclass(frozen=True)
@@ -92,15 +89,15 @@ class Rule:
     reject: Callable[[Callable[[str], Column]], Column]
 
 
-FEATURES: dict[str, Callable[[Column], Column]] = {
-    "n_words": n_words,
-    "word_chars": word_chars,
-    "n_symbols": lambda t: n_of(t, SYMBOLS),
-    "n_exclaims": lambda t: n_of(t, "!"),
-    "n_chars": lambda t: F.length(t).cast("long"),
-    "n_lines": lambda t: let(lines_with_words(t), lambda x: F.size(x).cast("long")),
-    "n_dup_lines": n_dup_lines,
-    "n_repeat_words": n_repeat_words,
+#: Features of a text and of the list of its words.
+FEATURES: dict[str, Callable[[Column, Column], Column]] = {
+    "n_words": lambda t, w: F.size(w).cast("long"),
+    "word_chars": lambda t, w: word_chars(t),
+    "n_symbols": lambda t, w: n_of(t, SYMBOLS),
+    "n_exclaims": lambda t, w: n_of(t, "!"),
+    "n_lines": lambda t, w: let(lines_with_words(t), lambda x: F.size(x).cast("long")),
+    "n_dup_lines": lambda t, w: n_dup_lines(t),
+    "n_repeat_words": lambda t, w: n_repeat_words(w),
 }
 BASE_RULES = [
     Rule("too_few_words", lambda f: f("n_words") < MIN_WORDS),
@@ -116,18 +113,19 @@ RULES = [
 ]
 
 
-def over(text: Column) -> Callable[[str], Column]:
-    return lambda name: FEATURES[name](text)
+def over(text: Column, listed: Column) -> Callable[[str], Column]:
+    return lambda name: FEATURES[name](text, listed)
 
 
 def ordered(docs: DataFrame, rules: list[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejection per cost, highest first, estimated on at most sample_rows rows."""
-    sample = cut(id_text(docs).select("text").limit(sample_rows))
-    text = text_of()
-    shares = sample.agg(F.count("*").alias("n"), *[F.count_if(r.reject(over(text))).alias(f"r{k}") for k, r in enumerate(rules)]).first()
+    """The rules by rejection per cost, highest first, estimated on the first sample_rows rows that a scan meets."""
+    texts = [(r.text,) for r in id_text(docs).select("text").head(sample_rows)]  # a bounded number
+    sample = docs.sparkSession.createDataFrame(texts, "text string").withColumn("listed", words(text_of()))
+    feature = over(text_of(), F.col("listed"))
+    shares = sample.agg(F.count("*").alias("n"), *[F.count_if(r.reject(feature)).alias(f"r{k}") for k, r in enumerate(rules)]).first()
     costs = []
     for r in rules:
-        plan = sample.agg(F.count_if(r.reject(over(text))))
+        plan = sample.agg(F.count_if(r.reject(feature)))
         began = time.perf_counter()
         plan.first()
         costs.append(max(time.perf_counter() - began, 1e-6))
@@ -135,9 +133,8 @@ def ordered(docs: DataFrame, rules: list[Rule] = RULES, sample_rows: int = SAMPL
     return [rules[k] for k in sorted(range(len(rules)), key=lambda k: (-rate[k], costs[k]))]
 
 
-def rejected_by(text: Column, rules: list[Rule], feature: Callable[[str], Column] | None = None) -> Column:
+def rejected_by(rules: list[Rule], feature: Callable[[str], Column]) -> Column:
     """The name of the first rule that rejects, or null; later rules aren't evaluated for that row."""
-    feature = feature or over(text)
     out = F.lit(None).cast("string")
     for r in reversed(rules):
         out = F.when(F.coalesce(r.reject(feature), F.lit(False)), F.lit(r.name)).otherwise(out)
@@ -147,18 +144,20 @@ def rejected_by(text: Column, rules: list[Rule], feature: Callable[[str], Column
 def judge(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """The result of op6 for every row of docs: the base counts, base_failed and kept."""
     rules = rules or ordered(docs)
-    text = text_of()
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    counted = id_text(docs).select("doc_id", "text", *[FEATURES[n](text).alias(n) for n in names])
-    known = lambda n: F.col(n) if n in names else FEATURES[n](text)
+    feature = over(F.col("text"), F.col("listed"))
+    listed = id_text(docs).select("doc_id", text_of().alias("text")).withColumn("listed", words(F.col("text")))
+    counted = listed.select("doc_id", "text", "listed", *[feature(n).alias(n) for n in names])
+    known = lambda n: F.col(n) if n in names else feature(n)
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return counted.select("doc_id", *names, base.alias("base_failed"), (~base & rejected_by(text, rules, known).isNull()).alias("kept"))
+    return counted.select("doc_id", *names, base.alias("base_failed"), (~base & rejected_by(rules, known).isNull()).alias("kept"))
 
 
 def keep(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """The rows of docs, with all their columns, that no rule rejects."""
     rules = rules or ordered(docs)
-    return docs.where(rejected_by(text_of(), rules).isNull())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_of().alias("text")).withColumn("listed", words(F.col("text")))
+    return rows.where(rejected_by(rules, over(F.col("text"), F.col("listed"))).isNull()).select("row.*")
 
 
 JUDGE_SQL = r"""
