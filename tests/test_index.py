@@ -234,3 +234,20 @@ def test_stats(spark):
     runs = spark.createDataFrame([(b, a, a == "v0.7", 10 * i, 5, False) for b in ("x", "y") for i, a in enumerate(["stock", "v0.5", "v0.6", "v0.7"])] + [("z", "stock", True, None, 5, False)], "block_id string, arm_id string, success boolean, tokens long, wall_ms long, excluded boolean")
     assert {(r.block_id, r.state) for r in stats.blocks(runs).collect()} == {("x", "matched"), ("y", "matched"), ("z", "incomplete")}
     assert stats.pairs(runs).count() == 12 and {r.claim for r in stats.claims(stats.pairs(runs)).collect()} == {"none"}
+
+
+def test_registry(spark, tmp_path):
+    from codeloom.plans.registry import Registry
+
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "m.py").write_text(f"def {name}():\n    pass\n")
+    reg = Registry(spark, f"file://{tmp_path}/store", most=1)
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    one = reg.get(a)
+    assert reg.get(a) is one
+    (tmp_path / "a/m.py").write_text("def changed():\n    pass\n")
+    reg.mark(a, "m.py")
+    assert [r.name for r in reg.get(a).symbols.collect()] == ["changed"]
+    reg.get(b)
+    assert list(reg._held) == [b]
