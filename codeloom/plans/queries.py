@@ -191,8 +191,8 @@ _SEED = "pid % 97 = 0"
 
 @query(
     f"""SELECT id, direction, other, resolution, call_line FROM (SELECT *, row_number() OVER (PARTITION BY id, direction ORDER BY o) AS k FROM (SELECT *, row_number() OVER (PARTITION BY id, direction, other ORDER BY o) AS n FROM (
-      SELECT e.source_id AS id, 'calls' AS direction, e.target_id AS other, e.resolution, e.call_line, (f.seq * 1000000 + e.seq) * 64 + e.rn AS o FROM numbered e JOIN files f ON e.call_file = f.path JOIN symbols s ON s.id = e.source_id WHERE {_SEED}
-      UNION ALL SELECT e.target_id, 'called-by', e.source_id, e.resolution, e.call_line, (f.seq * 1000000 + e.seq) * 64 + e.rn FROM numbered e JOIN files f ON e.call_file = f.path JOIN symbols s ON s.id = e.target_id WHERE {_SEED} AND e.source_id IS NOT NULL)) WHERE n = 1) WHERE k <= 8""",
+      SELECT e.source_id AS id, 'calls' AS direction, e.target_id AS other, e.resolution, e.call_line, (CAST(f.seq AS BIGINT) * 1000000 + e.seq) * 64 + e.rn AS o FROM numbered e JOIN files f ON e.call_file = f.path JOIN symbols s ON s.id = e.source_id WHERE {_SEED}
+      UNION ALL SELECT e.target_id, 'called-by', e.source_id, e.resolution, e.call_line, (CAST(f.seq AS BIGINT) * 1000000 + e.seq) * 64 + e.rn FROM numbered e JOIN files f ON e.call_file = f.path JOIN symbols s ON s.id = e.target_id WHERE {_SEED} AND e.source_id IS NOT NULL)) WHERE n = 1) WHERE k <= 8""",
     _EDGES_SQL + ", numbered AS (SELECT e.*, row_number() OVER (PARTITION BY e.call_file, e.seq ORDER BY t.file, t.line, t.kind, t.name, t.id) AS rn FROM edges e JOIN symbols t ON t.id = e.target_id)",
 )
 def neighbourhood(a):
