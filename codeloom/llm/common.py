@@ -10,8 +10,9 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
+import gc
 import tempfile
-from collections.abc import Iterable
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +43,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, *instead_of: DataFrame) -> DataFrame:
+    """Like ``cut``, but as a compressed table in the shared folder: for what is large beside the input.
+
+    Stored tables that df was made from and that nothing else needs (instead_of) are deleted.
+    """
+    spark = df.sparkSession
+    where = f"{shared_dir(spark).rstrip('/')}/codeloom-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(where)
+    jvm = spark.sparkContext._jvm
+    for old in instead_of:
+        path = jvm.org.apache.hadoop.fs.Path(old.stored_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    out = spark.read.schema(df.schema).parquet(where)
+    out.stored_at = where
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of plans that nobody holds any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``, or a local one if unset."""
     global _own_dir
@@ -67,10 +91,6 @@ def id_type(docs: DataFrame) -> str:
     return docs.schema["doc_id"].dataType.simpleString()
 
 
-def utf8_list(values: Iterable[bytes | str | None]) -> pa.Array:
-    return pa.array(list(values), type=pa.string())
-
-
 def int_lists(lists, kind=None) -> pa.Array:
     """A list array from many numpy arrays or lists of numbers, built without boxing each number."""
     import numpy as np
@@ -85,8 +105,6 @@ def int_lists(lists, kind=None) -> pa.Array:
 
 def put_file(folder: str, name: str, content: bytes) -> str:
     """Write one file into a folder given as a URI that driver and executors share, whole or not at all; returns its URI."""
-    import uuid
-
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")

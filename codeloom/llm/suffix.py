@@ -15,7 +15,7 @@ The suffixes of the contexts under one anchor are sorted by mergesort. Two suffi
 extension of their prefixes, found by binary search over prefix polynomial hashes, so a comparison takes O(log length)
 steps. Neighbours in the sorted order that agree in ``length`` bytes are repeated strings; every claim is verified on the
 bytes, and a block whose claims don't hold is sorted by its bytes instead. Anchors with more contexts than ``BLOCK`` are
-sorted in blocks; strings that are alone in their block meet those of the other blocks by a 128-bit hash range, packed.
+sorted in blocks; strings that are alone in their block meet those of the other blocks by ranges of another 64-bit hash, packed.
 
 Nothing is capped or sampled. A null text is empty; rows that repeat an id and text are separate places, so their strings
 of ``length`` bytes repeat; an empty table gives an empty result; other columns are ignored.
@@ -31,12 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import cut, id_text, id_type, row_key
+from codeloom.llm.bpe import sliced
+from codeloom.llm.common import id_text, id_type, release, row_key, stored
 from codeloom.llm.minhash import mix
 
 LENGTH = 400
 ANCHOR = 48
-BLOCK = 1024
+#: Contexts of one anchor that are sorted together: a few MB of text.
+BLOCK = 2048
+#: Bytes of text that are hashed at once.
+PIECE = 1_000_000
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -74,38 +78,20 @@ def _sliding(values: np.ndarray, width: int, better) -> np.ndarray:
     return better(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(data: np.ndarray, hashed: Hashed, length: int, gram: int) -> np.ndarray:
-    """Positions of the leftmost least gram of every string of length bytes."""
+def anchors(data: np.ndarray, hashed: Hashed, length: int, gram: int, valid: np.ndarray | None = None) -> np.ndarray:
+    """Positions of the leftmost least gram of every string of length bytes (of those whose starts are valid).
+
+    The place in the array takes the low bits of a gram's hash, so a plain minimum finds the leftmost one.
+    """
+    bits = _U(max(1, len(data).bit_length()))
     grams = mix(hashed.of(np.arange(len(data) - gram + 1), gram))
-    width = length - gram + 1
-    least = _sliding(grams, width, np.minimum)
-    places = np.flatnonzero(grams == _reach(least, width, len(grams)))
-    values = grams[places]
-    order = np.lexsort((places, values))
-    v, p = values[order], places[order]
-    before = np.full(len(p), -1)
-    same = np.flatnonzero(v[1:] == v[:-1]) + 1
-    before[same] = p[same - 1]
-    # p is chosen by some window [s, s + width) if s <= p < s + width, s > the earlier equal place, and the least there is v.
-    low = np.maximum(np.maximum(p - width + 1, before + 1), 0)
-    high = np.minimum(p, len(least) - 1)
-    ok = low <= high
-    p, v, low, high = p[ok], v[ok], low[ok], high[ok]
-    picked = np.zeros(len(p), dtype=bool)
-    # least is at most v in all those windows; it equals v somewhere iff v is the maximum of least over them.
-    full = (high - low + 1) == width
-    if full.any():
-        top = _sliding(least, width, np.maximum)
-        picked[full] = top[low[full]] == v[full]
-    for i in np.flatnonzero(~full):
-        picked[i] = (least[low[i] : high[i] + 1] == v[i]).any()
-    return np.sort(p[picked])
-
-
-def _reach(least: np.ndarray, width: int, n: int) -> np.ndarray:
-    """For every gram, the greatest of the least values of the windows that hold it."""
-    edge = np.zeros(width - 1, dtype=least.dtype)
-    return _sliding(np.concatenate([edge, least, edge]), width, np.maximum)[:n]
+    keys = (grams >> bits << bits) | np.arange(len(grams), dtype=_U)
+    least = _sliding(keys, length - gram + 1, np.minimum)
+    if valid is not None:
+        least = least[valid[: len(least)]]
+    picked = np.zeros(len(grams), dtype=bool)
+    picked[(least & ((_U(1) << bits) - _U(1))).astype(np.int64)] = True
+    return np.flatnonzero(picked)
 
 
 def suffix_sort(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int, hashed: Hashed | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -168,77 +154,167 @@ def suffix_sort(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length:
 
 
 def repeated(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
-    """Which of the length-byte strings at starts equal another of their group; verified on the bytes."""
-    order, equal = suffix_sort(data, starts, group, length)
-    at = np.flatnonzero(equal)
-    view = np.lib.stride_tricks.sliding_window_view(data, length)
-    ok = all((view[starts[order[part]]] == view[starts[order[part - 1]]]).all() for part in np.array_split(at, len(at) // 4096 + 1) if len(part))
+    """Which of the length-byte strings at starts equal another of their group; verified on the bytes.
+
+    Strings of one group with equal hashes are represented by two of them in the sort, where they have to be neighbours
+    that agree; the others are compared with the first by their bytes.
+    """
     out = np.zeros(len(starts), dtype=bool)
+    if not len(starts):
+        return out
+    hashed = Hashed(data)
+    key = mix(hashed.of(starts, length) + mix(group.astype(_U)))
+    order = np.argsort(key)
+    new = np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
+    name = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    many = np.diff(np.append(first, len(order))) > 1
+    pair = np.sort(np.concatenate([order[first[many]], order[first[many] + 1]]))
+    sorted_, equal = suffix_sort(data, starts[pair], group[pair], length, hashed)
+    ok = int(equal.sum()) == int(many.sum())
+    mine = np.flatnonzero(many[name])
+    least = np.minimum.reduceat(starts[order], first)[name[mine]]  # the first of each string's equals
+    own = starts[order[mine]]
+    by = np.argsort(own)
+    own, least = own[by], least[by]
+    # where both move on by one byte, all but the last byte has been compared
+    on = np.concatenate([[False], (np.diff(own) == 1) & (np.diff(least) == 1)]) if len(own) else np.zeros(0, dtype=bool)
+    ok = ok and bool((data[own[on] + length - 1] == data[least[on] + length - 1]).all())
+    heads = np.flatnonzero(~on)
+    view = np.lib.stride_tricks.sliding_window_view(data, length)
+    for part in np.array_split(heads, len(heads) // 8192 + 1):
+        ok = ok and bool((view[own[part]] == view[least[part]]).all())
     if ok:
-        out[order[at]] = out[order[at - 1]] = True
-    else:  # a hash collision: sort by the bytes themselves
-        names: dict[tuple[int, bytes], list[int]] = {}
-        for i, s in enumerate(starts):
-            names.setdefault((int(group[i]), data[s : s + length].tobytes()), []).append(i)
-        for same in names.values():
-            out[same] = len(same) > 1
+        out[order[mine]] = True
+        return out
+    names: dict[tuple[int, bytes], list[int]] = {}  # a hash collision: sort by the bytes themselves
+    for i, s in enumerate(starts):
+        names.setdefault((int(group[i]), data[s : s + length].tobytes()), []).append(i)
+    for same in names.values():
+        out[same] = len(same) > 1
     return out
 
 
+#: A string that stands alone in its block: its hash, its context (0 if settled), how far it starts before the anchor.
+_LONE = np.dtype([("hash", "<u8"), ("context", "<i8"), ("back", "<u2"), ("settled", "u1")])
+
+
+def _as_runs(backs: np.ndarray) -> bytes:
+    """Numbers as packed runs (first, last) of consecutive ones."""
+    v = np.sort(backs)
+    cuts = np.flatnonzero(np.diff(v) != 1)
+    return np.stack([v[np.concatenate([[0], cuts + 1])], v[np.concatenate([cuts, [len(v) - 1]])]], axis=1).astype("<u2").tobytes()
+
+
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
     return edges[::2], edges[1::2]
 
 
-def _places(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """``anchor, context, k1, k2, at``: the anchors of every text, equal ones of one text as a packed array of positions."""
-    kinds = [("k1", pa.int64()), ("k2", pa.int64()), ("anchor", pa.int64()), ("context", pa.int64()), ("context2", pa.int64()), ("at", pa.binary()), ("n", pa.int64())]
+def _scan(pieces: list[tuple[int, int, np.ndarray, int, int]], length: int, gram: int, skip: np.ndarray | None = None):
+    """Anchors of pieces (document, offset in it, bytes, first and last+1 start of their strings within the piece).
+
+    Returns document, position in it, and the hashes of anchor and context, one entry for each anchor.
+    """
+    sizes = np.array([len(p[2]) for p in pieces])
+    low = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    data = np.concatenate([p[2] for p in pieces])
+    valid = np.zeros(len(data), dtype=bool)
+    for at, p in zip(low, pieces, strict=True):
+        valid[at + p[3] : at + p[4]] = True
+    hashed = Hashed(data)
+    at = anchors(data, hashed, length, gram, valid)
+    piece = np.searchsorted(low, at, side="right") - 1
+    doc, base = np.array([p[0] for p in pieces])[piece], np.array([p[1] for p in pieces])[piece]
+    place = at - low[piece] + base
+    if skip is not None:
+        keep = ~np.isin(place, skip)
+        at, piece, doc, place = at[keep], piece[keep], doc[keep], place[keep]
+    start, stop = np.maximum(at - (length - gram), low[piece]), np.minimum(at + length, low[piece] + sizes[piece])
+    # where in its context an anchor stands belongs to the context
+    shape = (at - start).astype(_U) * _U(1_000_003) + (stop - at).astype(_U)
+    return doc, place, mix(hashed.of(at, gram)), mix(hashed.of(start, stop - start) + shape)
+
+
+def _places(docs: DataFrame, length: int, gram: int, piece: int) -> DataFrame:
+    """``k1, k2, anchor, context, at, n``: the anchors of every text; equal ones of a text in one row, with packed positions."""
+    names = ["k1", "k2", "anchor", "context", "at", "n"]
+
+    def rows(k1: np.ndarray, k2: np.ndarray, doc, place, anchor, context) -> pa.RecordBatch:
+        order = np.lexsort((place, context, anchor, doc))
+        keys = np.stack([doc[order].astype(_U), anchor[order], context[order]])
+        cuts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)])) if len(order) else np.zeros(0, dtype=np.int64)
+        ends = np.append(cuts[1:], len(order))[: len(cuts)]
+        offsets = (np.append(cuts, len(order)) * 8).astype(np.int32)
+        at = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(place[order].astype("<i8").tobytes())])
+        who = doc[order][cuts]
+        return pa.record_batch([pa.array(k1[who]), pa.array(k2[who]), *(pa.array(np.ascontiguousarray(k[cuts]).view(np.int64)) for k in keys[1:]), at, pa.array(ends - cuts)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in kinds]
-            for k1, k2, text in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "text")), strict=True):
-                data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-                if len(data) < length:
-                    continue
-                hashed, second = Hashed(data), Hashed(data, _BYTE2)
-                at = anchors(data, hashed, length, gram)
-                start, stop = np.maximum(at - (length - gram), 0), np.minimum(at + length, len(data))
-                name = mix(hashed.of(at, gram))
-                # where in its context an anchor stands belongs to the context
-                context = [mix(h.of(start, stop - start) + (at - start).astype(_U) * _U(1_000_003) + (stop - at).astype(_U)) for h in (hashed, second)]
-                order = np.lexsort((at, context[1], context[0], name))
-                keys = np.stack([name[order], context[0][order], context[1][order]])
-                cuts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
-                ends = np.append(cuts[1:], len(order))
-                placed = at[order].astype("<i8")
-                for c, v in zip(out, ([k1] * len(cuts), [k2] * len(cuts), *(k[cuts].view(np.int64).tolist() for k in keys), [placed[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], (ends - cuts).tolist()), strict=True):
-                    c += v
-                if len(out[0]) > 50_000:
-                    yield pa.record_batch([pa.array(c, type=t) for c, (_, t) in zip(out, kinds, strict=True)], names=[n for n, _ in kinds])
-                    out = [[] for _ in kinds]
-            yield pa.record_batch([pa.array(c, type=t) for c, (_, t) in zip(out, kinds, strict=True)], names=[n for n, _ in kinds])
-
-    return docs.mapInArrow(run, "k1 long, k2 long, anchor long, context long, context2 long, at binary, n long")
-
-
-def repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = ANCHOR, block: int = BLOCK) -> DataFrame:
+            for part in sliced(batch, piece):
+                k1, k2 = part.column("k1").to_numpy(), part.column("k2").to_numpy()
+                small: list[tuple[int, int, np.ndarray, int, int]] = []
+                for i, text in enumerate(part.column("text").to_pylist()):
+                    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+                    if length <= len(data) <= 2 * piece:
+                        small.append((i, 0, data, 0, len(data) - length + 1))
+                    elif len(data) > 2 * piece:  # a very long text goes in pieces that overlap
+                        before = np.zeros(0, dtype=np.int64)
+                        for s in range(0, len(data) - length + 1, piece):
+                            a, b = max(0, s - length), min(len(data), s + piece + 2 * length)
+                            found = _scan([(i, a, data[a:b], s - a, min(s + piece, len(data) - length + 1) - a)], length, gram, before)
+                            before = found[1][found[1] >= s + piece]
+                            yield rows(k1, k2, *found)
+                if small:
+                    yield rows(k1, k2, *_scan(small, length, gram))
+
+    return docs.mapInArrow(run, "k1 long, k2 long, anchor long, context long, at binary, n long")
+
+
+def repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = ANCHOR, block: int = BLOCK, piece: int = PIECE) -> DataFrame:
     """``k1, k2, starts``: for texts with repeated strings, packed arrays of runs (first, last) of their starts."""
-    reach = length - gram
     rows = id_text(docs).select(*row_key(), F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") >= length)
-    places = cut(_places(rows, length, gram))
-    contexts = places.groupBy("anchor", "context", "context2").agg(F.sum("n").alias("n"), F.min(F.struct("k1", "k2", "at")).alias("one"))
-    contexts = cut(contexts)
-    totals = contexts.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("contexts")).where("total > 1")
-    known = contexts.join(totals, "anchor")
-    # 1. contexts that stand twice: all strings around their anchor repeat
-    whole = known.where("n > 1").select("anchor", "context", "context2")
-    # 2. anchors with several contexts: which strings of each context that stands once repeat elsewhere
-    several = cut(known.where("contexts > 1").select("anchor", "context", "context2", "n", "contexts", "one.k1", "one.k2", F.expr("substring(one.at, 1, 8)").alias("first")))
-    texts = rows.dropDuplicates(["k1", "k2"])
+    places = _shared_places(rows, length, gram, piece)
+    release(docs.sparkSession)
+    known = _known(places)
+    release(docs.sparkSession)
+    found = _edges(rows, known, length, gram, block)
+    release(docs.sparkSession)
+    # contexts that stand twice: all strings around their anchor repeat
+    whole = known.where("n > 1").select("anchor", "context").withColumn("backs", F.lit(None).cast("binary"))
+    backs = found.where("kind = 0").unionAll(_crossed(found)).select("anchor", "context", F.col("packed").alias("backs"))
+    hits = places.join(whole.unionByName(backs), ["anchor", "context"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "backs")).alias("hits"))
+    return stored(hits, places, known, found)
+
+
+def _shared_places(rows: DataFrame, length: int, gram: int, piece: int) -> DataFrame:
+    """The places whose anchor stands twice in the corpus; the others settle their strings. Usually a small part."""
+    every = stored(_places(rows, length, gram, piece))
+    shared = every.groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1").select("anchor")
+    return stored(every.join(shared, "anchor"), every)
+
+
+def _known(places: DataFrame) -> DataFrame:
+    """``anchor, context, n, contexts, least, k1, k2, first``: how often a context stands, how many its anchor has, one place."""
+    contexts = places.groupBy("anchor", "context").agg(F.sum("n").alias("n"), F.min(F.struct("k1", "k2", F.expr("substring(at, 1, 8)").alias("first"))).alias("one"))
+    totals = places.groupBy("anchor", "context").agg(F.sum("n").alias("n")).groupBy("anchor").agg(F.count("*").alias("contexts"), F.min("n").alias("least"))
+    return stored(contexts.join(totals, "anchor").select("anchor", "context", "n", "contexts", "least", "one.k1", "one.k2", "one.first"))
+
+
+_FOUND = "anchor long, context long, kind int, part long, packed binary"
+
+
+def _edges(rows: DataFrame, known: DataFrame, length: int, gram: int, block: int) -> DataFrame:
+    """For anchors with several contexts: which strings of a context that stands once repeat in another one.
+
+    Rows of kind 0 are settled; rows of kind 1 carry packed strings that have to meet other blocks of their anchor.
+    """
+    reach = length - gram
+    several = known.where("contexts > 1 and least = 1").select("anchor", "context", "n", "contexts", "k1", "k2", "first")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = ("anchor", "context", "context2", "n", "contexts")
+        keep = ("anchor", "context", "n", "contexts")
         for batch in batches:
             left, data = [], []
             for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
@@ -247,59 +323,63 @@ def repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = ANCHOR, block:
                     at = int.from_bytes(w["first"], "little")
                     left.append((*(w[k] for k in keep), min(at, reach)))
                     data.append(raw[max(0, at - reach) : at + length])
-            cols = list(zip(*left, strict=True)) or [[]] * 6
+            cols = list(zip(*left, strict=True)) or [[]] * 5
             yield pa.record_batch([*(pa.array(c, type=pa.int64()) for c in cols), pa.array(data, type=pa.binary())], names=[*keep, "left", "data"])
 
-    wanted = several.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "context", "context2", "n", "contexts", "first")).alias("wanted"))
-    sent = texts.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(fetch, "anchor long, context long, context2 long, n long, contexts long, left long, data binary")
-    part = F.pmod(F.xxhash64("context", "context2"), F.ceil(F.col("contexts") / block))
+    wanted = several.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "context", "n", "contexts", "first")).alias("wanted"))
+    sent = rows.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(fetch, "anchor long, context long, n long, contexts long, left long, data binary")
+    part = F.pmod(F.xxhash64("context"), F.ceil(F.col("contexts") / block))
     sent = sent.withColumn("block", part)
-    found_type = "anchor long, context long, context2 long, kind int, part long, packed binary"
 
     def sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches of rows sorted by (anchor, block): settle each block; a batch's last block waits for the next batch."""
         held: pa.Table | None = None
 
         def settle(table: pa.Table) -> pa.RecordBatch:
-            anchor, block_no, context, context2, n, many, left = (table.column(c).to_numpy() for c in ("anchor", "block", "context", "context2", "n", "contexts", "left"))
+            both = np.stack([table.column(c).to_numpy() for c in ("anchor", "context")])
+            table = table.filter(pa.array(np.concatenate([[True], (both[:, 1:] != both[:, :-1]).any(axis=0)])))  # a context comes once for each copy of its row
+            anchor, block_no, context, n, many, left = (table.column(c).to_numpy() for c in ("anchor", "block", "context", "n", "contexts", "left"))
             pieces = [np.frombuffer(x, dtype=np.uint8) for x in table.column("data").to_pylist()]
             sizes = np.array([len(p) for p in pieces])
             data = np.concatenate(pieces)
-            offset = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            offset = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int32)  # 32 bits: a block has a few MB
             counts = np.minimum(left + 1, np.maximum(0, sizes - length + 1))  # strings that hold the anchor
-            row = np.repeat(np.arange(len(sizes)), counts)
-            inner = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-            back = left[row] - inner  # how far the string starts before the anchor
+            row = np.repeat(np.arange(len(sizes), dtype=np.int32), counts)
+            inner = np.arange(len(row), dtype=np.int32) - np.repeat((np.cumsum(counts) - counts).astype(np.int32), counts)
+            back = left.astype(np.int32)[row] - inner  # how far the string starts before the anchor
             _, group = np.unique(np.stack([anchor, block_no]), axis=1, return_inverse=True)
             starts = offset[row] + inner
-            hit = repeated(data, starts, group.ravel()[row] * (reach + 1) + back, length)
-            out: list[list] = [[] for _ in range(6)]
-            for i in np.flatnonzero(counts):
-                a, b = int(np.searchsorted(row, i)), int(np.searchsorted(row, i, side="right"))
+            del inner
+            hit = repeated(data, starts, group.ravel().astype(np.int32)[row] * np.int32(reach + 1) + back, length)
+            out: list[list] = [[] for _ in range(5)]
+            ends = np.cumsum(counts)
+            for i in np.flatnonzero((n == 1) & (counts > 0)):
+                a, b = ends[i] - counts[i], ends[i]
                 mine = hit[a:b]
-                if n[i] == 1 and mine.any():
-                    for c, v in zip(out, (anchor[i], context[i], context2[i], 0, 0, back[a:b][mine].astype("<i8").tobytes()), strict=True):
+                if mine.any():
+                    for c, v in zip(out, (anchor[i], context[i], 0, 0, _as_runs(back[a:b][mine])), strict=True):
                         c.append(v)
             # strings alone in their block may stand in another block of the anchor
             spread = np.flatnonzero(many[row] > block)
             if len(spread):
-                hashes = [mix(Hashed(data, t).of(starts[spread], length) + back[spread].astype(_U)) for t in (_BYTE, _BYTE2)]
-                settled = np.flatnonzero(hit[spread] | (n[row[spread]] > 1))  # of these one of each is enough
-                _, one = np.unique(np.stack([anchor[row[spread[settled]]].view(_U), hashes[0][settled], hashes[1][settled]]), axis=1, return_index=True)
-                use = np.concatenate([np.flatnonzero(~hit[spread] & (n[row[spread]] == 1)), settled[one]])
-                spread, hashes = spread[use], [h[use] for h in hashes]
-                shares = np.ceil(many[row[spread]] / block).astype(_U)
-                share = (hashes[0] >> _U(20)) % shares
-                order = np.lexsort((share, anchor[row[spread]]))
-                key = np.stack([anchor[row[spread]][order], share[order].astype(np.int64)])
+                hashes = mix(Hashed(data, _BYTE2).of(starts[spread], length) + back[spread].astype(_U))
+                settled = hit[spread] | (n[row[spread]] > 1)  # of these one of each is enough
+                where = np.flatnonzero(settled)
+                _, one = np.unique(mix(hashes[where] + mix(anchor[row[spread[where]]].view(_U))), return_index=True)
+                use = np.concatenate([np.flatnonzero(~settled), where[one]])
+                spread, hashes, settled = spread[use], hashes[use], settled[use]
+                own = row[spread]
+                share = (hashes >> _U(20)) % np.ceil(many[own] / block).astype(_U)
+                order = np.lexsort((own, share, anchor[own]))
+                key = np.stack([anchor[own][order], share[order].astype(np.int64)])
                 cuts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
+                packed = np.zeros(len(order), dtype=_LONE)
+                packed["hash"], packed["back"], packed["settled"] = hashes[order], back[spread[order]], settled[order]
+                packed["context"] = np.where(settled[order], 0, context[own[order]])
                 for x, y in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
-                    at = order[x:y]
-                    own = row[spread[at]]
-                    packed = np.stack([hashes[0][at].view(np.int64), hashes[1][at].view(np.int64), context[own], context2[own], back[spread[at]], n[own], hit[spread[at]].astype(np.int64)])
-                    for c, v in zip(out, (key[0, x], 0, 0, 1, key[1, x], np.ascontiguousarray(packed.T).astype("<i8").tobytes()), strict=True):
+                    for c, v in zip(out, (key[0, x], 0, 1, key[1, x], packed[x:y].tobytes()), strict=True):
                         c.append(v)
-            return pa.record_batch([*(pa.array([int(v) for v in c], type=t) for c, t in zip(out[:5], (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)), pa.array(out[5], type=pa.binary())], names=["anchor", "context", "context2", "kind", "part", "packed"])
+            return pa.record_batch([*(pa.array([int(v) for v in c], type=t) for c, t in zip(out[:4], (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)), pa.array(out[4], type=pa.binary())], names=["anchor", "context", "kind", "part", "packed"])
 
         def key(t: pa.Table, i: int):
             return t.column("anchor")[i].as_py(), t.column("block")[i].as_py()
@@ -317,25 +397,24 @@ def repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = ANCHOR, block:
         if held is not None and held.num_rows:
             yield settle(held.combine_chunks())
 
-    ready = sent.repartition("anchor", "block").sortWithinPartitions("anchor", "block")
-    found = cut(ready.select("anchor", "block", "context", "context2", "n", "contexts", "left", "data").mapInArrow(sort_blocks, found_type))
+    ready = sent.repartition("anchor", "block").sortWithinPartitions("anchor", "block", "context")
+    return stored(ready.select("anchor", "block", "context", "n", "contexts", "left", "data").mapInArrow(sort_blocks, _FOUND))
+
+
+def _crossed(found: DataFrame) -> DataFrame:
+    """The strings that stand alone in their block and meet an equal one of another block; in bounded hash ranges."""
 
     def meet(group: pa.Table) -> pa.Table:
-        rows_ = np.concatenate([np.frombuffer(x, dtype="<i8").reshape(-1, 7) for x in group.column("packed").to_pylist()])
-        _, name, count = np.unique(rows_[:, [0, 1, 4]], axis=0, return_inverse=True, return_counts=True)
-        hit = rows_[(count[name.ravel()] > 1) & (rows_[:, 5] == 1) & (rows_[:, 6] == 0)]
-        _, first, own = np.unique(hit[:, 2:4], axis=0, return_index=True, return_inverse=True) if len(hit) else (None, np.zeros(0, dtype=int), np.zeros(0, dtype=int))
-        own = own.ravel()
+        lone = np.concatenate([np.frombuffer(x, dtype=_LONE) for x in group.column("packed").to_pylist()])
+        _, name, count = np.unique(lone["hash"], return_inverse=True, return_counts=True)
+        hit = lone[(count[name] > 1) & (lone["settled"] == 0)]
+        contexts_, own = np.unique(hit["context"], return_inverse=True)
         anchor = group.column("anchor")[0].as_py()
-        out = [(anchor, int(hit[f, 2]), int(hit[f, 3]), 0, 0, hit[own == k, 4].astype("<i8").tobytes()) for k, f in enumerate(first)]
-        cols = list(zip(*out, strict=True)) or [[]] * 6
-        return pa.table([pa.array(c, type=t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["anchor", "context", "context2", "kind", "part", "packed"])
+        out = [(anchor, int(c), 0, 0, _as_runs(hit["back"][own == k].astype(np.int64))) for k, c in enumerate(contexts_)]
+        cols = list(zip(*out, strict=True)) or [[]] * 5
+        return pa.table([pa.array(c, type=t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["anchor", "context", "kind", "part", "packed"])
 
-    crossed = found.where("kind = 1").groupBy("anchor", "part").applyInArrow(meet, found_type)
-    backs = found.where("kind = 0").unionAll(crossed).select("anchor", "context", "context2", F.col("packed").alias("backs"))
-    marked = whole.withColumn("backs", F.lit(None).cast("binary")).unionByName(backs)
-    hits = places.join(marked, ["anchor", "context", "context2"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "backs")).alias("hits"))
-    return hits
+    return found.where("kind = 1").groupBy("anchor", "part").applyInArrow(meet, _FOUND)
 
 
 def _strings(hits: list[dict], size: int, length: int, gram: int) -> np.ndarray:
@@ -346,21 +425,21 @@ def _strings(hits: list[dict], size: int, length: int, gram: int) -> np.ndarray:
         if h["backs"] is None:  # every string that holds the anchor
             low, high = np.maximum(at - (length - gram), 0), np.minimum(at, size - length) + 1
         else:
-            back = np.frombuffer(h["backs"], dtype="<i8")
-            low = (at[:, None] - back[None, :]).ravel()
-            high = low + 1
+            runs = np.frombuffer(h["backs"], dtype="<u2").astype(np.int64).reshape(-1, 2)
+            low = (at[:, None] - runs[None, :, 1]).ravel()
+            high = (at[:, None] - runs[None, :, 0]).ravel() + 1
         ok = low < high
         np.add.at(flags, low[ok], 1)
         np.add.at(flags, high[ok], -1)
     return np.cumsum(flags)[:-1] > 0
 
 
-def remove(docs: DataFrame, *, length: int = LENGTH, gram: int = ANCHOR, block: int = BLOCK) -> DataFrame:
+def remove(docs: DataFrame, *, length: int = LENGTH, gram: int = ANCHOR, block: int = BLOCK, piece: int = PIECE) -> DataFrame:
     """``doc_id, n_bytes, spans, kept`` for every row of docs: the removed byte spans (start, stop) and the bytes that stay."""
     if not 8 <= gram < length:
         raise ValueError("gram must be at least 8 and below length")
     kind = id_type(docs)
-    hits = repeats(docs, length=length, gram=gram, block=block)
+    hits = repeats(docs, length=length, gram=gram, block=block, piece=piece)
     rows = id_text(docs).select("doc_id", *row_key(), F.coalesce("text", F.lit("")).alias("text")).join(hits, ["k1", "k2"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
