@@ -98,19 +98,26 @@ def edges(files: DataFrame, symbols: DataFrame, imports: DataFrame, calls: DataF
     t3 = cut(t3.select(*cols, F.lit("namespace-import").alias("provenance"), F.lit("import-scoped").alias("resolution")))
 
     left = rest.join(t4.select(*_KEY).distinct(), _KEY, "left_anti").unionByName(qualified.join(t3.select(*_KEY).distinct(), _KEY, "left_anti"))
-    t5 = left.join(names, named).select(*cols, F.lit("global-name").alias("provenance"), F.lit("name-only").alias("resolution"))
-    return capped(t1.unionByName(t2).unionByName(t4).unionByName(t3).unionByName(t5), files, cap)
+    # All calls of a name have the same candidates here: they are ranked and counted once for each name, before the join.
+    once = names.dropDuplicates(["def_name", "id"])
+    first = F.row_number().over(Window.partitionBy("def_name").orderBy("def_file", "def_line", "kind", "id"))
+    top = once.withColumn("rank", first).where(F.col("rank") <= max(0, int(cap))).join(once.groupBy("def_name").agg(F.count("*").cast("int").alias("candidate_count")), "def_name")
+    t5 = left.join(top, named).select(*cols, F.lit("global-name").alias("provenance"), F.lit("name-only").alias("resolution"), "rank", "candidate_count")
+    return capped(t1.unionByName(t2).unionByName(t4).unionByName(t3), files, cap, t5)
 
 
-def capped(candidates: DataFrame, files: DataFrame, cap: int) -> DataFrame:
-    """Distinct candidates of each call in a total order, the first cap of them; the count is of all."""
+def capped(candidates: DataFrame, files: DataFrame, cap: int, ranked: DataFrame) -> DataFrame:
+    """Distinct candidates of each call in a total order, the first cap of them; the count is of all.
+
+    ranked: rows of calls whose candidates are ranked and counted already.
+    """
     distinct = candidates.dropDuplicates([*_KEY, "id"])
     counts = distinct.groupBy(*_KEY).agg(F.count("*").cast("int").alias("candidate_count"))
     rank = F.row_number().over(Window.partitionBy(*_KEY).orderBy("def_file", "def_line", "kind", "name", "id"))
     top = distinct.withColumn("rank", rank).where(F.col("rank") <= max(0, int(cap)))
     order = files.select(F.col("path").alias("file"), F.col("seq").alias("file_seq"))
     seq = (F.col("file_seq").cast("long") * 1_000_000 + F.col("seq")) * 64 + F.col("rank")
-    return top.join(counts, _KEY).join(order, "file", "left").select(
+    return top.join(counts, _KEY).unionByName(ranked).join(order, "file", "left").select(
         F.col("from_id").alias("source_id"), F.col("id").alias("target_id"), F.col("file").alias("call_file"), "call_line", "name", "provenance", "resolution", X.strength(F.col("resolution")).alias("strength"), "candidate_count", seq.alias("seq")
     )
 
