@@ -29,7 +29,7 @@ CTES = {
     "call0": """SELECT DISTINCT l_suppkey AS fid, replace(p_name, ' ', '_') AS name, CAST(l_linenumber AS INT) AS line,
         CASE WHEN l_orderkey % 9 = 0 THEN NULL ELSE l_suppkey + n * (l_orderkey % 15) END AS from_pid,
         CASE WHEN l_linenumber = 3 THEN concat('ns', CAST(l_partkey % 7 AS STRING)) ELSE NULL END AS qualifier
-        FROM lineitem JOIN part ON l_partkey = p_partkey CROSS JOIN nf WHERE l_orderkey % 4 = 0""",
+        FROM lineitem JOIN part ON l_partkey = p_partkey CROSS JOIN nf""",
     "calls": """SELECT c.fid, f.path AS file, c.name, c.line, c.from_pid, s.id AS from_id, s.name AS from_name, c.qualifier,
         CAST(row_number() OVER (PARTITION BY c.fid ORDER BY c.line, c.name, coalesce(c.from_pid, -1), coalesce(c.qualifier, '')) AS INT) AS seq
         FROM call0 c JOIN files f ON c.fid = f.fid LEFT JOIN symbols s ON c.from_pid = s.pid""",
