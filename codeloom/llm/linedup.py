@@ -7,12 +7,15 @@ whose fingerprint stands elsewhere too are joined. From each such position the m
 T-line runs that contain it, and a run is deleted if an equal one stands earlier, in the order of ``doc_id`` and line.
 Lines of overlapping deleted runs go once; the first place of a run stays.
 
+A passage may stand on fewer than T lines. So every run of 1 .. T - 1 lines that has more than ``long_words`` words (words are
+parted by the characters above) is a fingerprint of its own, not subject to selection, and is deleted by the same rule.
+
 Fingerprints and runs are counted by partial aggregation and joined by key, so a line that a third of all documents share
 is split by the adaptive skew join, and nothing is gathered per key. What is gathered per document is bounded by its lines.
 Lines are compared by 64-bit hashes of single lines within fingerprints and by 128 bits for runs.
 
-Defined cases: a null text is an empty one; documents of fewer than T lines with words stay as they are; lines without a
-word are kept; rows that repeat an id and text count as one document and get the same result; a null id comes first.
+Defined cases: a null text is an empty one; runs of fewer than T lines with ``long_words`` words or fewer stay as they are, also
+where they are the whole document; lines without a word are kept; rows that repeat an id and text count as one document and get the same result; a null id comes first.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from codeloom.llm.quality import let, text_of
 
 GRAM_LINES = 2
 WINDOW = 2
+LONG_WORDS = 50  # runs of fewer lines than T go too if they have more words than this
 _SPACES = " \t\x0b\f\r"
 
 
@@ -32,6 +36,10 @@ def _has_word(line: Column) -> Column:
     return F.trim(F.translate(line, _SPACES, " " * len(_SPACES))) != ""
 
 
+def _n_words(line: Column) -> Column:
+    return F.size(F.array_remove(F.split(F.translate(line, _SPACES, " " * len(_SPACES)), " ", -1), ""))
+
+
 def _range(n: Column) -> Column:
     """0 .. n - 1, empty for n <= 0."""
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -48,42 +56,48 @@ def _selected(prints: Column, window: int) -> Column:
     return let(prints, of)
 
 
-def deleted_runs(docs: DataFrame, *, gram_lines: int = GRAM_LINES, window: int = WINDOW) -> DataFrame:
-    """``k1, k2, starts``: for documents with deleted runs, where those start in the sequence of lines with words."""
+def deleted_runs(docs: DataFrame, *, gram_lines: int = GRAM_LINES, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
+    """``k1, k2, gone``: for documents with deleted runs, their first and last places in the sequence of lines with words."""
     size = window + gram_lines - 1
     lines = F.filter(F.split(text_of(), "\n", -1), _has_word)
-    hashes = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(1)).alias("b")))
-    rows = docs.select("doc_id", *row_key(), hashes.alias("lines")).where(F.size("lines") >= size)
+    hashes = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(1)).alias("b"), _n_words(x).alias("w")))
+    rows = docs.select("doc_id", *row_key(), hashes.alias("lines")).where(F.size("lines") > 0)
     mixed = lambda i, n, c: F.aggregate(F.slice("lines", i + 1, F.lit(n)), F.lit(n).cast("long"), lambda acc, x: F.xxhash64(acc, x[c]))
     rows = rows.withColumn("prints", F.transform(_range(F.size("lines") - (gram_lines - 1)), lambda i: mixed(i, gram_lines, "a")))
     first = lambda i: F.greatest(F.lit(0), i - (size - gram_lines))
     last = lambda i: F.least(i, F.size("lines") - size)
-    runs = lambda i: F.transform(F.sequence(first(i), last(i)), lambda s: F.struct(s.alias("start"), mixed(s, size, "a").alias("h1"), mixed(s, size, "b").alias("h2")))
+    run = lambda s, n: F.struct(s.alias("start"), (s + (n - 1)).alias("stop"), mixed(s, n, "a").alias("h1"), mixed(s, n, "b").alias("h2"))
+    runs = lambda i: F.transform(F.sequence(first(i), last(i)), lambda s: run(s, size))
     picked = F.transform(_selected(F.col("prints"), window), lambda i: F.struct(F.get("prints", i).alias("print"), runs(i).alias("runs")))
-    anchors = rows.select("doc_id", "k1", "k2", F.explode(picked).alias("x")).select("doc_id", "k1", "k2", "x.print", "x.runs")
+
+    def long(n: int) -> Column:
+        words = lambda i: F.aggregate(F.slice("lines", i + 1, F.lit(n)), F.lit(0), lambda acc, x: acc + x["w"])
+        at = F.filter(_range(F.size("lines") - (n - 1)), lambda i: words(i) > long_words)
+        return F.transform(at, lambda i: F.struct(mixed(i, n, "a").alias("print"), F.array(run(i, n)).alias("runs")))
+
+    anchors = rows.select("doc_id", "k1", "k2", F.explode(F.concat(picked, *[long(n) for n in range(1, size)])).alias("x")).select("doc_id", "k1", "k2", "x.print", "x.runs")
     shared = anchors.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
     places = anchors.join(shared, "print").select(F.struct("doc_id", "k1", "k2").alias("doc"), F.explode("runs").alias("run"))
-    places = places.select("doc", "run.start", "run.h1", "run.h2")
+    places = places.select("doc", "run.start", "run.stop", "run.h1", "run.h2")
     earliest = places.groupBy("h1", "h2").agg(F.min(F.struct("doc", "start")).alias("first"), F.max(F.struct("doc", "start")).alias("last")).where("first < last").select("h1", "h2", "first")
     later = places.join(earliest, ["h1", "h2"]).where(F.struct("doc", "start") > F.col("first"))
-    return later.groupBy("doc.k1", "doc.k2").agg(F.collect_set("start").alias("starts"))
+    return later.groupBy("doc.k1", "doc.k2").agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
 
 
-def dedup(docs: DataFrame, *, gram_lines: int = GRAM_LINES, window: int = WINDOW) -> DataFrame:
+def dedup(docs: DataFrame, *, gram_lines: int = GRAM_LINES, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
     """docs as ``row`` (a struct of all columns), ``n_lines``, ``n_removed``, and ``text`` without the deleted runs."""
-    size = window + gram_lines - 1
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(), text_of().alias("text"))
-    joined = rows.join(deleted_runs(docs, gram_lines=gram_lines, window=window), ["k1", "k2"], "left")
+    joined = rows.join(deleted_runs(docs, gram_lines=gram_lines, window=window, long_words=long_words), ["k1", "k2"], "left")
     lines = F.split("text", "\n", -1)
 
     def kept(all_lines: Column) -> Column:
         worded = F.filter(_range(F.size(all_lines)), lambda p: _has_word(F.get(all_lines, p)))
-        gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (size - 1)))))
+        gone = F.array_distinct(F.flatten(F.transform("gone", lambda r: F.sequence(r["start"], r["stop"]))))
         places = let(worded, lambda w: F.transform(gone, lambda g: F.get(w, g)))
         left = F.array_except(_range(F.size(all_lines)), places)
         return F.struct(F.size(gone).cast("long").alias("n"), F.array_join(F.transform(left, lambda p: F.get(all_lines, p)), "\n").alias("text"))
 
-    full = joined.select("row", "text", F.when(F.col("starts").isNotNull(), let(lines, kept)).alias("new"), F.size(lines).cast("long").alias("n_lines"))
+    full = joined.select("row", "text", F.when(F.col("gone").isNotNull(), let(lines, kept)).alias("new"), F.size(lines).cast("long").alias("n_lines"))
     return full.select("row", "n_lines", F.coalesce("new.n", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("new.text", "text").alias("text"))
 
 
