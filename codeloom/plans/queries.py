@@ -395,14 +395,19 @@ def context_terms(a):
     return a.table("benchmark").select("item_id", F.array_join(F.array_sort(X.context_terms(F.col("text"))), " ").alias("terms"))
 
 
-@query(f"SELECT item_id, p_partkey, n FROM (SELECT item_id, p_partkey, len(list_intersect(t, u)) AS n, row_number() OVER (PARTITION BY item_id ORDER BY len(list_intersect(t, u)) DESC, p_partkey) AS k FROM (SELECT item_id, {_terms_sql('text')} AS t FROM benchmark), (SELECT p_partkey, {_terms_sql('p_type')} AS u FROM part WHERE p_partkey < 60)) WHERE k <= 3")
+@query(f"SELECT item_id, p_partkey, n FROM (SELECT item_id, p_partkey, len(list_intersect(t, u)) AS n, row_number() OVER (PARTITION BY item_id ORDER BY len(list_intersect(t, u)) DESC, p_partkey) AS k FROM (SELECT item_id, {_terms_sql('text')} AS t FROM benchmark), (SELECT p_partkey, {_terms_sql('p_type')} AS u FROM part)) WHERE k <= 3")
 def term_overlap_topk(a):
     from pyspark.sql.window import Window
 
-    t = a.table("benchmark").select("item_id", X.context_terms(F.col("text")).alias("t"))
-    u = a.table("part").where("p_partkey < 60").select("p_partkey", X.context_terms(F.col("p_type")).alias("u"))
-    both = t.crossJoin(F.broadcast(u)).select("item_id", "p_partkey", F.size(F.array_intersect("t", "u")).cast("long").alias("n"))  # sixty fixed rows
-    return both.withColumn("k", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("n"), "p_partkey"))).where("k <= 3").drop("k")
+    top = lambda df, key, *order: df.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("k <= 3").drop("k")
+    items, parts = a.table("benchmark").select("item_id", "text"), a.table("part").select("p_partkey", "p_type")
+    t = items.select("item_id", F.explode(X.context_terms(F.col("text"))).alias("term"))
+    u = parts.select("p_type").distinct().select("p_type", F.explode(X.context_terms(F.col("p_type"))).alias("term"))
+    shared = t.join(u, "term").groupBy("item_id", "p_type").agg(F.count("*").alias("n"))
+    found = shared.join(top(parts, "p_type", "p_partkey"), "p_type").select("item_id", "p_partkey", "n")  # parts of one type tie, so three of them are enough
+    least = items.select("item_id").crossJoin(F.broadcast(parts.select("p_partkey").orderBy("p_partkey").limit(3)))  # fill up items that share terms with fewer than three
+    rest = least.join(found, ["item_id", "p_partkey"], "left_anti").withColumn("n", F.lit(0).cast("long"))
+    return top(found.unionByName(rest), "item_id", F.desc("n"), "p_partkey")
 
 
 _TASK = """CASE p_partkey % 10 WHEN 0 THEN concat('fix the ', p_name) WHEN 1 THEN concat('add tests for ', p_name) WHEN 2 THEN concat('where is ', p_name) WHEN 3 THEN concat('overview of ', p_name, ' design') WHEN 4 THEN concat('look at ', p_name)

@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from codeloom.functions import scalars as X
+from codeloom.plans import queries
 from codeloom.plans.adapters import Adapter
 
 SF = "/root/testdata/sf0.001"
@@ -20,3 +22,16 @@ def test_calls_come_from_every_line_item(a):
         "l_suppkey", "p_name", "l_linenumber", F.when(k % 9 != 0, k % 15 * n), F.when(F.col("l_linenumber") == 3, F.col("l_partkey") % 7)
     )
     assert a.calls.count() == site.distinct().count()
+
+
+def test_term_overlap_ranks_all_parts(spark, tmp_path):
+    items = [(1, "polished copper tubes"), (2, "copper"), (3, "nothing alike"), (4, "polished copper plated steel tubes")]
+    kinds = ["SMALL BRASS", "LARGE PLATED STEEL", "COPPER TUBES", "POLISHED COPPER TUBES"]
+    parts = [(k, kinds[0] if k < 60 else kinds[k % 4]) for k in range(80)] + [(80, "copper")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(parts, "p_partkey long, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    terms = lambda table, key, text: {r[0]: set(r[1]) for r in spark.read.parquet(f"{tmp_path}/{table}.parquet").select(key, X.context_terms(F.col(text))).collect()}
+    t, u = terms("benchmark", "item_id", "text"), terms("part", "p_partkey", "p_type")
+    want = sorted((i, p, len(t[i] & u[p])) for i in t for p in sorted(u, key=lambda p: (-len(t[i] & u[p]), p))[:3])
+    got = sorted((r.item_id, r.p_partkey, r.n) for r in queries.QUERIES["term_overlap_topk"](spark, str(tmp_path)).collect())
+    assert got == want and max(n for _, _, n in got) > 2
