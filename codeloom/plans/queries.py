@@ -420,9 +420,9 @@ def route_tasks(a):
     return tasks.select("task_id", context.route(F.col("task"), F.col("p_size") == 7).alias("route"))
 
 
-@query("SELECT task_id, name FROM (SELECT p_partkey AS task_id, replace(p_name, ' ', '_') AS name FROM part WHERE p_partkey % 10 = 0)")
+@query("SELECT task_id, name FROM (SELECT p_partkey AS task_id, replace(p_name, ' ', '_') AS name FROM part)")
 def exact_symbol_names(a):
-    tasks = a.sql("SELECT p_partkey AS task_id, concat('fix the ', replace(p_name, ' ', '_'), ' config') AS task FROM part WHERE p_partkey % 10 = 0")
+    tasks = a.sql("SELECT p_partkey AS task_id, concat('fix the ', replace(p_name, ' ', '_'), ' config') AS task FROM part")
     return context.exact_names(tasks, _symbols(a))
 
 

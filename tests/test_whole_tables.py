@@ -35,3 +35,8 @@ def test_term_overlap_ranks_all_parts(spark, tmp_path):
     want = sorted((i, p, len(t[i] & u[p])) for i in t for p in sorted(u, key=lambda p: (-len(t[i] & u[p]), p))[:3])
     got = sorted((r.item_id, r.p_partkey, r.n) for r in queries.QUERIES["term_overlap_topk"](spark, str(tmp_path)).collect())
     assert got == want and max(n for _, _, n in got) > 2
+
+
+def test_every_part_gives_a_task(spark, a):
+    got = queries.QUERIES["exact_symbol_names"](spark, SF)
+    assert got.select("task_id").distinct().count() == a.table("part").count()
