@@ -186,17 +186,17 @@ def zero_callers(a):
     return references.without_callers(_symbols(a), _edges(a).where("strength > 1")).select("id")
 
 
-_SEED = "pid % 97 = 0"
+_SEED = "pid IN (SELECT x.pid FROM hunks h JOIN symbols x ON h.file = x.file AND x.line <= h.stop AND x.end_line >= h.start)"  # changed symbols
 
 
 @query(
-    f"""SELECT id, direction, other, resolution, call_line FROM (SELECT *, row_number() OVER (PARTITION BY id, direction ORDER BY o) AS k FROM (SELECT *, row_number() OVER (PARTITION BY id, direction, other ORDER BY o) AS n FROM (
-      SELECT e.source_id AS id, 'calls' AS direction, e.target_id AS other, e.resolution, e.call_line, (CAST(f.seq AS BIGINT) * 1000000 + e.seq) * 64 + e.rn AS o FROM numbered e JOIN files f ON e.call_file = f.path JOIN symbols s ON s.id = e.source_id WHERE {_SEED}
-      UNION ALL SELECT e.target_id, 'called-by', e.source_id, e.resolution, e.call_line, (CAST(f.seq AS BIGINT) * 1000000 + e.seq) * 64 + e.rn FROM numbered e JOIN files f ON e.call_file = f.path JOIN symbols s ON s.id = e.target_id WHERE {_SEED} AND e.source_id IS NOT NULL)) WHERE n = 1) WHERE k <= 8""",
+    """SELECT id, direction, other, resolution, call_line FROM (SELECT *, row_number() OVER (PARTITION BY id, direction ORDER BY o) AS k FROM (SELECT *, row_number() OVER (PARTITION BY id, direction, other ORDER BY o) AS n FROM (
+      SELECT e.source_id AS id, 'calls' AS direction, e.target_id AS other, e.resolution, e.call_line, (CAST(f.seq AS BIGINT) * 1000000 + e.seq) * 64 + e.rn AS o FROM numbered e JOIN files f ON e.call_file = f.path JOIN symbols s ON s.id = e.source_id
+      UNION ALL SELECT e.target_id, 'called-by', e.source_id, e.resolution, e.call_line, (CAST(f.seq AS BIGINT) * 1000000 + e.seq) * 64 + e.rn FROM numbered e JOIN files f ON e.call_file = f.path JOIN symbols s ON s.id = e.target_id WHERE e.source_id IS NOT NULL)) WHERE n = 1) WHERE k <= 8""",
     _EDGES_SQL + ", numbered AS (SELECT e.*, row_number() OVER (PARTITION BY e.call_file, e.seq ORDER BY t.file, t.line, t.kind, t.name, t.id) AS rn FROM edges e JOIN symbols t ON t.id = e.target_id)",
 )
 def neighbourhood(a):
-    return references.neighbours(_edges(a), _symbols(a).where(_SEED).select("id"))
+    return references.neighbours(_edges(a), _symbols(a).select("id"))
 
 
 # -- imports and module graph ------------------------------------------------------------------------------------------
@@ -285,7 +285,8 @@ lv AS (SELECT id, 1 AS depth, w FROM d1 UNION ALL SELECT id, 2, w FROM d2 UNION
 
 
 def _changed(a: Adapter) -> DataFrame:
-    return _symbols(a).where(_SEED).select("id", F.col("pid").alias("ord"))
+    touched = diff.overlaps(a.hunks.select("hid", "file", "start", "stop"), _symbols(a)).select("pid").distinct()
+    return _symbols(a).join(touched, "pid", "left_semi").select("id", "file", F.col("pid").alias("ord"))
 
 
 @query("SELECT id, CAST(depth AS INT) AS depth, CAST(w AS INT) AS strength FROM lv", _EDGES_SQL + _LEVELS)
@@ -474,7 +475,7 @@ def coverage_gaps(a):
     _EDGES_SQL + f", seeds AS (SELECT id, file FROM symbols WHERE {_SEED}), touch AS (SELECT * FROM edges WHERE target_id IN (SELECT id FROM seeds) OR source_id IN (SELECT id FROM seeds))",
 )
 def evidence_summary(a):
-    return evidence.summary(_files(a), _calls(a), _edges(a), _symbols(a).where(_SEED).select("id", "file"))
+    return evidence.summary(_files(a), _calls(a), _edges(a), _changed(a).select("id", "file"))
 
 
 # -- experiment statistics ---------------------------------------------------------------------------------------------

@@ -40,3 +40,16 @@ def test_term_overlap_ranks_all_parts(spark, tmp_path):
 def test_every_part_gives_a_task(spark, a):
     got = queries.QUERIES["exact_symbol_names"](spark, SF)
     assert got.select("task_id").distinct().count() == a.table("part").count()
+
+
+def test_neighbours_of_every_symbol_with_edges(spark, a):
+    e = queries._edges(a).where("source_id is not null")
+    ends = e.select("source_id").union(e.select("target_id")).distinct()
+    got = queries.QUERIES["neighbourhood"](spark, SF).select("id").distinct()
+    assert ends.exceptAll(got).count() == 0
+
+
+def test_changed_symbols_are_those_of_the_edited_ranges(spark, a):
+    pids = {r.pid for r in queries.QUERIES["hunk_symbol_overlap"](spark, SF).collect()}
+    changed = {r.ord for r in queries._changed(a).collect()}
+    assert changed == pids and any(p % 97 for p in pids)
