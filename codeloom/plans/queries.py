@@ -306,15 +306,16 @@ def direct_callers(a):
 
 
 @query(
-    "SELECT c AS changed_id, s AS entry_id, CAST(depth AS INT) AS depth, CAST(w AS INT) AS strength FROM (SELECT c, s, 1 AS depth, w FROM q1 UNION ALL SELECT c, s, 2, w FROM q2) WHERE s IN (SELECT id FROM ent)",
-    _EDGES_SQL + f""", e1 AS (SELECT source_id AS s, target_id AS t, max(strength) AS w FROM edges WHERE source_id IS NOT NULL GROUP BY 1, 2), ch AS (SELECT id FROM symbols WHERE pid % 397 = 0),
+    "SELECT c AS changed_id, s AS entry_id, CAST(depth AS INT) AS depth, CAST(w AS INT) AS strength FROM (SELECT c, s, 1 AS depth, w FROM q1 UNION ALL SELECT c, s, 2, w FROM q2 UNION ALL SELECT c, s, 3, w FROM q3) WHERE s IN (SELECT id FROM ent)",
+    _EDGES_SQL + f""", e1 AS (SELECT source_id AS s, target_id AS t, max(strength) AS w FROM edges WHERE source_id IS NOT NULL GROUP BY 1, 2), ch AS (SELECT id FROM symbols WHERE {_SEED}),
 q1 AS (SELECT t AS c, s, w FROM e1 WHERE t IN (SELECT id FROM ch) AND s <> t), q2 AS (SELECT q1.c, e1.s, max(least(e1.w, q1.w)) AS w FROM e1 JOIN q1 ON e1.t = q1.s WHERE e1.s <> q1.c AND NOT EXISTS (SELECT 1 FROM q1 x WHERE x.c = q1.c AND x.s = e1.s) GROUP BY q1.c, e1.s),
+q3 AS (SELECT q2.c, e1.s, max(least(e1.w, q2.w)) AS w FROM e1 JOIN q2 ON e1.t = q2.s WHERE e1.s <> q2.c AND NOT EXISTS (SELECT 1 FROM (SELECT c, s FROM q1 UNION ALL SELECT c, s FROM q2) x WHERE x.c = q2.c AND x.s = e1.s) GROUP BY q2.c, e1.s),
 inc AS (SELECT target_id AS id, count(*) AS n FROM edges GROUP BY 1),
 ent AS (SELECT s.id FROM symbols s LEFT JOIN inc USING (id) WHERE regexp_matches(s.file, '{S.ENTRY_FILE}') OR (s.exported AND CASE WHEN s.kind = 'variable' THEN s.container_path = '' OR coalesce(inc.n, 0) = 0 WHEN s.kind IN ('function', 'method', 'class') THEN TRUE ELSE coalesce(inc.n, 0) = 0 END))""",
 )
 def entry_paths(a):
     e, s = _edges(a), _symbols(a)
-    found = graph.entry_paths(e, s.where("pid % 397 = 0").select("id"), graph.entry_symbols(s, references.incoming_counts(e)), 2)
+    found = graph.entry_paths(e, _changed(a).select("id"), graph.entry_symbols(s, references.incoming_counts(e)))
     return found.select("changed_id", "entry_id", "depth", "strength")
 
 

@@ -53,3 +53,20 @@ def test_changed_symbols_are_those_of_the_edited_ranges(spark, a):
     pids = {r.pid for r in queries.QUERIES["hunk_symbol_overlap"](spark, SF).collect()}
     changed = {r.ord for r in queries._changed(a).collect()}
     assert changed == pids and any(p % 97 for p in pids)
+
+
+def test_entry_paths_of_all_edited_symbols_to_depth_three(spark, a):
+    e, s = queries._edges(a), queries._symbols(a)
+    back = {}
+    for r in e.where("source_id is not null").select("source_id", "target_id").distinct().collect():
+        back.setdefault(r.target_id, set()).add(r.source_id)
+    entries = {r.id for r in queries.graph.entry_symbols(s, queries.references.incoming_counts(e)).collect()}
+    want = set()
+    for r in queries._changed(a).collect():
+        seen, front = {r.id}, {r.id}
+        for depth in (1, 2, 3):
+            front = {x for t in front for x in back.get(t, ())} - seen
+            seen |= front
+            want |= {(r.id, x, depth) for x in front & entries}
+    got = queries.QUERIES["entry_paths"](spark, SF).select("changed_id", "entry_id", "depth").collect()
+    assert {tuple(x) for x in got} == want
