@@ -11,6 +11,7 @@ Conventions that hold for every operator here:
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -46,20 +47,31 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, *instead_of: DataFrame) -> DataFrame:
     """Like ``cut``, but as a compressed table in the shared folder: for what is large beside the input.
 
-    Stored tables that df was made from and that nothing else needs (instead_of) are deleted.
+    Stored tables that df was made from and that nothing else needs (instead_of) are deleted at once, all others when the
+    driver's JVM ends.
     """
     spark = df.sparkSession
     where = f"{shared_dir(spark).rstrip('/')}/codeloom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(where)
-    jvm = spark.sparkContext._jvm
+    path, store = _hadoop(spark, where)
+    try:
+        df.write.option("compression", "zstd").parquet(where)
+    except BaseException:
+        store.delete(path, True)
+        raise
+    store.deleteOnExit(path)
     for old in instead_of:
-        path = jvm.org.apache.hadoop.fs.Path(old.stored_at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path, store = _hadoop(spark, old.stored_at)
+        store.delete(path, True)
     out = spark.read.schema(df.schema).parquet(where)
     out.stored_at = where
     return out
 
 
+def _hadoop(spark: SparkSession, where: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of plans that nobody holds any more."""
     gc.collect()
@@ -67,12 +79,20 @@ def release(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``, or a local one if unset."""
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Where neither is set, a local one is made, which only a local session can use: on a cluster it's an error.
+    """
     global _own_dir
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = _own_dir = _own_dir or "file://" + tempfile.mkdtemp(prefix="codeloom-")
-    return where
+    if where := spark.conf.get("spark.checkpoint.dir", None):
+        return where
+    set_by_hand = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if set_by_hand.isDefined():
+        return set_by_hand.get()
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    _own_dir = _own_dir or "file://" + tempfile.mkdtemp(prefix="codeloom-")
+    return _own_dir
 
 
 _own_dir: str | None = None
