@@ -3,7 +3,8 @@
 Every rule is a Boolean expression over the text that says "reject". The cascade estimates each rule's cost (seconds a row)
 and selectivity (share of rows that it rejects) on a bounded sample, orders the rules by rejection per cost, and
 evaluates them as one nested CASE: a text that one rule rejects is not read by the later, dearer ones. A document is kept
-if no rule rejects it, so the order changes the time and never the verdict.
+if no rule rejects it, so the order changes the time and never the verdict. The sample is spread over the whole table. A
+rule's cost is its time over the sample, repeated within one job until the rule outweighs what such a job takes without it.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Null and empty texts have no words (and are rejected as too short). Repeated rows are
 judged one by one. Three-word windows are compared within their document by 64-bit hashes.
@@ -25,6 +26,8 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 #: Rows of the sample on which the cascade estimates cost and selectivity; they decide the order of evaluation only.
 SAMPLE_ROWS = 256
+#: A rule is timed on at most so many characters; the job without it takes less than a third of the job with it, or so much text.
+TIMED_CHARS = 2_000_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -51,7 +54,7 @@ def n_of(text: Column, chars: str) -> Column:
 
 
 def lines_with_words(text: Column) -> Column:
-    return F.filter(F.split(text, "\n", -1), lambda x: F.trim(F.translate(x, _SPACES, " " * len(_SPACES))) != "")
+    return F.filter(F.split(text, "\n", -1), lambda x: F.ltrim(x, F.lit(_SPACES)) != "")
 
 
 def n_dup_lines(text: Column) -> Column:
@@ -117,18 +120,58 @@ def over(text: Column, listed: Column) -> Callable[[str], Column]:
     return lambda name: FEATURES[name](text, listed)
 
 
-def ordered(docs: DataFrame, rules: list[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejection per cost, highest first, estimated on the first sample_rows rows that a scan meets."""
-    texts = [(r.text,) for r in id_text(docs).select("text").head(sample_rows)]  # a bounded number
-    sample = docs.sparkSession.createDataFrame(texts, "text string").withColumn("listed", words(text_of()))
-    feature = over(text_of(), F.col("listed"))
-    shares = sample.agg(F.count("*").alias("n"), *[F.count_if(r.reject(feature)).alias(f"r{k}") for k, r in enumerate(rules)]).first()
-    costs = []
-    for r in rules:
-        plan = sample.agg(F.count_if(r.reject(feature)))
+def spread(docs: DataFrame, rows: int) -> list[str | None]:
+    """About so many texts (never more than twice) from all over the table."""
+    n = docs.count()
+    some = id_text(docs).select("text").sample(min(1.0, rows / max(1, n)), seed=11)
+    return [r.text for r in some.limit(2 * rows).collect()]
+
+
+def seconds_a_row(docs: DataFrame, rejects: list[Callable[[Column, Column], Column]]) -> list[float]:
+    """What each rule takes for a row of docs (a bounded sample): from text and listed words to its verdict.
+
+    A job over the sample, repeated, is timed with and without the rule; both split the words. The repetitions double
+    until the job with the rule takes three times as long, or TIMED_CHARS are read.
+    """
+    n, chars = docs.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+
+    def timed(times: int, reject: Callable[[Column, Column], Column]) -> float:
+        repeated = docs.select("text", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("_"))
+        plan = repeated.agg(F.count_if(let(words(text_of()), lambda w: reject(text_of(), w))))
         began = time.perf_counter()
         plan.first()
-        costs.append(max(time.perf_counter() - began, 1e-6))
+        return time.perf_counter() - began
+
+    idle = lambda t, w: F.size(w) < 0
+    without: dict[int, float] = {}
+    out = []
+    for reject in rejects:
+        times = 1
+        timed(times, reject)  # compiles
+        while True:
+            if times not in without:
+                timed(times, idle)
+                without[times] = timed(times, idle)
+            took = timed(times, reject)
+            if took > 3 * without[times] or 4 * times * chars > TIMED_CHARS:
+                break
+            times *= 4
+        out.append(max((took - without[times]) / max(1, n * times), 1e-9))
+    return out
+
+
+def ordered(docs: DataFrame, rules: list[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """The rules by rejection per cost, highest first, estimated on a sample of about sample_rows rows."""
+    spark = docs.sparkSession
+    sample = spark.createDataFrame([(t,) for t in spread(docs, sample_rows)], "text string").coalesce(1)
+
+    def verdict(r: Rule) -> Callable[[Column, Column], Column]:
+        return lambda t, w: r.reject(over(t, w))
+
+    verdicts = [verdict(r) for r in rules]
+    listed = sample.withColumn("listed", words(text_of()))
+    shares = listed.agg(F.count("*").alias("n"), *[F.count_if(v(text_of(), F.col("listed"))).alias(f"r{k}") for k, v in enumerate(verdicts)]).first()
+    costs = seconds_a_row(sample, verdicts)
     rate = [shares[f"r{k}"] / max(1, shares["n"]) / c for k, c in enumerate(costs)]
     return [rules[k] for k in sorted(range(len(rules)), key=lambda k: (-rate[k], costs[k]))]
 
@@ -154,10 +197,10 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
 
 
 def keep(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """The rows of docs, with all their columns, that no rule rejects."""
+    """The rows of docs, with all their columns, that no rule rejects. The words of a text are split once."""
     rules = rules or ordered(docs)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_of().alias("text")).withColumn("listed", words(F.col("text")))
-    return rows.where(rejected_by(rules, over(F.col("text"), F.col("listed"))).isNull()).select("row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return rows.where(let(words(text_of()), lambda w: rejected_by(rules, over(text_of(), w)).isNull())).select("row.*")
 
 
 JUDGE_SQL = r"""
