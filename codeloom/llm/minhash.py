@@ -40,8 +40,11 @@ BINS = 128
 BANDS = 32
 #: Similarity as a fraction; a link needs den * intersection >= num * union.
 SIMILARITY = (80, 100)
-#: Rows and queries that meet in one block of a bucket.
+#: Rows and queries that meet in one block of a bucket, and their shingles (8 bytes each), on average: the lesser rules.
 BLOCK_ROWS, BLOCK_QUERIES = 2048, 256
+BLOCK_SHINGLES = 1_000_000
+#: Partners that are compared with one copy of a text.
+PARTNERS = 64
 _VALUE = np.uint64(48)
 _MASK = np.uint64((1 << 48) - 1)
 
@@ -90,10 +93,8 @@ class Hasher:
     def __init__(self, size: int):
         self.size, self.memo = size, {}
 
-    def elements(self, words: list[bytes]) -> np.ndarray:
+    def _all(self, words: list[bytes]) -> np.ndarray:
         memo, n = self.memo, min(len(words), self.size)
-        if not words:
-            return np.zeros(0, dtype=np.uint64)
         if len(memo) > 500_000:
             memo.clear()
         for w in set(words):
@@ -104,7 +105,19 @@ class Hasher:
         out = np.full(m, n, dtype=np.uint64)
         for k in range(n):
             out = mix(out + h[k : k + m])
-        return np.unique(out)
+        return out
+
+    def elements(self, words: list[bytes]) -> np.ndarray:
+        return np.unique(self._all(words)) if words else np.zeros(0, dtype=np.uint64)
+
+    def profile(self, words: list[bytes]) -> tuple[int, np.ndarray, bytes | None]:
+        """(size of the set, hashes of its shingles, digest of the shingles themselves)."""
+        if not words:
+            return 0, np.zeros(0, dtype=np.uint64), None
+        hashes, at = np.unique(self._all(words), return_index=True)
+        full = shingles(words, self.size)
+        said = sorted(b" ".join(x) for x in full) if len(full) != len(hashes) else [b" ".join(words[i : i + self.size]) for i in at.tolist()]
+        return len(full), hashes, hashlib.blake2b(b"\n".join(said), digest_size=16).digest()
 
 
 def profiles(docs: DataFrame, shingle_words: int, bins: int = BANDS * 4, bands: int = BANDS) -> DataFrame:
@@ -117,9 +130,9 @@ def profiles(docs: DataFrame, shingle_words: int, bins: int = BANDS * 4, bands:
             for part in sliced(batch):
                 sizes, nodes, buckets = [], [], []
                 for text in part.column("text").to_pylist():
-                    e = hasher.elements(space_words(text))
-                    sizes.append(len(e))
-                    nodes.append(hashlib.blake2b(e.tobytes(), digest_size=16).digest() if len(e) else None)
+                    n, e, node = hasher.profile(space_words(text))
+                    sizes.append(n)
+                    nodes.append(node)
                     buckets.append(bands_of(sketch(e, bins), bands) if len(e) else None)
                 yield pa.record_batch([*(part.column(c) for c in ("doc_id", "k1", "k2")), pa.array(sizes, type=pa.int64()), pa.array(nodes, type=pa.binary()), pa.array(buckets, type=pa.list_(pa.int64()))], names=["doc_id", "k1", "k2", "n_shingles", "node", "buckets"])
 
@@ -127,38 +140,43 @@ def profiles(docs: DataFrame, shingle_words: int, bins: int = BANDS * 4, bands:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
+    """The pairs (a, b) whose full shingle sets are similar enough.
+
+    A text a travels once for each ``PARTNERS`` partners, and a task holds the sets of one pair at a time.
+    """
     num, den = similarity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, set] = {}
-
-        def of(node: bytes, text: str) -> set:
-            if node not in seen:
-                if len(seen) >= 64:
-                    seen.clear()
-                seen[node] = shingles(space_words(text), shingle_words)
-            return seen[node]
-
+        held: tuple[bytes, set] = (b"", set())
         for batch in batches:
             for part in sliced(batch):
-                a, b, ta, tb = (part.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))
-                keep = []
-                for x, y, tx, ty in zip(a, b, ta, tb, strict=True):
-                    sx, sy = of(x, tx), shingles(space_words(ty), shingle_words)
-                    both = len(sx & sy)
-                    keep.append(den * both >= num * (len(sx) + len(sy) - both))
-                yield pa.record_batch([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
-
-    full = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return full.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+                found: list[tuple[bytes, bytes]] = []
+                for a, b, text in zip(*(part.column(c).to_pylist() for c in ("a", "b", "text")), strict=True):
+                    mine = shingles(space_words(text), shingle_words)
+                    if b is None:
+                        held = (a, mine)
+                        continue
+                    both = len(held[1] & mine) if held[0] == a else -1
+                    if both < 0:
+                        raise RuntimeError("a pair came without its first text")
+                    if den * both >= num * (len(held[1]) + len(mine) - both):
+                        found.append((a, b))
+                yield pa.record_batch([pa.array([x[k] for x in found], type=pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("chunks"))
+    firsts = degree.join(texts.withColumnRenamed("node", "a"), "a").select("a", F.lit(None).cast("binary").alias("b"), "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+    packed = degree.select(F.struct("a").alias("key"), "chunks")  # another key than the count's, so that a join of many rows of one text can be split
+    dealt = pairs.join(packed, F.struct(pairs["a"]) == F.col("key")).select("a", "b", F.pmod(F.xxhash64("b"), "chunks").alias("chunk"))
+    seconds = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "b", "text", "chunk")
+    ready = firsts.unionByName(seconds).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
+    return ready.select("a", "b", "text").mapInArrow(run, "a binary, b binary")
 
 
 def across(members: DataFrame, texts: DataFrame, shingle_words: int, similarity: tuple[int, int]) -> DataFrame:
     """Similar pairs (a, b) between different labels of a bucket, one for each node and other label.
 
-    members: ``bucket, node, label, size, outer, main``; main is the bucket's largest label, outer the number of members
-    of other labels. Those are the queries; they meet all members of the bucket in blocks of bounded size.
+    members: ``bucket, node, label, blocks, chunks, main``; main is the bucket's largest label. The members of other labels
+    are the queries, in so many chunks; they meet all members, in so many blocks of bounded size.
     """
     num, den = similarity
 
@@ -171,6 +189,8 @@ def across(members: DataFrame, texts: DataFrame, shingle_words: int, similarity:
         role, node, label, sets = (group.column(c).to_pylist() for c in ("query", "node", "label", "elements"))
         sets = [np.frombuffer(x, dtype=np.uint64) for x in sets]
         rows = [i for i, q in enumerate(role) if not q]
+        if not rows:  # blocks are dealt by hash, so one may get queries only
+            return pa.table([pa.array([], type=pa.binary())] * 2, names=["a", "b"])
         values, flat = np.unique(np.concatenate([sets[i] for i in rows]), return_inverse=True)
         sizes = np.array([len(sets[i]) for i in rows])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -190,7 +210,7 @@ def across(members: DataFrame, texts: DataFrame, shingle_words: int, similarity:
         return pa.table([pa.array([min(x) for x in out], type=pa.binary()), pa.array([max(x) for x in out], type=pa.binary())], names=["a", "b"])
 
     sets = texts.join(members.select("node").distinct(), "node").select("node", "text").mapInArrow(hashed, "node binary, elements binary")
-    full = members.join(sets, "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK_ROWS)).withColumn("chunks", F.ceil(F.col("outer") / BLOCK_QUERIES))
+    full = members.join(sets, "node")
     some = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     queries = full.where("label <> main").select("bucket", F.lit(True).alias("query"), "node", "label", "elements", some("chunks", 1).alias("chunk"), every("blocks").alias("block"))
@@ -219,8 +239,8 @@ def components(edges: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """``doc_id, k1, k2, n_shingles, component_id, group, kept`` for every row of docs; group is the component's own key."""
     rows = cut(profiles(docs, shingle_words))
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("k1", "k2")).alias("key"), F.first("buckets").alias("buckets"))
-    members = nodes.select("node", F.explode("buckets").alias("bucket"))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("k1", "k2")).alias("key"), F.first("buckets").alias("buckets"), F.first("n_shingles").alias("n"))
+    members = nodes.select("node", "n", F.explode("buckets").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot <> top")
     # Each bucket's first pivot is done after this; the others stay as members.
     members = cut(members.join(shared.select("bucket", "pivot"), "bucket").where("node <> pivot"))
@@ -233,11 +253,14 @@ def groups(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, similarity: t
     edges = cut(verified(pairs, texts, shingle_words, similarity))
     labels = components(edges)
     # What one bucket still holds in different components is compared in blocks; after that nothing is left open.
-    named = members.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    parts = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    mixed = mixed.select("bucket", "size", (F.col("size") - F.col("main.n")).alias("outer"), F.col("main.label").alias("main"))
-    more = cut(verified(across(cut(named.join(mixed, "bucket")), texts, shingle_words, similarity), texts, shingle_words, similarity))
+    named = members.select("bucket", "node", "n").join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
+    parts = named.groupBy("bucket", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    total = [F.sum(c).alias(c) for c in ("rows", "n")]
+    mixed = parts.groupBy("bucket").agg(*total, F.max(F.struct("rows", "n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    dealt = lambda rows, n, most: F.ceil(F.greatest(rows / most, n / BLOCK_SHINGLES))
+    outer = [F.col(c) - F.col(f"main.{c}") for c in ("rows", "n")]
+    mixed = mixed.select("bucket", dealt(F.col("rows"), F.col("n"), BLOCK_ROWS).alias("blocks"), dealt(*outer, BLOCK_QUERIES).alias("chunks"), F.col("main.label").alias("main"))
+    more = cut(verified(across(cut(named.drop("n").join(mixed, "bucket")), texts, shingle_words, similarity), texts, shingle_words, similarity))
     if more.limit(1).count():
         labels = components(edges.unionAll(more))
     least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
