@@ -77,8 +77,8 @@ def scan(made, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
     return [(a, b) for a, b in runs], names
 
 
-def find(docs: DataFrame, benchmark: DataFrame, *, window_words: int = WINDOW_WORDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``doc_id, n_words, hits, items`` for every row of docs.
+def find(docs: DataFrame, benchmark: DataFrame, *, window_words: int = WINDOW_WORDS, shard_bytes: int = SHARD_BYTES, with_text: bool = False) -> DataFrame:
+    """``doc_id, n_words, hits, items`` for every row of docs, and ``text`` if asked for.
 
     hits: maximal runs of hit words as word numbers (first, last inclusive) and character offsets of the original text
     (start, stop exclusive). items: the distinct ids of the items that occur, sorted as strings.
@@ -86,7 +86,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window_words: int = WINDOW_WO
     items = benchmark.select(F.col("item_id").cast("string").alias("name"), F.col("text").cast("string").alias("text")).where("name is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total * (window_words + 1) // shard_bytes))
-    rows, kind = id_text(docs), id_type(docs)
+    rows, kind, carried = id_text(docs), id_type(docs), "text string, " * with_text
 
     def one(shard: int) -> DataFrame:
         mine = items if shards == 1 else items.where(F.pmod(F.xxhash64("name"), F.lit(shards)) == shard)
@@ -104,12 +104,13 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window_words: int = WINDOW_WO
                         counts.append(len(words))
                         hits.append([(a, b - 1, spans[a][0], spans[b - 1][1]) for a, b in runs])
                         names.append(sorted(ids))
-                    others = [part.column(c) for c in part.schema.names if c != "text"]
-                    yield pa.record_batch([*others, pa.array(counts, type=pa.int64()), pa.array([[dict(zip(("first", "last", "start", "stop"), h, strict=True)) for h in x] for x in hits], type=_HIT), pa.array(names, type=pa.list_(pa.string()))], names=[*(c for c in part.schema.names if c != "text"), "n_words", "hits", "items"])
+                    passed = [c for c in part.schema.names if c != "text"]
+                    others = [part.column(c) for c in passed] + [part.column("text")] * with_text
+                    yield pa.record_batch([*others, pa.array(counts, type=pa.int64()), pa.array([[dict(zip(("first", "last", "start", "stop"), h, strict=True)) for h in x] for x in hits], type=_HIT), pa.array(names, type=pa.list_(pa.string()))], names=[*passed, *["text"] * with_text, "n_words", "hits", "items"])
 
         if shards == 1:
-            return rows.mapInArrow(run, f"doc_id {kind}, {_OUT}")
-        return rows.select("doc_id", *row_key(), "text").mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, {_OUT}")
+            return rows.mapInArrow(run, f"doc_id {kind}, {carried}{_OUT}")
+        return rows.select("doc_id", *row_key(), "text").mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, {carried}{_OUT}")
 
     if shards == 1:
         return one(0)
@@ -127,16 +128,18 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window_words: int = WINDOW_WO
                         runs.append(dict(h))
                 all_hits.append(runs)
             names = [sorted({i for x in lists for i in x}) for lists in batch.column("items").to_pylist()]
-            out = [batch.column("doc_id"), batch.column("n_words"), pa.array(all_hits, type=_HIT), pa.array(names, type=pa.list_(pa.string()))]
+            same = ["doc_id", *["text"] * with_text, "n_words"]
+            out = [*(batch.column(c) for c in same), pa.array(all_hits, type=_HIT), pa.array(names, type=pa.list_(pa.string()))]
             take = [i for i, n in enumerate(batch.column("copies").to_pylist()) for _ in range(n)]
-            yield pa.record_batch(out, names=["doc_id", "n_words", "hits", "items"]).take(pa.array(take, type=pa.int64()))
+            yield pa.record_batch(out, names=[*same, "hits", "items"]).take(pa.array(take, type=pa.int64()))
 
     passes = one(0)
     for k in range(1, shards):
         passes = passes.unionAll(one(k))
     # A group has one row for each pass and copy of one row.
-    grouped = passes.groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_set("hits").alias("hits"), F.collect_set("items").alias("items"), (F.count("*") / shards).cast("int").alias("copies"))
-    return grouped.select("doc_id", "n_words", "hits", "items", "copies").mapInArrow(merged, f"doc_id {kind}, {_OUT}")
+    text = [F.first("text").alias("text")] * with_text
+    grouped = passes.groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), *text, F.max("n_words").alias("n_words"), F.collect_set("hits").alias("hits"), F.collect_set("items").alias("items"), (F.count("*") / shards).cast("int").alias("copies"))
+    return grouped.select("doc_id", *["text"] * with_text, "n_words", "hits", "items", "copies").mapInArrow(merged, f"doc_id {kind}, {carried}{_OUT}")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -154,12 +157,13 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the benchmark: rows with two items or more go; where one item occurs, its hit words are cut out.
 
-    Returns the columns of docs; ``text`` is changed in the rows with one item. ``find`` runs over the whole rows, so
-    nothing is joined: the row travels with its hits.
+    Returns the columns of docs; ``text`` is changed in the rows with one item. Nothing is joined: the other columns pass
+    through the scan as they are, and the text goes through it once.
     """
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), "text")
-    found = find(keyed.select("doc_id", "text"), benchmark, **options).where(F.size("items") < 2).select(F.col("doc_id").alias("row"), "hits")
-    text = F.col("row.text").cast("string")
+    others = [c for c in docs.columns if c != "text"]
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("doc_id"), "text")
+    found = find(keyed, benchmark, with_text=True, **options).where(F.size("items") < 2).select(F.col("doc_id").alias("row"), "text", "hits")
+    text = F.col("text")
     first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     step = lambda acc, h: F.struct(h["stop"].alias("at"), F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (h["start"] - acc["at"]).cast("int"))).alias("out"))
     rest = F.aggregate("hits", first, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
