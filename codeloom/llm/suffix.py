@@ -13,8 +13,9 @@ their context bytes, one row for each distinct context.
 
 The suffixes of the contexts under one anchor are sorted by mergesort. Two suffixes are compared by the longest common
 extension of their prefixes, found by binary search over prefix polynomial hashes, so a comparison takes O(log length)
-steps. Neighbours in the sorted order that agree in ``length`` bytes are repeated strings; every claim is verified on the
-bytes, and a block whose claims don't hold is sorted by its bytes instead. Anchors with more contexts than ``BLOCK`` are
+steps. Neighbours in the sorted order that agree in ``length`` bytes are repeated strings, and only they are; strings with
+equal hashes send two of them into the sort. The claims on sorted strings are verified on the bytes, and a block with a hash
+collision is settled by its bytes instead. A context that stands twice is known by two 64-bit hashes (its anchor's and its own). Anchors with more contexts than ``BLOCK`` are
 sorted in blocks; strings that are alone in their block meet those of the other blocks by ranges of another 64-bit hash, packed.
 
 Nothing is capped or sampled. A null text is empty; rows that repeat an id and text are separate places, so their strings
@@ -156,8 +157,8 @@ def suffix_sort(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length:
 def repeated(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
     """Which of the length-byte strings at starts equal another of their group; verified on the bytes.
 
-    Strings of one group with equal hashes are represented by two of them in the sort, where they have to be neighbours
-    that agree; the others are compared with the first by their bytes.
+    Strings of one group with equal hashes are represented by two of them in the sort. Those that the sort puts side by side
+    and finds equal are repeated; the others of their hash are compared with the first by their bytes.
     """
     out = np.zeros(len(starts), dtype=bool)
     if not len(starts):
@@ -171,7 +172,11 @@ def repeated(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length: in
     many = np.diff(np.append(first, len(order))) > 1
     pair = np.sort(np.concatenate([order[first[many]], order[first[many] + 1]]))
     sorted_, equal = suffix_sort(data, starts[pair], group[pair], length, hashed)
-    ok = int(equal.sum()) == int(many.sum())
+    name_of = np.empty(len(starts), dtype=np.int64)
+    name_of[order] = name
+    found = np.zeros(len(first), dtype=bool)
+    at = np.flatnonzero(equal)
+    found[name_of[pair[sorted_[at]]]] = found[name_of[pair[sorted_[at - 1]]]] = True
     mine = np.flatnonzero(many[name])
     least = np.minimum.reduceat(starts[order], first)[name[mine]]  # the first of each string's equals
     own = starts[order[mine]]
@@ -179,15 +184,15 @@ def repeated(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length: in
     own, least = own[by], least[by]
     # where both move on by one byte, all but the last byte has been compared
     on = np.concatenate([[False], (np.diff(own) == 1) & (np.diff(least) == 1)]) if len(own) else np.zeros(0, dtype=bool)
-    ok = ok and bool((data[own[on] + length - 1] == data[least[on] + length - 1]).all())
+    ok = bool((data[own[on] + length - 1] == data[least[on] + length - 1]).all())
     heads = np.flatnonzero(~on)
     view = np.lib.stride_tricks.sliding_window_view(data, length)
     for part in np.array_split(heads, len(heads) // 8192 + 1):
         ok = ok and bool((view[own[part]] == view[least[part]]).all())
     if ok:
-        out[order[mine]] = True
+        out[order[found[name]]] = True
         return out
-    names: dict[tuple[int, bytes], list[int]] = {}  # a hash collision: sort by the bytes themselves
+    names: dict[tuple[int, bytes], list[int]] = {}  # a hash collision: settle the block by the bytes themselves
     for i, s in enumerate(starts):
         names.setdefault((int(group[i]), data[s : s + length].tobytes()), []).append(i)
     for same in names.values():
@@ -465,8 +470,9 @@ def remove(docs: DataFrame, *, length: int = LENGTH, gram: int = ANCHOR, block:
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
-    """The result of op7: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row of docs."""
-    return remove(docs, **options).select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """The result of op7: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, has_repeats`` for every row of docs."""
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return remove(docs, **options).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (removed > 0).alias("has_repeats"))
 
 
 def digest(kept: bytes) -> str:

@@ -47,7 +47,7 @@ def test_equals_brute_force(spark, length, gram, block, seed):
     got = suffix.report(docs.repartition(3), length=length, gram=gram, block=block, piece=(1_000_000, 150, 120)[seed - 1]).collect()
     assert len(got) == len(texts)
     for r in got:
-        assert tuple(r)[1:] == want[r.doc_id], (r.doc_id, texts[r.doc_id])
+        assert tuple(r)[1:5] == want[r.doc_id] and r.has_repeats == (r.n_removed > 0), (r.doc_id, texts[r.doc_id])
 
 
 def test_defined_cases(spark):
@@ -84,3 +84,28 @@ def test_every_string_holds_an_anchor_at_the_same_place():
     grams = suffix.mix(suffix.Hashed(data).of(np.arange(len(data) - 7), 8)) >> bits
     want = {i + int(np.argmin(grams[i : i + 43])) for i in range(len(data) - 49)}
     assert set(at.tolist()) == want
+
+
+def test_the_sort_decides(monkeypatch):
+    rng = np.random.default_rng(3)
+    data = np.concatenate([rng.integers(97, 99, 300, dtype=np.uint8)] * 2)
+    starts, group = np.arange(len(data) - 40, dtype=np.int32), np.zeros(len(data) - 40, dtype=np.int32)
+    strings = [data[s : s + 40].tobytes() for s in starts]
+    want = np.array([strings.count(x) > 1 for x in strings])
+    assert want.any() and (suffix.repeated(data, starts, group, 40) == want).all()
+    real = suffix.suffix_sort
+
+    def unsorted(*args):
+        order, equal = real(*args)
+        wrong = np.concatenate([order[::2], order[1::2]])  # equal strings are no longer side by side
+        return wrong, np.concatenate([[False], [strings[pairs[wrong[i]]] == strings[pairs[wrong[i - 1]]] for i in range(1, len(wrong))]])
+
+    pairs = None
+
+    def spy(data, at, group, length, hashed=None):
+        nonlocal pairs
+        pairs = at
+        return unsorted(data, at, group, length, hashed)
+
+    monkeypatch.setattr(suffix, "suffix_sort", spy)
+    assert not (suffix.repeated(data, starts, group, 40) == want).all()
