@@ -1,9 +1,9 @@
 """License scans with a generalised suffix automaton of license tokens.
 
 The token sequences of all templates go into one suffix automaton. A text's words stream through it and give matching
-statistics: at every word the longest run of words ending there that occurs in some template. Maximal long matches are
-chained per template (in order in both, with bounded gaps) into spans; a template's score is the share of its words that
-its best chain covers. The automaton has at most twice as many states as the templates have words, so its size is fixed
+statistics: at every word the longest run of words ending there that occurs in some template, and by the suffix links the
+longest one of every other template. Maximal long matches are chained per template (in order in both, with bounded gaps)
+into spans, all that don't overlap; a template's score is the share of its words that its best chain covers. The automaton has at most twice as many states as the templates have words, so its size is fixed
 by the templates and doesn't grow with the corpus; the texts are read in one pass without a shuffle.
 
 A match of ``min_match`` words needs that many words in a row that occur in templates at all, so only such runs stream
@@ -14,6 +14,7 @@ Besides, places of the fixed phrases are reported as such. Null texts have no wo
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,6 +37,10 @@ TEMPLATES = {
     ("apache", "short"): "Licensed under the Apache License, Version 2.0",
     ("gpl", "notice"): "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     ("gpl", "short"): "This work is licensed under the GNU General Public License, version 3",
+    ("mit", "warranty"): "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ("bsd", "warranty"): "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ("isc", "warranty"): "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ("zlib", "grant"): "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
     ("bsd", "grant"): "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     ("isc", "grant"): "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ("mpl", "notice"): "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
@@ -45,20 +50,20 @@ TEMPLATES = {
 
 
 class SuffixAutomaton:
-    """Generalised suffix automaton over sequences of tokens; where[state]: {sequence: end of one occurrence}."""
+    """Generalised suffix automaton over sequences of tokens; where[state]: {sequence: ends of its occurrences}."""
 
     def __init__(self, sequences: list[list]):
         self.next: list[dict] = [{}]
         self.link, self.len = [-1], [0]
-        self.where: list[dict[int, int]] = [{}]
+        self.where: list[dict[int, set[int]]] = [{}]
         for k, tokens in enumerate(sequences):
             last = 0
             for at, token in enumerate(tokens):
                 last = self._add(last, token)
-                self.where[last].setdefault(k, at + 1)
+                self.where[last].setdefault(k, set()).add(at + 1)
         for state in sorted(range(1, len(self.len)), key=lambda s: -self.len[s]):
-            for k, at in self.where[state].items():
-                self.where[self.link[state]].setdefault(k, at)
+            for k, ends in self.where[state].items():
+                self.where[self.link[state]].setdefault(k, set()).update(ends)
 
     def _state(self, length: int, nexts: dict, link: int) -> int:
         self.next.append(nexts)
@@ -109,8 +114,18 @@ class Scanner:
         self.automaton = SuffixAutomaton(self.words)
         self.min_match, self.max_gap = min_match, max_gap
 
+    def _ending(self, length: int, state: int) -> dict[int, tuple[int, int]]:
+        """{template: (length, state) of its longest match that ends here}, for lengths of min_match or more."""
+        out: dict[int, tuple[int, int]] = {}
+        while state and length >= self.min_match:
+            for k in self.automaton.where[state]:
+                out.setdefault(k, (length, state))
+            state = self.automaton.link[state]
+            length = self.automaton.len[state]
+        return out
+
     def matches(self, words: list[bytes]) -> list[tuple[int, int, int, int]]:
-        """Maximal matches (template, start in the text, start in the template, length) of min_match words or more."""
+        """Matches (template, start in the text, start in the template, length) of min_match words or more that can't go on."""
         out, vocabulary, least, n = [], self.vocabulary, self.min_match, len(words)
         inside = [w in vocabulary for w in words]
         at = 0
@@ -124,15 +139,18 @@ class Scanner:
             except ValueError:
                 stop = n
             if stop - at >= least:
-                stats = list(self.automaton.statistics(words[at:stop]))
-                for i, (length, state) in enumerate(stats):
-                    if length >= least and (i + 1 == len(stats) or stats[i + 1][0] <= length):
-                        out += [(k, at + i + 1 - length, end - length, length) for k, end in self.automaton.where[state].items()]
+                before: dict[int, tuple[int, int]] = {}
+                for i, (length, state) in enumerate([*self.automaton.statistics(words[at:stop]), (0, 0)]):
+                    here = self._ending(length, state) if length >= least else {}
+                    for k, (m, s) in before.items():
+                        if k not in here or here[k][0] <= m:
+                            out += [(k, at + i - m, end - m, m) for end in self.automaton.where[s][k]]
+                    before = here
             at = stop
         return out
 
     def chains(self, words: list[bytes]) -> list[tuple[float, int, int, int]]:
-        """The best chain of each template that matches: (score, template, first word, end)."""
+        """Chains that don't overlap, best first for each template that matches: (score, template, first word, end)."""
         of: dict[int, list[tuple[int, int, int]]] = {}
         for k, s, t, length in self.matches(words):
             of.setdefault(k, []).append((s, t, length))
@@ -151,8 +169,13 @@ class Scanner:
                     if ps < s and pt < t and over < length and s - ps - plen <= self.max_gap and t - pt - plen <= self.max_gap:
                         mine = max(mine, (best[i][0] + length - over, best[i][1]))
                 best.append(mine)
-            j = max(range(len(parts)), key=lambda j: best[j][0])
-            out.append((min(1.0, best[j][0] / len(self.words[k])), k, best[j][1], parts[j][0] + parts[j][2]))
+            taken: list[tuple[int, int]] = []  # spans, sorted
+            for j in sorted(range(len(parts)), key=lambda j: (-best[j][0], best[j][1], j)):
+                first, stop = best[j][1], parts[j][0] + parts[j][2]
+                near = bisect(taken, (first, stop))
+                if all(b <= first or a >= stop for a, b in taken[max(0, near - 1) : near + 1]):
+                    taken.insert(near, (first, stop))
+                    out.append((min(1.0, best[j][0] / len(self.words[k])), k, first, stop))
         return out
 
 
@@ -181,7 +204,7 @@ _SPANS = pa.list_(pa.struct([("label", pa.string()), ("template", pa.string()),
 
 
 def scan(docs: DataFrame, *, templates: dict = TEMPLATES, phrases: dict = PHRASES, min_match: int = MIN_MATCH, max_gap: int = MAX_GAP) -> DataFrame:
-    """``doc_id, n_words, places, spans, score`` for every row: phrase places, the best chain of each template, the best score."""
+    """``doc_id, n_words, places, spans, score`` for every row: phrase places, all chains of every template, the best score."""
     fixed = tuple(templates.items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +217,7 @@ def scan(docs: DataFrame, *, templates: dict = TEMPLATES, phrases: dict = PHRASE
                     chains = scanner.chains(words)
                     counts.append(len(words))
                     places.append([{"word": w, "label": x} for w, x in phrase_places(words, phrases)])
-                    spans.append([{"label": scanner.names[k][0], "template": scanner.names[k][1], "first": a, "stop": b, "score": s} for s, k, a, b in sorted(chains, key=lambda c: c[1])])
+                    spans.append([{"label": scanner.names[k][0], "template": scanner.names[k][1], "first": a, "stop": b, "score": s} for s, k, a, b in sorted(chains, key=lambda c: c[1:])])
                     scores.append(max((c[0] for c in chains), default=0.0))
                 yield pa.record_batch([part.column("doc_id"), pa.array(counts, type=pa.int64()), pa.array(places, type=_PLACES), pa.array(spans, type=_SPANS), pa.array(scores, type=pa.float64())], names=["doc_id", "n_words", "places", "spans", "score"])
 
