@@ -140,7 +140,7 @@ def profiles(docs: DataFrame, shingle_words: int, bins: int = BANDS * 4, bands:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough.
+    """The pairs (a, b) whose full shingle sets are similar enough. pairs has to be checkpointed: it is read twice.
 
     A text a travels once for each ``PARTNERS`` partners, and a task holds the sets of one pair at a time.
     """
@@ -204,7 +204,7 @@ def across(members: DataFrame, texts: DataFrame, shingle_words: int, similarity:
                 both = np.add.reduceat(mark[flat], starts)
                 best: dict[bytes, int] = {}
                 for k in np.flatnonzero(den * both >= num * (len(sets[i]) + sizes - both)):
-                    if names[k] != label[i] and (names[k] not in best or both[k] > both[best[names[k]]]):
+                    if names[k] != label[i] and (names[k] not in best or (both[k], node[rows[k]]) > (both[best[names[k]]], node[rows[best[names[k]]]])):
                         best[names[k]] = k
                 out += [(node[i], node[rows[k]]) for k in best.values()]
         return pa.table([pa.array([min(x) for x in out], type=pa.binary()), pa.array([max(x) for x in out], type=pa.binary())], names=["a", "b"])
@@ -260,7 +260,9 @@ def groups(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, similarity: t
     dealt = lambda rows, n, most: F.ceil(F.greatest(rows / most, n / BLOCK_SHINGLES))
     outer = [F.col(c) - F.col(f"main.{c}") for c in ("rows", "n")]
     mixed = mixed.select("bucket", dealt(F.col("rows"), F.col("n"), BLOCK_ROWS).alias("blocks"), dealt(*outer, BLOCK_QUERIES).alias("chunks"), F.col("main.label").alias("main"))
-    more = cut(verified(across(cut(named.drop("n").join(mixed, "bucket")), texts, shingle_words, similarity), texts, shingle_words, similarity))
+    # Checkpointed before it is read more than once: which of several equal partners a block names may differ between runs.
+    proposed = cut(across(cut(named.drop("n").join(mixed, "bucket")), texts, shingle_words, similarity))
+    more = cut(verified(proposed, texts, shingle_words, similarity))
     if more.limit(1).count():
         labels = components(edges.unionAll(more))
     least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
