@@ -11,9 +11,9 @@ _ID = r"[A-Za-z_$][\w$]*"
 # Words that look like calls or declarations and aren't.
 _NOT_CALLS = set("if for while switch return sizeof else do case super import in catch".split())
 _NOT_CALLS_OF = {
-    "typescript": set("function typeof await new throw of yield delete void with constructor async get set".split()), "go": set("func defer go select range make new append len cap panic recover copy close delete interface struct map chan".split()),
+    "typescript": set("function typeof await new throw of yield delete void with constructor async get set".split()), "go": set("var const type func defer go select range make new append len cap panic recover copy close delete interface struct map chan".split()),
     "rust": set("match loop fn impl pub move as where unsafe struct enum trait type use mod let mut ref dyn Some Ok Err None".split()), "java": set("new throw synchronized assert try instanceof this".split()),
-    "cpp": set("new throw delete alignof decltype noexcept static_assert typeid alignas defined operator co_await co_return".split()),
+    "cpp": set("int char bool void float double short long signed unsigned auto wchar_t template typename using namespace new throw delete alignof decltype noexcept static_assert typeid alignas defined operator co_await co_return".split()),
 }
 _SAME = {"javascript": "typescript", "arkts": "typescript", "c": "cpp"}
 
@@ -88,15 +88,31 @@ class _Source:
                 i = max(0, j)
             elif re.match(r"[\w$.?:@]", c) or (c == ">" and before[i - 2 : i] == "->"):
                 i -= 2 if c == ">" else 1
+            elif c == ">" and (j := self._angle(before, i - 1)) is not None:
+                i = j
             elif c in "\"'`":
                 j = before.rfind(c, 0, i - 1)
                 i = j if j >= 0 else i - 1
                 break
             else:
                 break
+        if made := re.search(r"\bnew\s+$", before[:i]):
+            i = made.start()
         text = self.raw[i : len(before)].strip().strip(".:?")
         return text or None
 
+    @staticmethod
+    def _angle(before: str, at: int) -> int | None:
+        """Where the type arguments that end at position at begin, if a name stands before them."""
+        depth = 0
+        for j in range(at, max(-1, at - 200), -1):
+            if before[j] in ";{}":
+                return None
+            depth += (before[j] == ">") - (before[j] == "<")
+            if depth == 0:
+                return j if re.search(r"\w$", before[:j]) else None
+        return None
+
 
 def _string(raw: str, at: int) -> str:
     m = re.compile(r"""\s*(["'`])(.*?)\1""", re.S).match(raw, at)
@@ -143,6 +159,9 @@ def script(code: str, lang: str) -> Parsed:
     for m in re.finditer(rf"(?:^|(?<=[\n;{{}}]))\s*{export}(?:const|let|var)\s+(?P<name>{_ID})\s*(?P<after>[:=;,\n])", s.code):
         if top(m.start("name")) < 0:
             stop = _value_end(s, m.end())
+            first = m.end("name")
+            if m["after"] == "," or s.code[stop - 1 : stop] != ";" or "," in s.code[first:stop]:
+                stop = _declarators(s, m, first, stop)
             s.add(m, m["name"], "variable", min(stop, len(s.code)), bool(m["export"]), m["name"])
     for open_, _kind in bodies.items():
         close = s.braces.pairs.get(open_, len(s.code))
@@ -188,6 +207,25 @@ def _value_end(s: _Source, at: int) -> int:
     return len(s.code)
 
 
+def _declarators(s: _Source, m: re.Match, at: int, stop: int) -> int:
+    """Add the variables after the first one of a statement whose first name ends at ``at``; returns the first one's end."""
+    stop = max(stop, _value_end(s, at))
+    depth, in_type, cuts = 0, False, []
+    for i in range(at, stop):
+        c = s.code[i]
+        if depth == 0 and c in ":=,":
+            in_type = c == ":" or (in_type and s.code[i : i + 2] == "=>")
+        depth += (c in "([{" or (c == "<" and in_type)) - (c in ")]}" or (c == ">" and in_type and s.code[i - 1] != "="))
+        if c == "," and depth == 0:
+            cuts.append(i)
+    for start, end in zip(cuts, [*cuts[1:], stop]):
+        if name := re.compile(rf"\s*(?P<name>{_ID})\s*(?=[:=,;\n]|$)").match(s.code, start + 1, end):
+            s.add(name, name["name"], "variable", end, bool(m["export"]), name["name"])
+        else:  # a comma of another kind, as in type arguments: all is one variable
+            return stop
+    return cuts[0] if cuts else stop
+
+
 def _decorated(s: _Source, at: int) -> tuple[int, list[str]]:
     """Start with the decorators before a declaration, and their texts."""
     head, found = s.code[:at], []
@@ -213,14 +251,41 @@ def _es_bindings(what: str) -> list[dict]:
 
 
 def _arkui(s: _Source) -> None:
-    """Mark component calls in builder code; their modifier chains are no calls of their own."""
+    """Mark component calls in builder code; their modifier chains are no calls of their own.
+
+    Builder code is the ``build`` of a struct and what has the decorator ``@Builder``; a callback within it that isn't an
+    argument of a component with children is plain code.
+    """
     kept = []
+    structs = [x for x in s.symbols if x.signature.startswith("struct ")]
+    inside = lambda x: any(o.start < x.start and x.stop <= o.stop for o in structs)
+    builders = [x for x in s.symbols if x.kind in ("method", "function") and (x.name == "build" and inside(x) or any(re.match(r"@Builder\b", d) for d in x.decorators))]
+
+    def builds(at: int) -> bool:
+        around = [x for x in builders if x.start <= at < x.stop]
+        if not around:
+            return False
+        low, box = s.code.find("{", max(x.start for x in around)), s.braces.enclosing(at)
+        while box > low:
+            head = s.code[max(low, box - 200) : box].rstrip()
+            if re.search(r"=>$", head) or re.search(r"\bfunction\b[^;{}]*$", head):
+                back, open_ = 0, box
+                for open_ in range(box - 1, low, -1):  # the bracket that the callback stands in
+                    back += (s.code[open_] in ")]}") - (s.code[open_] in "([{")
+                    if back < 0:
+                        break
+                name = re.search(r"(\.?)\s*([A-Za-z_]\w*)$", s.code[:open_].rstrip())
+                if not name or name[1] or not re.fullmatch(r"ForEach|LazyForEach|Repeat", name[2]):
+                    return False
+            box = s.braces.enclosing(box)
+        return True
+
     for c in s.calls:
         line_start = s.code.rfind("\n", 0, c.start) + 1
         head = s.code[line_start : c.start]
         if c.qualifier is not None and re.match(r"\s*\.$", head):
             continue
-        if c.qualifier is None and c.name[:1].isupper() and re.match(r"\s*$", head):
+        if c.qualifier is None and c.name[:1].isupper() and re.match(r"\s*$", head) and builds(c.start):
             c.context = "arkui"
         kept.append(c)
     s.calls = kept
@@ -247,11 +312,23 @@ def go(code: str) -> Parsed:
             kind = re.sub(r"\[.*", "", m["recv"].split()[-1].lstrip("*"))
             owner = (("class", kind),)
         s.add(m, m["name"], "method" if owner else "function", s.body_end(close + 1), upper(m["name"]), m["name"] + s.raw[m.end() : close + 1], owner=owner)
-    for m in re.finditer(r"(?m)^type\s+(?P<name>\w+)\s*(?:\[[^\]]*\])?\s*(?P<what>struct|interface)?", s.code):
-        kind = {"struct": "class", "interface": "interface"}.get(m["what"], "type")
-        stop = s.body_end(m.end()) if m["what"] else _line_end(s, m.end())
-        s.add(m, m["name"], kind, stop, upper(m["name"]), m["name"])
+    one = re.compile(r"(?P<name>\w+)\s*(?:\[[^\]]*\])?\s*=?\s*(?P<what>struct|interface)?\b")
+    for t in re.finditer(r"(?m)^type\s*(?P<paren>\()?", s.code):
+        at, end = t.end(), closing(s.code, t.end() - 1) if t["paren"] else len(s.code)
+        while m := re.compile(r"[\s;]*").match(s.code, at, end):
+            m = one.match(s.code, m.end(), end)
+            if not m:
+                break
+            kind = {"struct": "class", "interface": "interface"}.get(m["what"], "type")
+            stop = s.body_end(m.end()) if m["what"] else _line_end(s, m.end())
+            sym = s.add(m, m["name"], kind, stop, upper(m["name"]), m["name"])
+            if not t["paren"]:
+                sym.start = t.start()
+                break
+            at = stop
     s.find_calls(r"\.")
+    listed = [x for x in s.symbols if x.kind == "interface"]
+    s.calls = [c for c in s.calls if not any(x.start <= c.start < x.stop for x in listed)]  # methods of interfaces look like calls
     return Parsed(s.symbols, s.imports, s.calls, s.issues())
 
 
@@ -328,12 +405,28 @@ def java(code: str) -> Parsed:
     return Parsed(s.symbols, s.imports, s.calls, s.issues())
 
 
+def _without_template_heads(code: str) -> str:
+    """code with the parameter lists of templates blanked, so that they aren't taken for declarations."""
+    out = list(code)
+    for m in re.finditer(r"\btemplate\s*(?=<)", code):
+        depth = 0
+        for i in range(m.end(), len(code)):
+            depth += (code[i] == "<") - (code[i] == ">" and code[i - 1] != "-")
+            if code[i] in ";{}":
+                break
+            if depth == 0:
+                out[m.start() : i + 1] = [c if c == "\n" else " " for c in code[m.start() : i + 1]]
+                break
+    return "".join(out)
+
+
 # -- C and C++ ---------------------------------------------------------------------------------------------------------
 def c_family(code: str, lang: str) -> Parsed:
     s = _Source(code, "cpp")
     for m in re.finditer(r'(?m)^[ \t]*#[ \t]*include[ \t]*(?=")', s.code):
         s.imports.append(imported(_string(s.raw, m.end()), s.lines.of(m.start()), "include", []))
     s.code = re.sub(r"(?m)^[ \t]*#(?:[^\n\\]|\\.|\\\n)*", lambda m: re.sub(r"[^\n]", " ", m[0]), s.code)
+    s.code = _without_template_heads(s.code)
     s.braces = Braces(s.code)
     boxes: dict[int, tuple[str, str]] = {}
     for m in re.finditer(r"\b(?P<what>class|struct|union|enum(?:\s+class|\s+struct)?|namespace)\s+(?:alignas\([^)]*\)\s*)?(?P<name>[\w:]+)(?P<rest>[^;{}()=]*)\{", s.code):
@@ -354,9 +447,18 @@ def c_family(code: str, lang: str) -> Parsed:
             return (section[-1] if section else "private" if boxes[box][0] == "class" else "public") == "public"
         return True
 
-    decl = r"(?:^|(?<=[;{}:\n]))\s*(?P<head>(?:template\s*<[^;{}]*?>\s*)?(?:(?:virtual|static|inline|constexpr|explicit|extern|friend|const|unsigned|signed|long|short|struct|typename|\[\[\w+\]\])\s+)*(?:[\w:]+(?:<[^;{}()]*>)?[\s*&]+(?:const\s*)?[*&\s]*)?)(?P<name>(?:[\w]+::)*~?\w+|(?:[\w]+::)*operator\s*[^\s(]+)\s*(?=\()"
+    for m in re.finditer(r"(?:^|(?<=[;{}:\n]))\s*(?P<head>(?:(?:static|inline|extern|const|unsigned|signed|long|short|struct)\s+)*[\w:]+(?:<[^;{}()]*>)?[\s*&]*)\(\s*\*+\s*(?P<name>\w+)\s*(?=\()", s.code):
+        inner, box = closing(s.code, m.end()), s.braces.enclosing(m.start("name"))
+        outer = re.match(r"\s*\)\s*\(", s.code[inner + 1 :])  # a function that returns a pointer to a function
+        if outer and (box < 0 or box in boxes) and m["head"].split()[-1] not in ("return", "else", "case"):
+            last = closing(s.code, inner + outer.end())
+            if re.match(r"\s*[{;]", s.code[last + 1 :]):
+                s.add(m, m["name"], "function", s.body_end(last + 1), exported(m.start(), box, m["head"]), m["name"] + s.raw[m.end() : inner + 1])
+    decl = r"(?:^|(?<=[;{}:\n]))\s*(?P<head>(?:template\s*<[^;{}]*?>\s*)?(?:(?:virtual|static|inline|constexpr|explicit|extern|friend|const|unsigned|signed|long|short|struct|typename|\[\[\w+\]\])\s+)*(?:[\w:]+(?:<[^;{}()]*>)?[\s*&]+(?:const\s*)?[*&\s]*)?)(?P<name>(?:\w+::)*operator(?:\s*\(\s*\)|\s*[^\s\w(]+|\s+(?:const\s+)?[\w:]+(?:<[^;{}()]*>)?[\s*&]*)|(?:\w+::)*~?\w+)\s*(?=\()"
     for m in re.finditer(decl, s.code):
         close, box = closing(s.code, m.end()), s.braces.enclosing(m.start("name"))
+        if re.search(r"(?:^|::)operator\b", m["name"]):  # operators have no name of their own
+            continue
         after = re.match(r"\s*(?:(?:const|noexcept|override|final|volatile|&&?|->\s*[\w:<>*&\s]+|=\s*(?:0|default|delete)|:\s*[^;{]*)\s*)*[{;]", s.code[close + 1 :])
         parts = m["name"].split("::")
         own = boxes.get(box)
@@ -370,7 +472,7 @@ def c_family(code: str, lang: str) -> Parsed:
     for m in re.finditer(r"(?:^|(?<=[;{}:\n]))[ \t]*(?P<head>(?:(?:static|extern|const|constexpr|inline|mutable|volatile|unsigned|signed|long|short|struct)\s+)*[\w:]+(?:<[^;{}()]*>)?[\s*&]+)(?P<name>\w+)\s*(?:\[[^\]]*\]\s*)*(?=[=;{])", s.code):
         box = s.braces.enclosing(m.start("name"))
         own = boxes.get(box)
-        if (box >= 0 and (own is None or own[0] == "enum")) or re.match(r"\s*(?:return|using|typedef|class|struct|enum|namespace|goto|case|delete|throw|else|public|private|protected|template|friend)\b(?!\s+\w+\s+\w)", m["head"]):
+        if m["name"] == "operator" or (box >= 0 and (own is None or own[0] == "enum")) or re.match(r"\s*(?:return|using|typedef|class|struct|enum|namespace|goto|case|delete|throw|else|public|private|protected|template|friend)\b(?!\s+\w+\s+\w)", m["head"]):
             continue
         member = own is not None and own[0] != "namespace"
         s.add(m, m["name"], "field" if member else "variable", s.body_end(m.end()), exported(m.start(), box, m["head"]), m["name"])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codeloom import schema as S
 from codeloom.functions import scalars as X
 from codeloom.operators import change, context, diff, evidence, excerpts, graph, imports, incremental, references, search, stats
+from codeloom.plans import languages
 from codeloom.plans.adapters import Adapter, with_ctes
 from codeloom.streaming import events
 
@@ -529,10 +530,10 @@ def mulberry32_draws(a):
     return a.table("orders").select((F.col("o_orderkey") + 1).alias("k")).select("k", F.round(X.mulberry32(F.lit(12345), F.col("k")), 9).alias("u"))
 
 
-@query(f"SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, (SELECT avg(CAST(n_regionkey AS DOUBLE)) FROM nation) AS estimate FROM (SELECT (k - 1) // 25 AS r, avg(CAST(n_regionkey AS DOUBLE)) AS m FROM ({_DRAWS}) JOIN nation ON n_nationkey = CAST(floor(u * 25) AS BIGINT) GROUP BY 1)", "ks AS (SELECT unnest(range(1, 25 * 400 + 1)) AS k)")
+@query(f"SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, (SELECT avg(CAST(n_regionkey AS DOUBLE)) FROM nation) AS estimate FROM (SELECT (k - 1) // 25 AS r, avg(CAST(n_regionkey AS DOUBLE)) AS m FROM ({_DRAWS}) JOIN nation ON n_nationkey = CAST(floor(u * 25) AS BIGINT) GROUP BY 1)", "ks AS (SELECT unnest(range(1, 25 * 10000 + 1)) AS k)")
 def bootstrap_ci(a):
     diffs = a.table("nation").select(F.col("n_nationkey").alias("at"), F.col("n_regionkey").cast("double").alias("value"))
-    return stats.bootstrap(diffs, iterations=400).withColumns({c: F.round(c, 6) for c in ("low", "high")})
+    return stats.bootstrap(diffs).withColumns({c: F.round(c, 6) for c in ("low", "high")})
 
 
 # -- events, text ------------------------------------------------------------------------------------------------------
@@ -564,3 +565,12 @@ def parsed_hunks(a):
     d = a.table("orders").select(F.col("o_orderkey").alias("diff_id"), F.col("o_custkey").cast("string").alias("c"), (F.col("o_orderkey") + 1).cast("string").alias("k"))
     found = diff.changes(d.select("diff_id", text.alias("text"))).select(F.col("diff_id").cast("long").alias("o_orderkey"), F.col("new_path").alias("file"), F.explode("hunks").alias("h"))
     return found.select("o_orderkey", "file", F.col("h.new_start").cast("long").alias("start"), (F.col("h.new_start") + F.col("h.new_lines") - 1).cast("long").alias("stop"))
+
+
+# -- extraction --------------------------------------------------------------------------------------------------------
+def _extraction(lang: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: languages.extracted(Adapter(spark, sf_dir).table("part"), lang)
+
+
+QUERIES |= {f"extract_{lang}": _extraction(lang) for lang in languages.SOURCES}
+ORACLE_SQL |= {f"extract_{lang}": languages.sql(lang) for lang in languages.SOURCES}

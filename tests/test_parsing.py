@@ -80,3 +80,17 @@ def test_odd_files():
 )
 def test_ignore_rules(rules, path, want):
     assert ignore.ignored(rules, path) is want
+
+
+def test_statements_that_patterns_get_wrong():
+    go = extract_text("package m\nvar (\n  a = 1\n)\ntype (\n  Q struct{}\n  Z = int\n)\nfunc F() { g() }\n", "go", "a.go")
+    assert [(s["name"], s["kind"]) for s in go["symbols"]] == [("Q", "class"), ("Z", "type"), ("F", "function")] and [c["name"] for c in go["calls"]] == ["g"]
+    cpp = extract_text("template<class K, class W> class Map {};\nstruct B { operator bool(); bool operator==(const B& o); int operator()(int a); };\nint (*fp(int))(double) { return pick(); }\nvoid f() { S<int>::k(); }\n", "cpp", "a.cpp")
+    assert names(cpp) == ["Map", "B", "fp", "f"] and {(c["name"], c["qualifier"]) for c in cpp["calls"]} == {("pick", None), ("k", "S<int>")}
+    js = extract_text("const a = 1, b = 2\nlet q = (x, y) => x\nvar e, g\nconst h = [1, 2]\n", "javascript", "a.js")
+    assert names(js) == ["a", "b", "q", "e", "g", "h"]
+    ts = extract_text("export let c: Map<string, number> = new Box(), d = f(1, 2)\n", "typescript", "a.ts")
+    assert names(ts) == ["c", "d"] and all(s["exported"] for s in ts["symbols"])
+    ets = "@Component\nstruct P {\n  build() {\n    Column() {\n      Text('a')\n        .onClick(() => {\n          Foo()\n        })\n      ForEach(this.l, (i) => {\n        Row()\n      })\n    }\n  }\n  plain() {\n    Bar()\n  }\n}\n@Builder\nfunction made() {\n  Baz()\n}\n"
+    assert {c["name"]: c["context"] for c in extract_text(ets, "arkts", "p.ets")["calls"]} == {"Column": "arkui", "Text": "arkui", "Foo": None, "ForEach": "arkui", "Row": "arkui", "Bar": None, "Baz": "arkui"}
+    assert extract_text("class J { void go() { new K().run(); } }", "java", "J.java")["calls"][1]["qualifier"] == "new K()"
