@@ -20,6 +20,7 @@ class Registry:
         self._held: OrderedDict[str, CodeIndex] = OrderedDict()
         self._dirty: dict[str, set[str]] = {}
         self._locks: dict[str, threading.Lock] = {}
+        self._epochs: dict[str, int] = {}  # how often each root was dropped
         self._guard = threading.Lock()
 
     def mark(self, root: str, *paths: str) -> None:
@@ -33,20 +34,21 @@ class Registry:
             while True:
                 with self._guard:
                     dirty = self._dirty.pop(root, None)
-                    held = self._held.get(root)
-                if held is not None and not dirty:
-                    break
+                    held, epoch = self._held.get(root), self._epochs.get(root, 0)
+                    if held is not None and not dirty:
+                        self._held.move_to_end(root)
+                        while len(self._held) > self.most:
+                            old, _ = self._held.popitem(last=False)
+                            self._dirty.pop(old, None)
+                        return held
                 index = CodeIndex.refresh(self.spark, root, self.base, forced=sorted(dirty or ()))
                 with self._guard:
+                    if self._epochs.get(root, 0) != epoch:  # dropped meanwhile: it isn't held again
+                        return index
                     self._held[root] = index
-            with self._guard:
-                self._held.move_to_end(root)
-                while len(self._held) > self.most:
-                    old, _ = self._held.popitem(last=False)
-                    self._dirty.pop(old, None)
-                return self._held[root]
 
     def drop(self, root: str) -> None:
         with self._guard:
+            self._epochs[root] = self._epochs.get(root, 0) + 1
             self._held.pop(root, None)
             self._dirty.pop(root, None)

@@ -36,22 +36,45 @@ def save(spark: SparkSession, base: str, root: str, tables: dict[str, DataFrame]
     out = fs.create(tmp, True)
     out.write(bytearray(name.encode()))
     out.close()
-    fs.delete(pointer, False)
-    fs.rename(tmp, pointer)
+    _replace(spark, tmp, pointer)
     return name
 
 
+def _replace(spark: SparkSession, source, target) -> None:
+    """Rename over an existing file: in one step where the file system can, so that readers find the old or the new one."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    qualified = [source.getFileSystem(conf).makeQualified(p) for p in (source, target)]
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified[1].toUri(), conf).rename(*qualified, how)
+
+
 def load(spark: SparkSession, base: str, root: str) -> dict[str, DataFrame] | None:
-    """Tables of the current generation; None where there is none, or it's damaged or of another schema version."""
+    """Tables of the current generation; None where there is none, or it's damaged or of another schema version.
+
+    A storage that can't be reached is an error: it must not look like an index that was never made.
+    """
     folder = f"{base}/{key(root)}"
+
+    def there(path: str) -> bool:
+        fs, p = _fs(spark, path)
+        return fs.exists(p)
+
+    if not there(f"{folder}/current"):
+        return None
+    name = spark.read.text(f"{folder}/current").first()
+    if name is None or not all(there(f"{folder}/{name[0]}/{t}") for t in ("meta", *S.TABLES)):
+        return None
+    meta = spark.read.text(f"{folder}/{name[0]}/meta").first()
     try:
-        name = spark.read.text(f"{folder}/current").first()[0]
-        meta = json.loads(spark.read.text(f"{folder}/{name}/meta").first()[0])
-        if meta["schema_version"] != S.SCHEMA_VERSION or meta["root"] != root:
-            return None
-        return {t: spark.read.schema(schema).parquet(f"{folder}/{name}/{t}") for t, schema in S.TABLES.items()}
-    except Exception:
+        known = json.loads(meta[0] if meta else "")
+    except ValueError:
+        return None
+    if not isinstance(known, dict) or known.get("schema_version") != S.SCHEMA_VERSION or known.get("root") != root:
         return None
+    return {t: spark.read.schema(schema).parquet(f"{folder}/{name[0]}/{t}") for t, schema in S.TABLES.items()}
 
 
 def import_json(spark: SparkSession, path: str) -> DataFrame:
