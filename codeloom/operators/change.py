@@ -38,3 +38,17 @@ def affected_tests(files: DataFrame, graph: DataFrame, calls: DataFrame, changed
 
 def ordered_tests(tests: DataFrame, limit: int = 20) -> DataFrame:
     return tests.orderBy("rank", F.col("distance").asc_nulls_last(), "file").limit(limit)
+
+
+def narrowed(result: dict, files: set[str]) -> dict:
+    """The part of a change's (bounded) result that starts in some files: their declarations and what reaches those."""
+    changed = [r for r in result["changed"] if r["file"] in files]
+    ids = {r["id"] for r in changed}
+    callers = [r for r in result["callers"] if r["via_target"] in ids]
+    reached, impact = ids | {r["id"] for r in callers}, []
+    for r in sorted(result["impact"], key=lambda r: r["depth"]):
+        if r["via_target"] in reached:
+            reached.add(r["id"])
+            impact.append(r)
+    kept = {"dependents": [r for r in result["dependents"] if r["changed_file"] in files], "paths": [r for r in result["paths"] if r["changed_id"] in ids]}
+    return {**result, "changed": changed, "callers": callers, "impact": impact, **kept}

@@ -98,11 +98,13 @@ def edges(files: DataFrame, symbols: DataFrame, imports: DataFrame, calls: DataF
     t3 = cut(t3.select(*cols, F.lit("namespace-import").alias("provenance"), F.lit("import-scoped").alias("resolution")))
 
     left = rest.join(t4.select(*_KEY).distinct(), _KEY, "left_anti").unionByName(qualified.join(t3.select(*_KEY).distinct(), _KEY, "left_anti"))
-    # All calls of a name have the same candidates here: they are ranked and counted once for each name, before the join.
+    # All calls of a name have the same candidates here: they are ranked and counted once for each name, before the join. Each
+    # task keeps the least cap rows of a name before they are dealt out. The join has a key of its own, so that both of its
+    # sides are dealt out for it and a name that very many calls share can be split.
     once = names.dropDuplicates(["def_name", "id"])
     first = F.row_number().over(Window.partitionBy("def_name").orderBy("def_file", "def_line", "kind", "id"))
     top = once.withColumn("rank", first).where(F.col("rank") <= max(0, int(cap))).join(once.groupBy("def_name").agg(F.count("*").cast("int").alias("candidate_count")), "def_name")
-    t5 = left.join(top, named).select(*cols, F.lit("global-name").alias("provenance"), F.lit("name-only").alias("resolution"), "rank", "candidate_count")
+    t5 = left.join(top.withColumn("key", F.struct("def_name")), F.struct("name") == F.col("key")).select(*cols, F.lit("global-name").alias("provenance"), F.lit("name-only").alias("resolution"), "rank", "candidate_count")
     return capped(t1.unionByName(t2).unionByName(t4).unionByName(t3), files, cap, t5)
 
 

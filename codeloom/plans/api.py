@@ -172,12 +172,10 @@ class CodeIndex:
             gone = name(was).where("change = 'deleted'").withColumn("side", F.lit("base"))
             changed = name(now).withColumn("side", F.lit("current")).select(*sym.columns, "side", "change").unionByName(gone.select(*sym.columns, "side", "change"))
             lost = diff.outside(ranges.where("side = 'current'"), sym)
-            unmapped = [r.asDict() for r in lost.orderBy("file", "start").limit(report.XRAY["unmapped"]).collect()]
+            unmapped = [r.asDict() for r in lost.orderBy("file", "start").limit(report.XRAY["unmapped"] + 1).collect()]
         changed = cut(changed.orderBy("side", "file", "line", "id"))
-        top = [r.asDict(recursive=True) for r in changed.select("id", "name", "kind", "file", "line", "end_line", "side", "change").limit(at["max_impact"]).collect()]
-        from pyspark.sql.window import Window
-
-        seeds = changed.select("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("side", "file", "line", "id")).alias("ord"))  # one change
+        top = [r.asDict(recursive=True) for r in changed.select("id", "name", "kind", "file", "line", "end_line", "side", "change").limit(at["max_impact"] + 1).collect()]
+        seeds = changed.select("id", F.monotonically_increasing_id().alias("ord"))  # in the order of the checkpointed rows
         info = sym.select("id", "name", "kind", "file", "line")
         reach = cut(graph.impact(self.edges, seeds, at["max_depth"]))
         direct = cut(graph.direct_callers(self.edges, seeds)).join(info, "id").orderBy("file", "line", "id")
@@ -193,7 +191,7 @@ class CodeIndex:
         found = graph.entry_paths(self.edges, changed.select("id").distinct(), entries, at["max_depth"])
         e, c = info.select(*[F.col(k).alias(f"entry_{k}") for k in info.columns]), info.select(*[F.col(k).alias(f"changed_{k}") for k in info.columns])
         found = found.join(e, "entry_id").join(c, "changed_id").withColumn("resolution", X.label_of(F.col("strength"))).orderBy("entry_file", "entry_line", "changed_file", "changed_line", "entry_id").limit(at["max_paths"] + 1)
-        paths_ = [{"entry": r.entry_name, "changed": r.changed_name, "depth": r.depth, "resolution": r.resolution, "hops": [h.asDict() for h in r.hops]} for r in found.collect()]
+        paths_ = [{"entry": r.entry_name, "changed": r.changed_name, "changed_id": r.changed_id, "depth": r.depth, "resolution": r.resolution, "hops": [h.asDict() for h in r.hops]} for r in found.collect()]
         known_paths = self.files.select("path").unionByName(paths.select("path")).distinct()
         resolved = imports.resolve(self.imports, known_paths)  # files that the change deleted can still be imported
         deps = [r.asDict() for r in change.dependents(resolved, paths).orderBy("file", "changed_file", "specifier").limit(at["max_impact"] + 1).collect()]
@@ -203,8 +201,8 @@ class CodeIndex:
         said = evidence.summary(self.files, self.calls, self.edges, changed.select("id", "file"))
         counts = said.first().asDict()
         gaps = [r[0] for r in evidence.gaps(said).collect()]
-        full = {"callers": (callers, at["max_impact"]), "impact": (impact, at["max_impact"]), "paths": (paths_, at["max_paths"]), "dependents": (deps, at["max_impact"]), "tests": (tests, at["max_tests"])}
-        return {"changed": top, "files": [r[0] for r in paths.orderBy("path").collect()], "unmapped": unmapped, "gaps": gaps, "evidence": counts, "truncated": {k: len(v) > n for k, (v, n) in full.items()}, **{k: v[:n] for k, (v, n) in full.items()}}
+        full = {"changed": (top, at["max_impact"]), "unmapped": (unmapped, report.XRAY["unmapped"]), "callers": (callers, at["max_impact"]), "impact": (impact, at["max_impact"]), "paths": (paths_, at["max_paths"]), "dependents": (deps, at["max_impact"]), "tests": (tests, at["max_tests"])}
+        return {"files": [r[0] for r in paths.orderBy("path").collect()], "gaps": gaps, "evidence": counts, "truncated": {k: len(v) > n for k, (v, n) in full.items()}, **{k: v[:n] for k, (v, n) in full.items()}}
 
     def change_text(self, **options) -> str:
         return report.render_change(self.change_context(**options))
@@ -229,6 +227,16 @@ class CodeIndex:
         changed = self.change_context(base_ref=base_ref) if base_ref and kind in ("change", "test") else None
         primary = context.primary_symbols(self.symbols, task, names=names, mentioned=mentioned, limit=n_symbols, ambiguous=kind == "ambiguous")
         rows = [r.asDict() for r in primary.collect()]
+        none = self.spark.createDataFrame([], "path string, depth int")
+
+        def seed_tests(paths: set[str], names: set[str]) -> DataFrame:
+            own = [self.spark.createDataFrame([(x,) for x in sorted(given)], f"{c} string") for given, c in ((paths, "path"), (names, "name"))]
+            return change.affected_tests(self.files, self.module_graph, self.calls, *own, none)
+
+        if changed and rows:
+            changed = change.narrowed(changed, {r["file"] for r in rows})
+            found = seed_tests({r["file"] for r in changed["changed"]}, {r["name"] for r in changed["changed"]})
+            changed["tests"] = [r.asDict() for r in change.ordered_tests(found).collect()]
         ids = self.spark.createDataFrame([(r["id"],) for r in rows], "id string")
         around = references.neighbours(self.edges, ids).join(self.symbols.select(F.col("id").alias("other"), F.col("name").alias("other_name"), F.col("file").alias("other_file")), "other") if kind != "ambiguous" else None
         near = [r.asDict() for r in around.orderBy("id", "direction", "call_line", "other").collect()] if around is not None else []
@@ -238,9 +246,7 @@ class CodeIndex:
             pool["affected-test"] = self.spark.createDataFrame([(t["file"],) for t in changed["tests"]], "path string")
             pool["import-dependent"] = self.spark.createDataFrame([(d["file"],) for d in changed["dependents"]], "path string")
         else:
-            paths = self.spark.createDataFrame([(p,) for p in sorted({r["file"] for r in rows} | set(mentioned))], "path string")
-            none = self.spark.createDataFrame([], "path string, depth int")
-            seed = change.affected_tests(self.files, self.module_graph, self.calls, paths, self.spark.createDataFrame([(r["name"],) for r in rows], "name string"), none)
+            seed = seed_tests({r["file"] for r in rows} | set(mentioned), {r["name"] for r in rows})
             pool["affected-test"] = seed.select(F.col("file").alias("path"))
         if not rows and kind in ("architecture", "exploration", "ambiguous"):
             pool["map"] = self.map(n_files).select("path", F.least(F.lit(35.0), F.col("score") + 10).alias("score"))
