@@ -1,23 +1,52 @@
-"""Cutting the lineage of iterative plans."""
+"""Cutting the lineage of plans: by reliable checkpoints, or by compressed tables that later plans read in part."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's shared ``spark.checkpoint.dir``; a local folder only where that is unset."""
+def shared_dir(spark: SparkSession) -> str:
+    """The session's shared ``spark.checkpoint.dir``, or the context's checkpoint folder; a local one only in local sessions."""
     global _own_dir
+    if where := spark.conf.get("spark.checkpoint.dir", None):
+        return where
+    set_by_hand = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if set_by_hand.isDefined():
+        return set_by_hand.get()
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    _own_dir = _own_dir or "file://" + tempfile.mkdtemp(prefix="codeloom-")
+    return _own_dir
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint: rows keep their partitions and order."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not where and not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if not where:
-            where = _own_dir = _own_dir or "file://" + tempfile.mkdtemp(prefix="codeloom-")
-        sc.setCheckpointDir(where)
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows as a compressed table in the shared folder, without order; it goes when the driver's JVM ends.
+
+    Later plans read only the columns that they need, filter in the scan, and know the table's size, so a small side is
+    broadcast below the session's limit and never beyond it.
+    """
+    spark = df.sparkSession
+    where = f"{shared_dir(spark).rstrip('/')}/codeloom-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        df.write.parquet(where)
+    except BaseException:
+        store.delete(path, True)
+        raise
+    store.deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(where)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeloom import schema as S
-from codeloom.checkpoints import cut
+from codeloom.checkpoints import kept
 from codeloom.functions import scalars as X
 from codeloom.operators import imports as I
 
@@ -65,9 +65,9 @@ def edges(files: DataFrame, symbols: DataFrame, imports: DataFrame, calls: DataF
     many = local.groupBy(*_KEY).agg(F.count("*").alias("n"))
     owned = (F.col("n") == 1) & F.when(F.col("from_id").isNull(), box == "").otherwise((F.col("id") == F.col("from_id")) | (box == own))
     t1 = local.join(many, _KEY).select(*_KEY, "name", "call_line", "from_id", "id", "kind", "def_file", "def_line", F.when(owned & F.col("from_id").isNotNull(), "structural-owner").otherwise("local-unique").alias("provenance"), F.when(owned, "exact").otherwise("name-only").alias("resolution"))
-    t1 = cut(t1)  # every tier is computed once; the next ones only ask which calls it has settled
+    t1 = kept(t1)  # every tier is computed once; the next ones only ask which calls it has settled
 
-    resolved = cut(I.resolve(imports.where("kind <> 'reexport'"), files).where("target is not null").select("file", "target", "suffix_skipped", "specifier", "bindings"))
+    resolved = kept(I.resolve(imports.where("kind <> 'reexport'"), files).where("target is not null").select("file", "target", "suffix_skipped", "specifier", "bindings"))
     lang = files.select(F.col("path").alias("file"), "lang")
     bound_names = resolved.select("file", "target", "suffix_skipped", F.explode("bindings").alias("b")).select("file", "target", "suffix_skipped", F.col("b.local").alias("name"), "b.imported", F.col("b.kind").alias("how"))
     default = (F.col("how") == "default") | (F.coalesce("imported", F.lit("")) == "default")
@@ -83,19 +83,19 @@ def edges(files: DataFrame, symbols: DataFrame, imports: DataFrame, calls: DataF
     found = explicit.select(*cols, F.col("suffix_skipped").alias("far"), F.lit(False).alias("default")).unionByName(whole.select(*cols, F.col("suffix_skipped").alias("far"), F.lit(True).alias("default")))
     sure = found.groupBy(*_KEY).agg(((F.count("*") == 1) & ~F.bool_or("far") & ~F.bool_or("default")).alias("sure"))
     t2 = found.join(sure, _KEY).select(*cols, F.lit("explicit-import-binding").alias("provenance"), F.when(F.col("sure"), "exact").otherwise("import-scoped").alias("resolution"))
-    t2 = cut(t2)
+    t2 = kept(t2)
 
     rest = rest.where(~arkui).join(t2.select(*_KEY).distinct(), _KEY, "left_anti")
     modules = I.module_graph(resolved).withColumnRenamed("src", "file")
     t4 = rest.join(modules, "file").join(names, named & (F.col("dst") == F.col("def_file")))
-    t4 = cut(t4.select(*cols, F.lit("resolved-import-module").alias("provenance"), F.lit("import-scoped").alias("resolution")))
+    t4 = kept(t4.select(*cols, F.lit("resolved-import-module").alias("provenance"), F.lit("import-scoped").alias("resolution")))
 
     spaces = resolved.where("target <> file")
     by_binding = spaces.select("file", "target", F.explode("bindings").alias("b")).where("b.kind in ('namespace', 'package')").select("file", F.col("b.local").alias("qualifier"), F.col("target").alias("dst"))
     by_tail = spaces.where(F.coalesce(F.size("bindings"), F.lit(0)) <= 0).select("file", X.specifier_tail(F.col("specifier")).alias("qualifier"), F.col("target").alias("dst"))
     through = by_binding.unionByName(by_tail).distinct()
     t3 = qualified.join(through, ["file", "qualifier"]).join(names, named & (F.col("dst") == F.col("def_file")))
-    t3 = cut(t3.select(*cols, F.lit("namespace-import").alias("provenance"), F.lit("import-scoped").alias("resolution")))
+    t3 = kept(t3.select(*cols, F.lit("namespace-import").alias("provenance"), F.lit("import-scoped").alias("resolution")))
 
     left = rest.join(t4.select(*_KEY).distinct(), _KEY, "left_anti").unionByName(qualified.join(t3.select(*_KEY).distinct(), _KEY, "left_anti"))
     # All calls of a name have the same candidates here: they are ranked and counted once for each name, before the join. Each

@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.checkpoints import cut
+from codeloom.checkpoints import kept
 
 CTES = {
     # files: fid, path, lang, seq, status
@@ -89,5 +89,5 @@ class Adapter:
         if name not in CTES:
             raise AttributeError(name)
         if name not in self._made:  # made once, as the tables of an index would be
-            self._made[name] = cut(self.sql(f"SELECT * FROM {name}"))
+            self._made[name] = kept(self.sql(f"SELECT * FROM {name}"))
         return self._made[name]
