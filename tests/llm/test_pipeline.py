@@ -35,11 +35,13 @@ def without_repeats(docs):
         lines = docs[d].split("\n")
         at = [p for p, x in enumerate(lines) if re.search(WORD, x)]
         gone = set()
-        for i in range(len(at) - 2):
-            run = tuple(lines[p] for p in at[i : i + 3])
-            if run in seen:
-                gone |= set(at[i : i + 3])
-            seen.add(run)
+        for i in range(len(at)):
+            for n in (1, 2, 3):
+                run = tuple(lines[p] for p in at[i : i + n])
+                if len(run) == n and (n == 3 or sum(len(re.findall(WORD, x)) for x in run) > 50):
+                    if run in seen:
+                        gone |= set(at[i : i + n])
+                    seen.add(run)
         text = "\n".join(x for p, x in enumerate(lines) if p not in gone)
         if not gone or re.search(WORD, text):
             out[d] = text
@@ -122,6 +124,6 @@ def test_every_operator_has_a_query():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in (1, 2, 3, 4, 5, 6, 8, 9, 10)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
     assert os.path.exists(SF)
