@@ -24,7 +24,7 @@ import json
 import struct
 import uuid
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -60,10 +60,10 @@ def record(page_id, url: str | None, payload: bytes, refers_to=None, digest: str
     if url is not None:
         head.append("WARC-Target-URI: " + quote(url, safe="!#$%&'()*+,/:;=?@[]~"))
     if page_id is not None:
-        head.append(f"X-Page-Id: {page_id}")
+        head.append(f"X-Page-Id: {quote(str(page_id))}")  # an id may hold line breaks
     head += [f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload) if length is None else length}"]
     if revisit:
-        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}"]
+        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page: {quote(str(refers_to))}"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return name, "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -197,7 +197,8 @@ def read(manifest: DataFrame, folder: str, id_type: str = "bigint") -> DataFrame
                             n = len(payload)
                         else:
                             payload, n = None, int(head["X-Payload-Length"])
-                        rows.append((head.get("X-Page-Id"), head.get("WARC-Target-URI"), payload, n, digest, kind, head.get("X-Refers-To-Page")))
+                        page, other = (unquote(x) if x is not None else None for x in (head.get("X-Page-Id"), head.get("X-Refers-To-Page")))
+                        rows.append((page, head.get("WARC-Target-URI"), payload, n, digest, kind, other))
                     cols = list(zip(*rows, strict=True))
                     kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string()]
                     yield pa.record_batch([pa.array(c, type=t) for c, t in zip(cols, kinds, strict=True)], names=["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"])

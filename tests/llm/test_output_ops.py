@@ -138,3 +138,10 @@ def test_seek_table(n):
     data = bundle.done()
     assert b"".join(warc.read_frame(data, f) for f in warc.seek_table(data)) == b"x" * (n * (n + 1) // 2)
     assert warc.read_record(data, f"r{n - 1}") == b"x" * n
+
+
+def test_warc_string_ids_with_line_breaks_and_a_payload_beyond_a_bundle(spark):
+    pages = [("a\r\n\r\nb: c", "<p>"), ("é %41", "<p>"), ("long", "y" * 50_000)]
+    df = spark.createDataFrame([(p, None, h) for p, h in pages], "page_id string, url string, html string")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(df, bundle_bytes=1000, frame_bytes=500).collect()}
+    assert got == {"a\r\n\r\nb: c": (3, "revisit", "é %41"), "é %41": (3, "response", None), "long": (50_000, "response", None)}
