@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import id_text, id_type, int_lists, row_key
+from codeloom.llm.common import id_text, id_type, int_lists, row_key, tidy
 
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 512
+#: Bytes of text that are encoded at once.
+PIECE = 2_000_000
 #: Entries of the per-worker memo from pre-token to ids.
 MEMO_PIECES = 200_000
 
@@ -66,6 +68,10 @@ class ByteBPE:
             out += ids
         return out
 
+    def forget(self) -> None:
+        """Empty the memo: it can be the larger part of a worker's memory."""
+        self._memo.clear()
+
     def encode(self, text: str) -> list[int]:
         return self.merge(self._find.findall(text))
 
@@ -128,7 +134,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, *, chunk_chars: int =
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(rank_file, pattern)
         for batch in batches:
-            for part in sliced(batch):
+            for part in sliced(batch, PIECE):
                 ids = [bpe.encode(t) for t in part.column("text").to_pylist()]
                 yield pa.record_batch([part.column("doc_id"), int_lists(ids), pa.array([bpe.decode(x) for x in ids], type=pa.binary())], names=["doc_id", "ids", "decoded"])
 
@@ -151,11 +157,11 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, *, chunk_chars: int =
         return pa.table([group.column("doc_id").slice(0, copies), int_lists([ids] * copies), pa.array([bpe.decode(ids)] * copies, type=pa.binary())], names=["doc_id", "ids", "decoded"])
 
     length = F.length("text")
-    short = rows.where(length <= chunk_chars).mapInArrow(whole, out)
+    short = rows.where(length <= chunk_chars).mapInArrow(tidy(whole, lambda: loaded(rank_file, pattern).forget()), out)
     step = chunk_chars - overlap_chars
     long = rows.where(length > chunk_chars).select("doc_id", *row_key(), "text", F.explode(F.sequence(F.lit(0), length - overlap_chars - 1, F.lit(step))).alias("at"))
     long = long.select("doc_id", "k1", "k2", F.col("at").cast("long").alias("at"), F.expr(f"substring(text, at + 1, {chunk_chars})").alias("part"))
-    chunks = long.repartition("k1", "k2", "at").mapInArrow(boundaries, f"doc_id {kind}, k1 long, k2 long, at long, part string, ends binary")
+    chunks = long.repartition("k1", "k2", "at").mapInArrow(tidy(boundaries), f"doc_id {kind}, k1 long, k2 long, at long, part string, ends binary")
     return short.unionAll(chunks.groupBy("k1", "k2").applyInArrow(joined, out))
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.bpe import sliced
-from codeloom.llm.common import alnum_words, id_text, id_type, row_key
+from codeloom.llm.common import alnum_words, id_text, id_type, row_key, tidy
 
 WINDOW_WORDS = 8
 SHARD_BYTES = 8_000_000
@@ -109,8 +109,8 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window_words: int = WINDOW_WO
                     yield pa.record_batch([*others, pa.array(counts, type=pa.int64()), pa.array([[dict(zip(("first", "last", "start", "stop"), h, strict=True)) for h in x] for x in hits], type=_HIT), pa.array(names, type=pa.list_(pa.string()))], names=[*passed, *["text"] * with_text, "n_words", "hits", "items"])
 
         if shards == 1:
-            return rows.mapInArrow(run, f"doc_id {kind}, {carried}{_OUT}")
-        return rows.select("doc_id", *row_key(), "text").mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, {carried}{_OUT}")
+            return rows.mapInArrow(tidy(run), f"doc_id {kind}, {carried}{_OUT}")
+        return rows.select("doc_id", *row_key(), "text").mapInArrow(tidy(run), f"doc_id {kind}, k1 long, k2 long, {carried}{_OUT}")
 
     if shards == 1:
         return one(0)

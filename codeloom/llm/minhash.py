@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.bpe import sliced
-from codeloom.llm.common import cut, id_text, id_type, row_key, space_words
+from codeloom.llm.common import cut, id_text, id_type, row_key, space_words, tidy
 
 SHINGLE_WORDS = 5
 BINS = 128
@@ -136,7 +136,7 @@ def profiles(docs: DataFrame, shingle_words: int, bins: int = BANDS * 4, bands:
                     buckets.append(bands_of(sketch(e, bins), bands) if len(e) else None)
                 yield pa.record_batch([*(part.column(c) for c in ("doc_id", "k1", "k2")), pa.array(sizes, type=pa.int64()), pa.array(nodes, type=pa.binary()), pa.array(buckets, type=pa.list_(pa.int64()))], names=["doc_id", "k1", "k2", "n_shingles", "node", "buckets"])
 
-    return id_text(docs).select("doc_id", *row_key(), "text").mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, n_shingles long, node binary, buckets array<long>")
+    return id_text(docs).select("doc_id", *row_key(), "text").mapInArrow(tidy(run), f"doc_id {kind}, k1 long, k2 long, n_shingles long, node binary, buckets array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity: tuple[int, int]) -> DataFrame:
@@ -169,7 +169,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity:
     dealt = pairs.join(packed, F.struct(pairs["a"]) == F.col("key")).select("a", "b", F.pmod(F.xxhash64("b"), "chunks").alias("chunk"))
     seconds = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "b", "text", "chunk")
     ready = firsts.unionByName(seconds).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
-    return ready.select("a", "b", "text").mapInArrow(run, "a binary, b binary")
+    return ready.select("a", "b", "text").mapInArrow(tidy(run), "a binary, b binary")
 
 
 def across(members: DataFrame, texts: DataFrame, shingle_words: int, similarity: tuple[int, int]) -> DataFrame:
@@ -209,7 +209,7 @@ def across(members: DataFrame, texts: DataFrame, shingle_words: int, similarity:
                 out += [(node[i], node[rows[k]]) for k in best.values()]
         return pa.table([pa.array([min(x) for x in out], type=pa.binary()), pa.array([max(x) for x in out], type=pa.binary())], names=["a", "b"])
 
-    sets = texts.join(members.select("node").distinct(), "node").select("node", "text").mapInArrow(hashed, "node binary, elements binary")
+    sets = texts.join(members.select("node").distinct(), "node").select("node", "text").mapInArrow(tidy(hashed), "node binary, elements binary")
     full = members.join(sets, "node")
     some = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
