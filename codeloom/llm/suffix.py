@@ -17,6 +17,8 @@ steps. Neighbours in the sorted order that agree in ``length`` bytes are repeate
 equal hashes send two of them into the sort. The claims on sorted strings are verified on the bytes, and a block with a hash
 collision is settled by its bytes instead. A context that stands twice is known by two 64-bit hashes (its anchor's and its own). Anchors with more contexts than ``BLOCK`` are
 sorted in blocks; strings that are alone in their block meet those of the other blocks by ranges of another 64-bit hash, packed.
+Strings that start at different distances before their anchor can't be equal, so a block is sorted in ranges of that distance,
+of about ``STRINGS`` strings: a task's memory doesn't grow with the strings of a block.
 
 Nothing is capped or sampled. A null text is empty; rows that repeat an id and text are separate places, so their strings
 of ``length`` bytes repeat; an empty table gives an empty result; other columns are ignored.
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.bpe import sliced
-from codeloom.llm.common import id_text, id_type, release, row_key, stored
+from codeloom.llm.common import give_back, id_text, id_type, release, row_key, stored, tidy
 from codeloom.llm.minhash import mix
 
 LENGTH = 400
@@ -42,6 +44,8 @@ ANCHOR = 48
 BLOCK = 2048
 #: Bytes of text that are hashed at once.
 PIECE = 1_000_000
+#: Strings of a block that are sorted at once, about: those that start equally far before their anchors stay together.
+STRINGS = 200_000
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -154,7 +158,7 @@ def suffix_sort(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length:
     return order, equal
 
 
-def repeated(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
+def repeated(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int, hashed: Hashed | None = None) -> np.ndarray:
     """Which of the length-byte strings at starts equal another of their group; verified on the bytes.
 
     Strings of one group with equal hashes are represented by two of them in the sort. Those that the sort puts side by side
@@ -163,7 +167,7 @@ def repeated(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length: in
     out = np.zeros(len(starts), dtype=bool)
     if not len(starts):
         return out
-    hashed = Hashed(data)
+    hashed = hashed or Hashed(data)
     key = mix(hashed.of(starts, length) + mix(group.astype(_U)))
     order = np.argsort(key)
     new = np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
@@ -274,7 +278,7 @@ def _places(docs: DataFrame, length: int, gram: int, piece: int) -> DataFrame:
                 if small:
                     yield rows(k1, k2, *_scan(small, length, gram))
 
-    return docs.mapInArrow(run, "k1 long, k2 long, anchor long, context long, at binary, n long")
+    return docs.mapInArrow(tidy(run), "k1 long, k2 long, anchor long, context long, at binary, n long")
 
 
 def repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = ANCHOR, block: int = BLOCK, piece: int = PIECE) -> DataFrame:
@@ -310,7 +314,7 @@ def _known(places: DataFrame) -> DataFrame:
 _FOUND = "anchor long, context long, kind int, part long, packed binary"
 
 
-def _edges(rows: DataFrame, known: DataFrame, length: int, gram: int, block: int) -> DataFrame:
+def _edges(rows: DataFrame, known: DataFrame, length: int, gram: int, block: int, strings: int = STRINGS) -> DataFrame:
     """For anchors with several contexts: which strings of a context that stands once repeat in another one.
 
     Rows of kind 0 are settled; rows of kind 1 carry packed strings that have to meet other blocks of their anchor.
@@ -321,18 +325,19 @@ def _edges(rows: DataFrame, known: DataFrame, length: int, gram: int, block: int
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = ("anchor", "context", "n", "contexts")
         for batch in batches:
-            left, data = [], []
-            for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                for w in wanted:
-                    at = int.from_bytes(w["first"], "little")
-                    left.append((*(w[k] for k in keep), min(at, reach)))
-                    data.append(raw[max(0, at - reach) : at + length])
-            cols = list(zip(*left, strict=True)) or [[]] * 5
-            yield pa.record_batch([*(pa.array(c, type=pa.int64()) for c in cols), pa.array(data, type=pa.binary())], names=[*keep, "left", "data"])
+            for part in sliced(batch, PIECE):
+                left, data = [], []
+                for text, wanted in zip(part.column("text").to_pylist(), part.column("wanted").to_pylist(), strict=True):
+                    raw = text.encode("utf-8", "surrogatepass")
+                    for w in wanted:
+                        at = int.from_bytes(w["first"], "little")
+                        left.append((*(w[k] for k in keep), min(at, reach)))
+                        data.append(raw[max(0, at - reach) : at + length])
+                cols = list(zip(*left, strict=True)) or [[]] * 5
+                yield pa.record_batch([*(pa.array(c, type=pa.int64()) for c in cols), pa.array(data, type=pa.binary())], names=[*keep, "left", "data"])
 
     wanted = several.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "context", "n", "contexts", "first")).alias("wanted"))
-    sent = rows.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(fetch, "anchor long, context long, n long, contexts long, left long, data binary")
+    sent = rows.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(tidy(fetch), "anchor long, context long, n long, contexts long, left long, data binary")
     part = F.pmod(F.xxhash64("context"), F.ceil(F.col("contexts") / block))
     sent = sent.withColumn("block", part)
 
@@ -348,42 +353,52 @@ def _edges(rows: DataFrame, known: DataFrame, length: int, gram: int, block: int
             sizes = np.array([len(p) for p in pieces])
             data = np.concatenate(pieces)
             offset = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int32)  # 32 bits: a block has a few MB
+            hashed, other = Hashed(data), None
             counts = np.minimum(left + 1, np.maximum(0, sizes - length + 1))  # strings that hold the anchor
-            row = np.repeat(np.arange(len(sizes), dtype=np.int32), counts)
-            inner = np.arange(len(row), dtype=np.int32) - np.repeat((np.cumsum(counts) - counts).astype(np.int32), counts)
-            back = left.astype(np.int32)[row] - inner  # how far the string starts before the anchor
             _, group = np.unique(np.stack([anchor, block_no]), axis=1, return_inverse=True)
-            starts = offset[row] + inner
-            del inner
-            hit = repeated(data, starts, group.ravel().astype(np.int32)[row] * np.int32(reach + 1) + back, length)
+            group = group.ravel().astype(np.int32)
             out: list[list] = [[] for _ in range(5)]
-            ends = np.cumsum(counts)
-            for i in np.flatnonzero((n == 1) & (counts > 0)):
-                a, b = ends[i] - counts[i], ends[i]
-                mine = hit[a:b]
-                if mine.any():
-                    for c, v in zip(out, (anchor[i], context[i], 0, 0, _as_runs(back[a:b][mine])), strict=True):
-                        c.append(v)
-            # strings alone in their block may stand in another block of the anchor
-            spread = np.flatnonzero(many[row] > block)
-            if len(spread):
-                hashes = mix(Hashed(data, _BYTE2).of(starts[spread], length) + back[spread].astype(_U))
-                settled = hit[spread] | (n[row[spread]] > 1)  # of these one of each is enough
-                where = np.flatnonzero(settled)
-                _, one = np.unique(mix(hashes[where] + mix(anchor[row[spread[where]]].view(_U))), return_index=True)
-                use = np.concatenate([np.flatnonzero(~settled), where[one]])
-                spread, hashes, settled = spread[use], hashes[use], settled[use]
-                own = row[spread]
-                share = (hashes >> _U(20)) % np.ceil(many[own] / block).astype(_U)
-                order = np.lexsort((own, share, anchor[own]))
-                key = np.stack([anchor[own][order], share[order].astype(np.int64)])
-                cuts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
-                packed = np.zeros(len(order), dtype=_LONE)
-                packed["hash"], packed["back"], packed["settled"] = hashes[order], back[spread[order]], settled[order]
-                packed["context"] = np.where(settled[order], 0, context[own[order]])
-                for x, y in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
-                    for c, v in zip(out, (key[0, x], 0, 1, key[1, x], packed[x:y].tobytes()), strict=True):
-                        c.append(v)
+            runs: dict[int, list[bytes]] = {}
+            wide = max(1, strings // len(sizes))
+            for low in range(0, reach + 1, wide):  # a string that starts back before the anchor equals only ones that do so too
+                near, far = np.maximum(low, left - counts + 1), np.minimum(low + wide - 1, left)
+                many_of = np.maximum(0, far - near + 1)
+                ends = np.cumsum(many_of)
+                row = np.repeat(np.arange(len(sizes), dtype=np.int32), many_of)
+                if not len(row):
+                    continue
+                back = (far.astype(np.int32)[row] - (np.arange(len(row)) - (ends - many_of)[row])).astype(np.int32)
+                starts = (offset + left.astype(np.int32))[row] - back
+                hit = repeated(data, starts, group[row] * np.int32(reach + 1) + back, length, hashed)
+                for i in np.flatnonzero((n == 1) & (many_of > 0)):
+                    a, b = ends[i] - many_of[i], ends[i]
+                    mine = hit[a:b]
+                    if mine.any():
+                        runs.setdefault(int(i), []).append(_as_runs(back[a:b][mine]))
+                # strings alone in their block may stand in another block of the anchor
+                spread = np.flatnonzero(many[row] > block)
+                if len(spread):
+                    other = other or Hashed(data, _BYTE2)
+                    hashes = mix(other.of(starts[spread], length) + back[spread].astype(_U))
+                    settled = hit[spread] | (n[row[spread]] > 1)  # of these one of each is enough
+                    where = np.flatnonzero(settled)
+                    _, one = np.unique(mix(hashes[where] + mix(anchor[row[spread[where]]].view(_U))), return_index=True)
+                    use = np.concatenate([np.flatnonzero(~settled), where[one]])
+                    spread, hashes, settled = spread[use], hashes[use], settled[use]
+                    own = row[spread]
+                    share = (hashes >> _U(20)) % np.ceil(many[own] / block).astype(_U)
+                    order = np.lexsort((own, share, anchor[own]))
+                    key = np.stack([anchor[own][order], share[order].astype(np.int64)])
+                    cuts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
+                    packed = np.zeros(len(order), dtype=_LONE)
+                    packed["hash"], packed["back"], packed["settled"] = hashes[order], back[spread[order]], settled[order]
+                    packed["context"] = np.where(settled[order], 0, context[own[order]])
+                    for x, y in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
+                        for c, v in zip(out, (key[0, x], 0, 1, key[1, x], packed[x:y].tobytes()), strict=True):
+                            c.append(v)
+            for i, packed_runs in runs.items():
+                for c, v in zip(out, (anchor[i], context[i], 0, 0, b"".join(packed_runs)), strict=True):
+                    c.append(v)
             return pa.record_batch([*(pa.array([int(v) for v in c], type=t) for c, t in zip(out[:4], (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)), pa.array(out[4], type=pa.binary())], names=["anchor", "context", "kind", "part", "packed"])
 
         def key(t: pa.Table, i: int):
@@ -399,11 +414,12 @@ def _edges(rows: DataFrame, known: DataFrame, length: int, gram: int, block: int
                 if at:
                     yield settle(table.slice(0, at).combine_chunks())
                 held = table.slice(at)
+            give_back()
         if held is not None and held.num_rows:
             yield settle(held.combine_chunks())
 
     ready = sent.repartition("anchor", "block").sortWithinPartitions("anchor", "block", "context")
-    return stored(ready.select("anchor", "block", "context", "n", "contexts", "left", "data").mapInArrow(sort_blocks, _FOUND))
+    return stored(ready.select("anchor", "block", "context", "n", "contexts", "left", "data").mapInArrow(tidy(sort_blocks), _FOUND))
 
 
 def _crossed(found: DataFrame) -> DataFrame:
@@ -448,7 +464,7 @@ def remove(docs: DataFrame, *, length: int = LENGTH, gram: int = ANCHOR, block:
     rows = id_text(docs).select("doc_id", *row_key(), F.coalesce("text", F.lit("")).alias("text")).join(hits, ["k1", "k2"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole, PIECE)):
             n, spans, kept = [], [], []
             for text, found in zip(batch.column("text").to_pylist(), batch.column("hits").to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
@@ -466,7 +482,7 @@ def remove(docs: DataFrame, *, length: int = LENGTH, gram: int = ANCHOR, block:
                 kept.append(raw)
             yield pa.record_batch([batch.column("doc_id"), pa.array(n, type=pa.int64()), pa.array(spans, type=pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, type=pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    return rows.select("doc_id", "text", "hits").mapInArrow(run, f"doc_id {kind}, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
+    return rows.select("doc_id", "text", "hits").mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
