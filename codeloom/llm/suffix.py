@@ -20,6 +20,9 @@ sorted in blocks; strings that are alone in their block meet those of the other
 Strings that start at different distances before their anchor can't be equal, so a block is sorted in ranges of that distance,
 of about ``STRINGS`` strings: a task's memory doesn't grow with the strings of a block.
 
+Repeats are also told by words: ``passages`` finds those of ``WORDS`` words and more that another row holds too, of which many are
+shorter than ``length`` bytes. They are reported beside the removed bytes, and change nothing about these.
+
 Nothing is capped or sampled. A null text is empty; rows that repeat an id and text are separate places, so their strings
 of ``length`` bytes repeat; an empty table gives an empty result; other columns are ignored.
 """
@@ -31,11 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm.bpe import sliced
-from codeloom.llm.common import give_back, id_text, id_type, release, row_key, stored, tidy
+from codeloom.llm.common import _ALNUM, give_back, id_text, id_type, release, row_key, stored, tidy
 from codeloom.llm.minhash import mix
 
 LENGTH = 400
@@ -44,19 +47,36 @@ ANCHOR = 48
 BLOCK = 2048
 #: Bytes of text that are hashed at once.
 PIECE = 1_000_000
+#: Bytes of short texts that are scanned at once: arrays of eight bytes for each of them stay in a core's cache.
+SCAN = 128_000
 #: Strings of a block that are sorted at once, about: those that start equally far before their anchors stay together.
-STRINGS = 200_000
+STRINGS = 50_000
+#: Words of the shortest passage, and of the grams that passages meet by.
+WORDS = 51
+WORD_GRAM = 8
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = mix(np.arange(1, 257, dtype=_U))
 _BYTE2 = mix(np.arange(1001, 1257, dtype=_U))
+_FOLD = np.frombuffer(_ALNUM, dtype=np.uint8)
+
+
+#: Powers that are kept, for each base.
+_POWERS = 1 << 20
+_kept: dict[int, np.ndarray] = {}
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(max(1, n), base, dtype=_U)
+    n = max(1, n)
+    if n <= len(kept := _kept.get(int(base), ())):
+        return kept[:n]
+    out = np.full(min(max(n, _POWERS // 4), _POWERS) if n <= _POWERS else n, base, dtype=_U)
     out[0] = 1
-    return np.multiply.accumulate(out)
+    out = np.multiply.accumulate(out)
+    if n <= _POWERS:
+        _kept[int(base)] = out
+    return out[:n]
 
 
 class Hashed:
@@ -88,17 +108,22 @@ def anchors(data: np.ndarray, hashed: Hashed, length: int, gram: int, valid: np.
 
     The place in the array takes the low bits of a gram's hash, so a plain minimum finds the leftmost one.
     """
-    bits = _U(max(1, len(data).bit_length()))
-    grams = mix(hashed.of(np.arange(len(data) - gram + 1), gram))
-    keys = (grams >> bits << bits) | np.arange(len(grams), dtype=_U)
-    least = _sliding(keys, length - gram + 1, np.minimum)
+    least = _least(len(data), hashed, length, gram)
     if valid is not None:
         least = least[valid[: len(least)]]
-    picked = np.zeros(len(grams), dtype=bool)
-    picked[(least & ((_U(1) << bits) - _U(1))).astype(np.int64)] = True
+    picked = np.zeros(len(data) - gram + 1, dtype=bool)
+    picked[least] = True
     return np.flatnonzero(picked)
 
 
+def _least(n: int, hashed: Hashed, length: int, gram: int) -> np.ndarray:
+    """Position of the anchor of each of the n - length + 1 strings."""
+    bits = _U(max(1, n.bit_length()))
+    grams = mix(hashed.of(np.arange(n - gram + 1), gram))
+    keys = (grams >> bits << bits) | np.arange(len(grams), dtype=_U)
+    return (_sliding(keys, length - gram + 1, np.minimum) & ((_U(1) << bits) - _U(1))).astype(np.int64)
+
+
 def suffix_sort(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int, hashed: Hashed | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Order of the length-byte suffixes at starts (by group, then bytes), and whether each equals the one before it.
 
@@ -215,6 +240,15 @@ def _as_runs(backs: np.ndarray) -> bytes:
     return np.stack([v[np.concatenate([[0], cuts + 1])], v[np.concatenate([cuts, [len(v) - 1]])]], axis=1).astype("<u2").tobytes()
 
 
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Flags of the entries that differ from the one before in any of the keys."""
+    out = np.ones(len(keys[0]), dtype=bool)
+    out[1:] = False
+    for k in keys:
+        out[1:] |= k[1:] != k[:-1]
+    return out
+
+
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
     return edges[::2], edges[1::2]
@@ -261,7 +295,7 @@ def _places(docs: DataFrame, length: int, gram: int, piece: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sliced(batch, piece):
+            for part in sliced(batch, min(SCAN, piece)):
                 k1, k2 = part.column("k1").to_numpy(), part.column("k2").to_numpy()
                 small: list[tuple[int, int, np.ndarray, int, int]] = []
                 for i, text in enumerate(part.column("text").to_pylist()):
@@ -358,7 +392,7 @@ def _edges(rows: DataFrame, known: DataFrame, length: int, gram: int, block: int
             _, group = np.unique(np.stack([anchor, block_no]), axis=1, return_inverse=True)
             group = group.ravel().astype(np.int32)
             out: list[list] = [[] for _ in range(5)]
-            runs: dict[int, list[bytes]] = {}
+            runs = [(np.zeros(0, dtype=np.int64), np.zeros((0, 2), dtype="<u2"))]
             wide = max(1, strings // len(sizes))
             for low in range(0, reach + 1, wide):  # a string that starts back before the anchor equals only ones that do so too
                 near, far = np.maximum(low, left - counts + 1), np.minimum(low + wide - 1, left)
@@ -370,11 +404,10 @@ def _edges(rows: DataFrame, known: DataFrame, length: int, gram: int, block: int
                 back = (far.astype(np.int32)[row] - (np.arange(len(row)) - (ends - many_of)[row])).astype(np.int32)
                 starts = (offset + left.astype(np.int32))[row] - back
                 hit = repeated(data, starts, group[row] * np.int32(reach + 1) + back, length, hashed)
-                for i in np.flatnonzero((n == 1) & (many_of > 0)):
-                    a, b = ends[i] - many_of[i], ends[i]
-                    mine = hit[a:b]
-                    if mine.any():
-                        runs.setdefault(int(i), []).append(_as_runs(back[a:b][mine]))
+                mine = np.flatnonzero(hit & (n[row] == 1))
+                new = np.flatnonzero(_heads(mine - np.arange(len(mine)), row[mine]))
+                stop = np.append(new[1:], len(mine))[: len(new)] - 1
+                runs.append((row[mine[new]], np.stack([back[mine[stop]], back[mine[new]]], axis=1).astype("<u2")))
                 # strings alone in their block may stand in another block of the anchor
                 spread = np.flatnonzero(many[row] > block)
                 if len(spread):
@@ -396,8 +429,12 @@ def _edges(rows: DataFrame, known: DataFrame, length: int, gram: int, block: int
                     for x, y in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
                         for c, v in zip(out, (key[0, x], 0, 1, key[1, x], packed[x:y].tobytes()), strict=True):
                             c.append(v)
-            for i, packed_runs in runs.items():
-                for c, v in zip(out, (anchor[i], context[i], 0, 0, b"".join(packed_runs)), strict=True):
+            of, spans = (np.concatenate(x) for x in zip(*runs, strict=True))
+            order = np.argsort(of, kind="stable")
+            of, spans = of[order], spans[order]
+            cuts = np.flatnonzero(_heads(of))
+            for x, y in zip(cuts, np.append(cuts[1:], len(of)), strict=False):
+                for c, v in zip(out, (anchor[of[x]], context[of[x]], 0, 0, spans[x:y].tobytes()), strict=True):
                     c.append(v)
             return pa.record_batch([*(pa.array([int(v) for v in c], type=t) for c, t in zip(out[:4], (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)), pa.array(out[4], type=pa.binary())], names=["anchor", "context", "kind", "part", "packed"])
 
@@ -438,6 +475,169 @@ def _crossed(found: DataFrame) -> DataFrame:
     return found.where("kind = 1").groupBy("anchor", "part").applyInArrow(meet, _FOUND)
 
 
+def _words(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """The texts' bytes side by side, with A-Z lower-cased and 32 between words; start and stop of every word; words of each text."""
+    raws = [x.encode("utf-8", "surrogatepass") for x in texts]
+    low = np.cumsum([1, *(len(r) + 1 for r in raws)])
+    data = _FOLD[np.frombuffer(b" " + b" ".join(raws) + b" ", dtype=np.uint8)]
+    inside = data != 32
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    begin, end = edges[::2], edges[1::2]
+    return data, begin, end, np.diff(np.searchsorted(begin, low))
+
+
+def _word_windows(texts: tuple[np.ndarray, ...], words: int, gram: int, piece: int) -> Iterator[tuple]:
+    """Windows of consecutive words of texts (from ``_words``): text and number of each word, hash, hashes of ranges, anchors of the windows.
+
+    Long texts go in chunks of words that overlap, so a window comes once. Windows that cross texts are included.
+    """
+    data, begin, end, counts = texts
+    doc = np.repeat(np.arange(len(counts)), counts)
+    number = np.arange(len(begin)) - np.repeat(np.cumsum(counts) - counts, counts)
+    most = max(words, piece // 4)
+    for s in range(0, len(begin) - words + 1, most):
+        part = slice(s, s + most + words - 1)
+        b, e = begin[part], end[part]
+        values = mix(Hashed(data[b[0] : e[-1]]).of(b - b[0], e - b) + (e - b).astype(_U))
+        hashed = Hashed(np.arange(len(values)), values)
+        yield doc[part], number[part], values, hashed, _least(len(values), hashed, words, gram)
+
+
+def _binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The eight bytes of each value, as one binary for each range between cuts."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * 8).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
+def passages(docs: DataFrame, *, words: int = WORDS, gram: int = WORD_GRAM, block: int = BLOCK, piece: int = PIECE) -> DataFrame:
+    """``k1, k2, passages``: for texts with such, the passages that another row of docs holds too, as spans of word numbers.
+
+    A passage: words or more consecutive words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` with A-Z lower-cased, whatever stands between
+    them; those that overlap or touch are one span. Texts that stand twice are told by a 64-bit hash, and are one passage. Of the
+    other ones, only windows whose anchor (the least hash of a gram of words) stands in two texts are compared, by the 64-bit
+    hashes of anchor and window; packed, one row for each place of an anchor. Windows at different distances from their anchor
+    can't be equal, so an anchor of more texts than ``block`` is dealt out by that distance.
+    """
+    rows = id_text(docs).where(F.octet_length("text") >= 2 * words - 1).select(*row_key(), F.xxhash64("text").alias("t"), "text")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in sliced(whole, min(SCAN, piece))):
+            texts = _words(batch.column("text").to_pylist())
+            who, anchor = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=_U)]
+            for doc, _, _, hashed, least in _word_windows(texts, words, gram, piece):
+                at = least[doc[: len(least)] == doc[words - 1 :]]
+                at = at[_heads(at)]
+                who.append(doc[at])
+                anchor.append(mix(hashed.of(at, gram)))
+            who, anchor = np.concatenate(who), np.concatenate(anchor)
+            order = np.lexsort((anchor, who))
+            who, anchor = who[order], anchor[order]
+            new = _heads(who, anchor)
+            who, anchor = who[new], anchor[new]
+            mine = who[_heads(who)]
+            offsets = np.append(np.searchsorted(who, mine), len(who)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(anchor.view(np.int64)))
+            yield pa.record_batch([*(batch.column(c).take(pa.array(mine)) for c in ("k1", "k2", "t")), pa.array(texts[3][mine]), lists], names=["k1", "k2", "t", "words", "anchors"])
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in sliced(whole, min(SCAN, piece))):
+            wanted = batch.column("wanted").flatten()
+            known, at = np.unique(wanted.field("anchor").to_numpy().view(_U), return_index=True)
+            parts = np.minimum(-(-wanted.field("texts").to_numpy()[at] // block), words - gram + 1)
+            wide = -(-(words - gram + 1) // parts)  # distances from the anchor that stay together
+            t, single = batch.column("t").to_numpy(), batch.column("single").to_numpy(zero_copy_only=False)
+            for doc, number, _, hashed, least in _word_windows(_words(batch.column("text").to_pylist()), words, gram, piece):
+                head = _heads(least)
+                anchor = mix(hashed.of(least[head], gram))
+                name = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
+                of = np.cumsum(head) - 1
+                i = np.flatnonzero((known[name] == anchor)[of] & (doc[: len(least)] == doc[words - 1 :]))
+                part = (least[i] - i) // wide[name[of[i]]]
+                cuts = np.flatnonzero(_heads(least[i], part, doc[i]))
+                sizes, windows = np.diff(np.append(cuts, len(i))), hashed.of(i, words)
+                own = i[cuts]
+                # equal runs of a text share a row: runs of a size whose first and last windows are equal, as these overlap
+                keys = (doc[own], anchor[of[own]], sizes, windows[cuts], windows[cuts + sizes - 1])
+                order = np.lexsort(keys)
+                heads = np.flatnonzero(_heads(*(k[order] for k in keys)))
+                one = order[heads]
+                at = np.repeat(cuts[one] - (np.cumsum(sizes[one]) - sizes[one]), sizes[one]) + np.arange(sizes[one].sum())
+                own = own[one]
+                cols = (anchor[of[own]].view(np.int64), part[cuts[one]], t[doc[own]], single[doc[own]])
+                packed = (_binary(number[i[cuts[order]]], np.append(heads, len(order))), _binary(windows[at], np.append(0, np.cumsum(sizes[one]))))
+                yield pa.record_batch([*(pa.array(c) for c in cols), *packed], names=["anchor", "part", "t", "single", "first", "windows"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches of rows sorted by (anchor, part); a batch's last group waits for the next batch."""
+
+        def settle(table: pa.Table) -> pa.RecordBatch:
+            anchor, part, t, single = (table.column(c).to_numpy() for c in ("anchor", "part", "t", "single"))
+            packed, first = (table.column(c).to_pylist() for c in ("windows", "first"))
+            sizes = np.array([len(x) for x in packed]) // 8
+            hashes = np.frombuffer(b"".join(packed), dtype="<u8")
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            group = np.cumsum(_heads(anchor, part))[row]
+            order = np.lexsort((hashes, group))
+            new = _heads(group[order], hashes[order])
+            name, heads = np.cumsum(new) - 1, np.flatnonzero(new)
+            text = t[row[order]]
+            hit = np.empty(len(row), dtype=bool)
+            hit[order] = np.logical_or.reduceat(text != text[heads][name], heads)[name]
+            i = np.flatnonzero(hit & single[row])
+            new = np.concatenate([[True], (np.diff(i) != 1) | (row[i[1:]] != row[i[:-1]])])[: len(i)]
+            a, b = i[new], i[np.append(np.flatnonzero(new)[1:], len(i)) - 1] if len(i) else i
+            low = np.cumsum(sizes) - sizes
+            places = np.array([len(x) for x in first]) // 8  # of each row's run in its text
+            number, of = np.frombuffer(b"".join(first), dtype="<i8"), row[a]
+            many = places[of]
+            at = np.repeat((np.cumsum(places) - places)[of] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            start, stop = (number[at] + np.repeat(x - low[of], many) for x in (a, b + words))
+            return pa.record_batch([pa.array(np.repeat(t[of], many)), pa.array(start), pa.array(stop)], names=["t", "start", "stop"])
+
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in (b for b in batches if b.num_rows):
+            anchor, part = batch.column("anchor").to_numpy(), batch.column("part").to_numpy()
+            other = np.flatnonzero((anchor != anchor[-1]) | (part != part[-1]))
+            at = int(other[-1]) + 1 if len(other) else 0
+            if held and (at or last != (anchor[-1], part[-1])):
+                yield settle(pa.Table.from_batches([*held, batch.slice(0, at)]))
+                held = []
+            elif at:
+                yield settle(pa.Table.from_batches([batch.slice(0, at)]))
+            held.append(batch.slice(at))
+            last = (anchor[-1], part[-1])
+        if held:
+            yield settle(pa.Table.from_batches(held))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in sliced(whole, piece)):
+            found = batch.column("found")
+            row = np.repeat(np.arange(batch.num_rows), found.value_lengths().to_numpy())
+            start, stop = (found.flatten().field(c).to_numpy() for c in ("start", "stop"))
+            order = np.lexsort((start, row))  # a run of windows that starts later stops later too
+            row, start, stop = row[order], start[order], stop[order]
+            new = _heads(row)
+            new[1:] |= start[1:] > stop[:-1]
+            new = np.flatnonzero(new)
+            spans = pa.StructArray.from_arrays([pa.array(start[new]), pa.array(stop[np.append(new[1:], len(row)) - 1])], names=["start", "stop"])
+            offsets = np.append(np.searchsorted(row[new], np.arange(batch.num_rows)), len(new)).astype(np.int32)
+            yield pa.record_batch([batch.column("k1"), batch.column("k2"), pa.ListArray.from_arrays(pa.array(offsets), spans)], names=["k1", "k2", "passages"])
+
+    every = stored(rows.mapInArrow(tidy(scan), "k1 long, k2 long, t long, words long, anchors array<long>"))
+    texts = stored(every.groupBy("t").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2")).alias("one"), F.first("anchors").alias("anchors")).select("t", "n", "one.k1", "one.k2", "anchors"))
+    total = F.count("*").over(Window.partitionBy("anchor"))
+    shared = texts.select("t", F.explode("anchors").alias("anchor")).withColumn("texts", total).where("texts > 1")
+    wanted = shared.groupBy("t").agg(F.collect_list(F.struct("anchor", "texts")).alias("wanted")).join(texts.select("t", "k1", "k2", (F.col("n") == 1).alias("single")), "t").drop("t")
+    sent = rows.join(wanted, ["k1", "k2"]).select("t", "single", "text", "wanted").mapInArrow(tidy(fetch), "anchor long, part long, t long, single boolean, first binary, windows binary")
+    found = sent.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(tidy(meet), "t long, start long, stop long")
+    found = found.groupBy("t").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
+    spans = "array<struct<start: long, stop: long>>"
+    parts = texts.select("t", "k1", "k2").join(found, "t").select("k1", "k2", "found").mapInArrow(tidy(merge), f"k1 long, k2 long, passages {spans}")
+    copies = every.join(texts.where("n > 1").select("t"), "t").dropDuplicates(["k1", "k2"])
+    copies = copies.select("k1", "k2", F.array(F.struct(F.lit(0).alias("start"), F.col("words").alias("stop"))).cast(spans).alias("passages"))
+    return stored(parts.unionByName(copies), texts, every)
+
+
 def _strings(hits: list[dict], size: int, length: int, gram: int) -> np.ndarray:
     """Flags of the starts of repeated strings in a text of size bytes."""
     flags = np.zeros(size - length + 2, dtype=np.int32)
@@ -456,18 +656,26 @@ def _strings(hits: list[dict], size: int, length: int, gram: int) -> np.ndarray:
 
 
 def remove(docs: DataFrame, *, length: int = LENGTH, gram: int = ANCHOR, block: int = BLOCK, piece: int = PIECE) -> DataFrame:
-    """``doc_id, n_bytes, spans, kept`` for every row of docs: the removed byte spans (start, stop) and the bytes that stay."""
+    """``doc_id, n_bytes, spans, kept, passages`` for every row of docs.
+
+    spans: the removed byte spans (start, stop); kept: the bytes that stay; passages: the bytes of those that ``passages`` finds,
+    which stay unless spans cover them.
+    """
     if not 8 <= gram < length:
         raise ValueError("gram must be at least 8 and below length")
     kind = id_type(docs)
-    hits = repeats(docs, length=length, gram=gram, block=block, piece=piece)
+    long = passages(docs, block=block, piece=piece)
+    release(docs.sparkSession)
+    hits = repeats(docs, length=length, gram=gram, block=block, piece=piece).join(long, ["k1", "k2"], "full")
     rows = id_text(docs).select("doc_id", *row_key(), F.coalesce("text", F.lit("")).alias("text")).join(hits, ["k1", "k2"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in sliced(whole, PIECE)):
-            n, spans, kept = [], [], []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("hits").to_pylist(), strict=True):
+            n, spans, kept, shared = [], [], [], []
+            for text, found, numbers in zip(*(batch.column(c).to_pylist() for c in ("text", "hits", "passages")), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
+                _, begin, end, _ = _words([text]) if numbers else (None,) * 4
+                shared.append([{"start": int(begin[p["start"]]) - 1, "stop": int(end[p["stop"] - 1]) - 1} for p in numbers or ()])
                 gone: list[tuple[int, int]] = []
                 if found:
                     covered = np.zeros(len(raw) + 1, dtype=np.int32)
@@ -480,15 +688,16 @@ def remove(docs: DataFrame, *, length: int = LENGTH, gram: int = ANCHOR, block:
                 n.append(len(text.encode("utf-8", "surrogatepass")))
                 spans.append([{"start": a, "stop": b} for a, b in gone])
                 kept.append(raw)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n, type=pa.int64()), pa.array(spans, type=pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, type=pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+            span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+            yield pa.record_batch([batch.column("doc_id"), pa.array(n, type=pa.int64()), pa.array(spans, type=span), pa.array(kept, type=pa.binary()), pa.array(shared, type=span)], names=["doc_id", "n_bytes", "spans", "kept", "passages"])
 
-    return rows.select("doc_id", "text", "hits").mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
+    return rows.select("doc_id", "text", "hits", "passages").mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary, passages array<struct<start: long, stop: long>>")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
-    """The result of op7: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, has_repeats`` for every row of docs."""
+    """The result of op7: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, has_repeats, n_passages, passage_bytes`` for every row of docs."""
     removed = F.col("n_bytes") - F.octet_length("kept")
-    return remove(docs, **options).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (removed > 0).alias("has_repeats"))
+    return remove(docs, **options).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (removed > 0).alias("has_repeats"), F.size("passages").cast("long").alias("n_passages"), F.aggregate("passages", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"]).alias("passage_bytes"))
 
 
 def digest(kept: bytes) -> str:
