@@ -28,6 +28,7 @@ MIN_WORDS = 50
 SAMPLE_ROWS = 256
 #: A rule is timed on at most so many characters; the job without it takes less than a third of the job with it, or so much text.
 TIMED_CHARS = 2_000_000
+ROW_CHARS = 100
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -131,9 +132,12 @@ def seconds_a_row(docs: DataFrame, rejects: list[Callable[[Column, Column], Colu
     """What each rule takes for a row of docs (a bounded sample): from text and listed words to its verdict.
 
     A job over the sample, repeated, is timed with and without the rule; both split the words. The repetitions double
-    until the job with the rule takes three times as long, or TIMED_CHARS are read.
+    until the job with the rule takes three times as long, or TIMED_CHARS are read, where a row counts as ROW_CHARS at least.
+    Without rows all rules cost the same.
     """
-    n, chars = docs.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    n, chars = docs.agg(F.count("*"), F.coalesce(F.sum(F.greatest(F.length("text"), F.lit(ROW_CHARS))), F.lit(0))).first()
+    if not n:
+        return [1e-9] * len(rejects)
 
     def timed(times: int, reject: Callable[[Column, Column], Column]) -> float:
         repeated = docs.select("text", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("_"))
