@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import bpe, decontam, license, linedup, minhash, packing, pii, quality, suffix, warc
+from codeloom.llm import bpe, chat, decontam, filter_audit, license, linedup, minhash, packing, pii, quality, repair, suffix, warc
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -54,7 +54,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_decontamination, op3_token_packing, op4_byte_bpe, op5_pii, op6_quality_rules, op7_suffix_dedup, op8_line_dedup, op9_warc, op10_license_scan)}
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(_table(spark, sf_dir, "conversations"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_decontamination, op3_token_packing, op4_byte_bpe, op5_pii, op6_quality_rules, op7_suffix_dedup, op8_line_dedup, op9_warc, op10_license_scan, op11_chat_format, op12_filter_audit, op13_turn_repair)}
 
 _OP2_SQL = r"""
 WITH norm AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' ') IF x <> ''] AS ws FROM documents),
@@ -69,4 +81,4 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(cov.n, 0) AS BI
   sha256(coalesce(names, '')) AS items_sha256, coalesce(its.n, 0) >= 2 AS contaminated
 FROM norm LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 """
-ORACLE_SQL = {"op2_decontamination": _OP2_SQL, "op6_quality_rules": quality.JUDGE_SQL, "op8_line_dedup": linedup.REPORT_SQL, "op9_warc": warc.ROUND_TRIP_SQL}
+ORACLE_SQL = {"op2_decontamination": _OP2_SQL, "op6_quality_rules": quality.JUDGE_SQL, "op8_line_dedup": linedup.REPORT_SQL, "op9_warc": warc.ROUND_TRIP_SQL, "op11_chat_format": chat.REPORT_SQL, "op12_filter_audit": filter_audit.REPORT_SQL}
