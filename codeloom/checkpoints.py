@@ -1,4 +1,4 @@
-"""Cutting the lineage of plans: by reliable checkpoints, or by compressed tables that later plans read in part."""
+"""Cutting the lineage of plans, by compressed tables that later plans read in part."""
 
 from __future__ import annotations
 
@@ -25,28 +25,39 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: rows keep their partitions and order."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
+def kept(df: DataFrame, *instead_of: DataFrame) -> DataFrame:
+    """The rows as a compressed table in the shared folder, without order.
 
-def kept(df: DataFrame) -> DataFrame:
-    """The rows as a compressed table in the shared folder, without order; it goes when the driver's JVM ends.
-
-    Later plans read only the columns that they need, filter in the scan, and know the table's size, so a small side is
-    broadcast below the session's limit and never beyond it.
+    It cuts the lineage, and the plan begins anew with the table's own size: a checkpoint's would stay the product of all
+    joins before, which doubles in digits with each round of a loop. Later plans read only the columns that they need, filter
+    in the scan, and broadcast a small side below the session's limit and never beyond it. Tables that df was made from and
+    that nothing else needs (instead_of) are deleted at once, all others when the driver's JVM ends.
     """
     spark = df.sparkSession
     where = f"{shared_dir(spark).rstrip('/')}/codeloom-{uuid.uuid4().hex}"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
-    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    path, store = _hadoop(spark, where)
     try:
-        df.write.parquet(where)
+        df.write.option("compression", "zstd").parquet(where)
     except BaseException:
         store.delete(path, True)
         raise
     store.deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(where)
+    for old in instead_of:
+        path, store = _hadoop(spark, old.kept_at)
+        store.delete(path, True)
+    out = spark.read.schema(df.schema).parquet(where)
+    out.kept_at = where
+    return out
+
+
+def kept_in_order(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint: rows keep their partitions and order. Not for loops, see ``kept``."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
+def _hadoop(spark: SparkSession, where: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -2,7 +2,7 @@
 
 Graphs are keyed by ``root``, one per repository. PageRank and cycles run one repository per group, in parallel over
 repositories; a single graph too large for one worker has the distributed forms ``pagerank_distributed`` and
-``cycles_distributed``, which cut their lineage every round. Reachability is a loop of at most six joins either way.
+``cycles_distributed``, which write every round's table. ``ranked`` and ``import_cycles`` choose by size. Reachability is a loop of at most six joins either way.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom import schema as S
-from codeloom.checkpoints import cut
+from codeloom.checkpoints import kept
 from codeloom.functions import scalars as X
 
 
@@ -53,19 +53,21 @@ def pagerank_distributed(nodes: DataFrame, edges: DataFrame, *, damping: float =
     """The same ranks for graphs too large for one worker: joins and sums, cut every round."""
     total = nodes.groupBy("root").agg(F.sum("weight").alias("total"), F.count("*").alias("n"))
     share = F.when(F.col("total") > 0, F.col("weight") / F.col("total")).otherwise(1.0 / F.col("n"))
-    base = cut(nodes.join(total, "root").select("root", "path", share.alias("share")))
+    base = kept(nodes.join(total, "root").select("root", "path", share.alias("share")))
     ends = base.select("root", "path")
     links = edges.join(ends.withColumnRenamed("path", "src"), ["root", "src"]).join(ends.withColumnRenamed("path", "dst"), ["root", "dst"])
     out = links.groupBy("root", "src").agg(F.count("*").alias("out"))
-    links = cut(links.join(out, ["root", "src"]).select("root", F.col("src").alias("path"), "dst", "out"))
+    links = kept(links.join(out, ["root", "src"]).select("root", F.col("src").alias("path"), "dst", "out"))
     sources = links.select("root", "path").distinct()
     ranks = base.select("root", "path", F.col("share").alias("rank"))
+    before: tuple[DataFrame, ...] = ()
     for _ in range(rounds):
         flow = links.join(ranks, ["root", "path"]).groupBy("root", F.col("dst").alias("path")).agg(F.sum(F.col("rank") / F.col("out")).alias("flow"))
         loose = ranks.join(sources, ["root", "path"], "left_anti").groupBy("root").agg(F.sum("rank").alias("loose"))
         new = base.join(flow, ["root", "path"], "left").join(loose, "root", "left").join(ranks, ["root", "path"])
         rank = (1 - damping) * F.col("share") + damping * (F.coalesce("flow", F.lit(0.0)) + F.coalesce("loose", F.lit(0.0)) * F.col("share"))
-        step = cut(new.select("root", "path", rank.alias("new"), "rank"))
+        step = kept(new.select("root", "path", rank.alias("new"), "rank"), *before)
+        before = (step,)
         ranks = step.select("root", "path", F.col("new").alias("rank"))
         if (step.groupBy("root").agg(F.sum(F.abs(F.col("new") - F.col("rank"))).alias("moved")).agg(F.max("moved")).first()[0] or 0.0) < tolerance:
             break
@@ -98,7 +100,7 @@ def impact(edges: DataFrame, changed: DataFrame, max_depth: int = 3) -> DataFram
         # strongest, and among those the first in breadth-first order
         ranked = step.groupBy("source_id").agg(F.max("now").alias("best"), F.min("at").alias("first"))
         via = step.join(ranked, "source_id").where("now = best").groupBy("source_id").agg(F.min_by(F.struct("target_id", "call_file", "call_line"), "at").alias("via"))
-        found = cut(ranked.join(via, "source_id").select(F.col("source_id").alias("id"), F.lit(depth).alias("depth"), F.col("best").alias("strength"), F.col("first").alias("ord"), "via.target_id", "via.call_file", "via.call_line"))
+        found = kept(ranked.join(via, "source_id").select(F.col("source_id").alias("id"), F.lit(depth).alias("depth"), F.col("best").alias("strength"), F.col("first").alias("ord"), "via.target_id", "via.call_file", "via.call_line"))
         out = found if out is None else out.unionByName(found)
         seen = seen.unionByName(found.select("id"))
         front = found.select("id", "strength", "ord")
@@ -135,7 +137,7 @@ def entry_paths(edges: DataFrame, changed: DataFrame, entries: DataFrame, max_de
     """
     levels = (1, 2, 3)
     call = F.struct("seq", "call_file", "call_line", F.col("strength").alias("edge"))
-    pairs = cut(edges.where("source_id is not null").groupBy("source_id", "target_id").agg(*[F.min(F.when(F.col("strength") == k, call)).alias(f"s{k}") for k in levels]))
+    pairs = kept(edges.where("source_id is not null").groupBy("source_id", "target_id").agg(*[F.min(F.when(F.col("strength") == k, call)).alias(f"s{k}") for k in levels]))
     links = pairs.select("source_id", "target_id", *[F.col(f"s{k}").isNotNull().alias(f"h{k}") for k in levels])
     first_call = lambda usable: F.array_min(F.filter(F.array(*[F.col(f"s{k}") for k in levels]), lambda c: c.isNotNull() & usable(c)))
 
@@ -162,7 +164,7 @@ def entry_paths(edges: DataFrame, changed: DataFrame, entries: DataFrame, max_de
             order = found.select("changed_id", F.col("id").alias("source_id"), "before").join(via.select("changed_id", "target_id", F.col("rank").alias("before")), ["changed_id", "before"]).join(pairs, ["source_id", "target_id"])
             order = order.select("changed_id", F.col("source_id").alias("id"), first_call(lambda c: F.lit(True))["seq"].alias("seq"))
             found = found.join(order, ["changed_id", "id"]).withColumn("rank", F.row_number().over(Window.partitionBy("changed_id").orderBy("before", "seq"))).drop("seq")
-        found = cut(found.drop("before"))
+        found = kept(found.drop("before"))
         hit = found.join(entries, "id", "left_semi").select("changed_id", F.col("id").alias("entry_id"), F.lit(depth).alias("depth"), F.array_min(F.transform("hops", lambda h: h["strength"])).alias("strength"), "hops")
         out = hit if out is None else out.unionByName(hit)
         seen, front = seen.unionByName(found.select("changed_id", "id")), found
@@ -217,44 +219,67 @@ def cycles(graph: DataFrame) -> DataFrame:
     return graph.groupBy("root").applyInPandas(run, "root string, members array<string>")
 
 
+def _least_reaching(links: DataFrame) -> DataFrame:
+    """``root, n, c``: for each node of links (root, src, dst) the first node that reaches it, itself included.
+
+    The order is that of hashes. A node takes the first of its own, its sources' and its own one's; in such an order the
+    distance that it sees grows by half with each round, also along a chain.
+    """
+    ends = links.select("root", F.col("src").alias("n")).unionByName(links.select("root", F.col("dst").alias("n"))).distinct()
+    colour = kept(ends.withColumn("c", F.struct(F.xxhash64("n").alias("h"), F.col("n").alias("n"))))
+    while True:
+        heard = links.join(colour.select("root", F.col("n").alias("src"), "c"), ["root", "src"]).groupBy("root", F.col("dst").alias("n")).agg(F.min("c").alias("heard"))
+        far = colour.select("root", F.col("n").alias("at"), F.col("c").alias("far"))
+        best = F.least("c", F.coalesce("heard", "c"), "far")
+        found = colour.select("root", "n", "c", F.col("c.n").alias("at")).join(heard, ["root", "n"], "left").join(far, ["root", "at"])
+        colour = kept(found.select("root", "n", best.alias("c"), (best < F.col("c")).alias("moved")), colour)
+        if colour.where("moved").isEmpty():
+            return colour.select("root", "n", F.col("c.n").alias("c"))
+
+
 def cycles_distributed(graph: DataFrame) -> DataFrame:
-    """The same sets for one graph too large for a worker: trim, colour forwards, collect backwards, repeat."""
-    left = cut(graph.select("root", "src", "dst").where("src <> dst").distinct())
+    """The same sets for one graph too large for a worker.
+
+    Each node gets the first node that reaches it and the first that it reaches. Where both are one node, that node's set is
+    found. Links between nodes that differ in either can't be part of a cycle and go; the rest is done again.
+    """
+    left = kept(graph.select("root", "src", "dst").where("src <> dst").distinct())
     done = None
     while not left.isEmpty():
-        while True:  # nodes without incoming or outgoing edges are in no cycle
-            heads, tails = left.select("root", F.col("src").alias("n")).distinct(), left.select("root", F.col("dst").alias("n")).distinct()
-            inner = heads.join(tails, ["root", "n"])
-            kept = cut(left.join(inner.withColumnRenamed("n", "src"), ["root", "src"], "left_semi").join(inner.withColumnRenamed("n", "dst"), ["root", "dst"], "left_semi"))
-            same = kept.count() == left.count()
-            left = kept
-            if same:
-                break
-        if left.isEmpty():
-            break
-        colour = cut(left.select("root", F.col("src").alias("n")).unionByName(left.select("root", F.col("dst").alias("n"))).distinct().withColumn("c", F.col("n")))
-        while True:  # the least node that reaches each node
-            heard = left.join(colour.select("root", F.col("n").alias("src"), "c"), ["root", "src"]).groupBy("root", F.col("dst").alias("n")).agg(F.min("c").alias("h"))
-            new = cut(colour.join(heard, ["root", "n"], "left").select("root", "n", F.least("c", F.coalesce("h", "c")).alias("c"), (F.coalesce("h", "c") < F.col("c")).alias("moved")))
-            colour = new.select("root", "n", "c")
-            if new.where("moved").isEmpty():
-                break
-        inside = cut(left.join(colour.withColumnRenamed("n", "src"), ["root", "src"]).join(colour.select("root", F.col("n").alias("dst"), F.col("c").alias("c2")), ["root", "dst"]).where("c = c2").select("root", "src", "dst", "c"))
-        reached = cut(colour.where("n = c"))
-        while True:  # what reaches its own colour's node within the colour is one component
-            more = inside.join(reached.select("root", F.col("n").alias("dst"), "c"), ["root", "dst", "c"]).select("root", F.col("src").alias("n"), "c").join(reached, ["root", "n"], "left_anti").distinct()
-            more = cut(more)
-            if more.isEmpty():
-                break
-            reached = cut(reached.unionByName(more))
-        sets = reached.groupBy("root", "c").agg(F.array_sort(F.collect_list("n")).alias("members")).where("size(members) > 1").select("root", "members")
-        sets = cut(sets)
-        done = sets if done is None else done.unionByName(sets)
-        gone = reached.select("root", "n")
-        left = cut(left.join(gone.withColumnRenamed("n", "src"), ["root", "src"], "left_anti").join(gone.withColumnRenamed("n", "dst"), ["root", "dst"], "left_anti"))
+        into = _least_reaching(left)
+        from_ = _least_reaching(left.select("root", F.col("dst").alias("src"), F.col("src").alias("dst")))
+        both = kept(into.withColumnRenamed("c", "f").join(from_.withColumnRenamed("c", "b"), ["root", "n"]))
+        sets = both.where("f = b").groupBy("root", "f").agg(F.array_sort(F.collect_list("n")).alias("members")).where("size(members) > 1").select("root", "members")
+        done = kept(sets if done is None else done.unionByName(sets), *([] if done is None else [done]))
+        open_ = both.where("f <> b")
+        ends = [open_.select("root", F.col("n").alias(c), F.col("f").alias(f"{c}_f"), F.col("b").alias(f"{c}_b")) for c in ("src", "dst")]
+        left = kept(left.join(ends[0], ["root", "src"]).join(ends[1], ["root", "dst"]).where("src_f = dst_f AND src_b = dst_b").select("root", "src", "dst"), left)
     return done if done is not None else graph.select("root", F.array("src").alias("members")).limit(0)
 
 
+def large_roots(rows: DataFrame, most: int) -> DataFrame | None:
+    """``root`` of the graphs with more than so many links; None if there are none."""
+    large = kept(rows.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > most).select("root"))
+    return None if large.isEmpty() else large
+
+
+def ranked(nodes: DataFrame, edges: DataFrame, *, worker_links: int = S.WORKER_LINKS, **options) -> DataFrame:
+    """``root, path, rank``: graphs of up to worker_links links run each in one group, larger ones distributed."""
+    large = large_roots(edges, worker_links)
+    if large is None:
+        return pagerank(nodes, edges, **options)
+    of = lambda df, how: df.join(large, "root", how)
+    return pagerank(of(nodes, "left_anti"), of(edges, "left_anti"), **options).unionByName(pagerank_distributed(of(nodes, "left_semi"), of(edges, "left_semi"), **options))
+
+
+def import_cycles(graph: DataFrame, *, worker_links: int = S.WORKER_LINKS) -> DataFrame:
+    """``root, members``: graphs of up to worker_links links run each in one group, larger ones distributed."""
+    large = large_roots(graph, worker_links)
+    if large is None:
+        return cycles(graph)
+    return cycles(graph.join(large, "root", "left_anti")).unionByName(cycles_distributed(graph.join(large, "root", "left_semi")))
+
+
 def degrees(paths: DataFrame, graph: DataFrame) -> DataFrame:
     """``path, n_out, n_in`` of the module graph."""
     out = graph.groupBy(F.col("src").alias("path")).agg(F.count("*").alias("n_out"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom import schema as S
-from codeloom.checkpoints import cut
+from codeloom.checkpoints import kept, kept_in_order
 from codeloom.functions import scalars as X
 from codeloom.operators import change, context, diff, evidence, excerpts, graph, imports, incremental, references, search
 from codeloom.parsing import extract as E
@@ -34,7 +34,7 @@ class CodeIndex:
         previous = store.load(spark, base, root)
         scan = reader.option("code", "false").load().drop("code")
         if previous:
-            plan = cut(incremental.plan(scan, previous["files"], list(forced)))
+            plan = kept(incremental.plan(scan, previous["files"], list(forced)))
             stale = [r.path for r in plan.where("action = 'extract'").select("path").collect()]
             gone = not previous["files"].join(plan, "path", "left_anti").isEmpty()
             if not stale and not gone:
@@ -42,11 +42,11 @@ class CodeIndex:
             sources = reader.option("code", "true").load().join(plan.where("action = 'extract'").select("path"), "path", "left_semi")
         else:
             plan, sources = None, reader.option("code", "true").load()
-        fresh = cut(E.extract(sources.repartition(max(2, spark.sparkContext.defaultParallelism))))
+        fresh = kept(E.extract(sources.repartition(max(2, spark.sparkContext.defaultParallelism))))
         tables = cls._tables(scan, fresh)
         if plan is not None:
-            kept = plan.where("action = 'reuse'").select("path")
-            old_files = previous["files"].drop("seq").join(kept, "path", "left_semi")
+            reused = plan.where("action = 'reuse'").select("path")
+            old_files = previous["files"].drop("seq").join(reused, "path", "left_semi")
             tables["files"] = cls._numbered(tables["files"].drop("seq").unionByName(old_files))
             for t in ("symbols", "imports", "calls"):
                 tables[t] = incremental.merge(plan, previous[t], tables[t], "file")
@@ -72,26 +72,26 @@ class CodeIndex:
     def from_sources(cls, spark: SparkSession, sources: list[tuple[str, str]], root: str = "mem") -> CodeIndex:
         """An index of (path, code) pairs."""
         df = spark.createDataFrame([(root, p, E.language_for(p), 0.0, c) for p, c in sources], "root string, path string, lang string, mtime_ms double, code string")
-        fresh = cut(E.extract(df))
-        return cls(spark, root, {k: cut(v) for k, v in cls._tables(df, fresh).items()})
+        fresh = kept(E.extract(df))
+        return cls(spark, root, {k: kept(v) for k, v in cls._tables(df, fresh).items()})
 
     # -- shared tables
     @property
     def resolved(self) -> DataFrame:
         if self._resolved is None:
-            self._resolved = cut(imports.resolve(self.imports, self.files))
+            self._resolved = kept(imports.resolve(self.imports, self.files))
         return self._resolved
 
     @property
     def module_graph(self) -> DataFrame:
         if self._graph is None:
-            self._graph = cut(imports.module_graph(self.resolved))
+            self._graph = kept(imports.module_graph(self.resolved))
         return self._graph
 
     @property
     def edges(self) -> DataFrame:
         if self._edges is None:
-            self._edges = cut(references.edges(self.files, self.symbols, self.imports, self.calls))
+            self._edges = kept(references.edges(self.files, self.symbols, self.imports, self.calls))
         return self._edges
 
     # -- queries
@@ -110,7 +110,7 @@ class CodeIndex:
     def map(self, files: int = S.MAP_FILES) -> DataFrame:
         dens = search.density(self.symbols)
         nodes = dens.select(F.lit(self.root).alias("root"), "path", F.col("density").alias("weight"))
-        ranks = graph.pagerank(nodes, self.module_graph.withColumn("root", F.lit(self.root)))
+        ranks = graph.ranked(nodes, self.module_graph.withColumn("root", F.lit(self.root)))
         return graph.repo_map(self.symbols, ranks, dens, files=files)
 
     def map_text(self, chars: int = S.MAP_CHARS) -> str:
@@ -131,7 +131,7 @@ class CodeIndex:
 
     def health(self, limit: int = 50) -> dict[str, DataFrame]:
         g = self.module_graph
-        return {"cycles": graph.cycles(g.withColumn("root", F.lit(self.root))).orderBy("members").limit(limit), "orphans": graph.orphans(self.files, self.symbols, g).orderBy("path").limit(limit)}
+        return {"cycles": graph.import_cycles(g.withColumn("root", F.lit(self.root))).orderBy("members").limit(limit), "orphans": graph.orphans(self.files, self.symbols, g).orderBy("path").limit(limit)}
 
     def change_context(self, *, diff_text: str | None = None, files: list[str] | None = None, symbols: list[str] | None = None, base_ref: str | None = None, base_sources: dict[str, str] | None = None, focus_files: list[str] = (), **limits) -> dict:
         """What a change touches and reaches. Exactly one of diff_text, files, symbols and base_ref says what changed.
@@ -153,13 +153,13 @@ class CodeIndex:
             paths = self.spark.createDataFrame([(f,) for f in files or []], "path string") if files else hit.select(F.col("file").alias("path")).distinct()
         else:
             text = self.spark.createDataFrame([("d", diff_text)], "diff_id string, text string")
-            rows = cut(diff.check_paths(git.working_tree_changes(self.spark, self.root, base_ref) if base_ref else diff.changes(text).drop("diff_id")))
+            rows = kept(diff.check_paths(git.working_tree_changes(self.spark, self.root, base_ref) if base_ref else diff.changes(text).drop("diff_id")))
             paths = rows.select(F.explode(F.array("old_path", "new_path")).alias("path")).where("path is not null").distinct()
             old = [r[0] for r in rows.where("old_path is not null").select("old_path").collect()]
             if base_ref:
                 base_sources = {p: c for p in old if (c := git.file_at(self.root, base_ref, p)) is not None}
             base = CodeIndex.from_sources(self.spark, list((base_sources or {}).items())).symbols if base_sources else self.symbols.limit(0)
-            ranges = cut(diff.ranges(rows))
+            ranges = kept(diff.ranges(rows))
             now = diff.overlaps(ranges.where("side = 'current'"), sym).select(*sym.columns).distinct()
             was = diff.overlaps(ranges.where("side = 'base'"), base).select(*sym.columns).distinct()
             key = ["file", "kind", "name", "scope_names"]
@@ -173,12 +173,12 @@ class CodeIndex:
             changed = name(now).withColumn("side", F.lit("current")).select(*sym.columns, "side", "change").unionByName(gone.select(*sym.columns, "side", "change"))
             lost = diff.outside(ranges.where("side = 'current'"), sym)
             unmapped = [r.asDict() for r in lost.orderBy("file", "start").limit(report.XRAY["unmapped"] + 1).collect()]
-        changed = cut(changed.orderBy("side", "file", "line", "id"))
+        changed = kept_in_order(changed.orderBy("side", "file", "line", "id"))
         top = [r.asDict(recursive=True) for r in changed.select("id", "name", "kind", "file", "line", "end_line", "side", "change").limit(at["max_impact"] + 1).collect()]
         seeds = changed.select("id", F.monotonically_increasing_id().alias("ord"))  # in the order of the checkpointed rows
         info = sym.select("id", "name", "kind", "file", "line")
-        reach = cut(graph.impact(self.edges, seeds, at["max_depth"]))
-        direct = cut(graph.direct_callers(self.edges, seeds)).join(info, "id").orderBy("file", "line", "id")
+        reach = kept(graph.impact(self.edges, seeds, at["max_depth"]))
+        direct = kept(graph.direct_callers(self.edges, seeds)).join(info, "id").orderBy("file", "line", "id")
         far = reach.where("depth >= 2").join(info, "id")
         if focus_files:
             far = far.join(graph.focus_ancestors(reach, sym, list(focus_files), at["max_depth"]).withColumn("focus", F.lit(1)), "id", "left").withColumn("focus", F.coalesce("focus", F.lit(0)))

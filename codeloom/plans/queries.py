@@ -241,7 +241,7 @@ def orphan_modules(a):
     True,
 )
 def import_cycles(a):
-    return graph.cycles(a.sparse.withColumn("root", F.lit("r"))).select(F.array_join("members", ",").alias("members"))
+    return graph.import_cycles(a.sparse.withColumn("root", F.lit("r"))).select(F.array_join("members", ",").alias("members"))
 
 
 def _density_sql() -> str:

@@ -44,6 +44,8 @@ OTHER_WEIGHT, EXPORT_BONUS, BLOAT, TEST_DAMP = 0.3, 0.3, 0.04, 0.2
 STRENGTH = {"exact": 3, "import-scoped": 2, "name-only": 1}
 TEST_RANK = {"changed-test": 0, "imports-changed-file": 1, "imports-impact-file": 2, "references-symbol-name": 3, "path-convention": 4}
 DAMPING, TOLERANCE, MAX_ROUNDS = 0.85, 1e-6, 100
+#: Links of one graph that a worker holds at once; a larger graph is done in distributed form.
+WORKER_LINKS = 1_000_000
 CANDIDATE_CAP, MAP_FILES, MAP_SYMBOLS, MAP_CHARS, PAGERANK_WEIGHT = 8, 24, 18, 3200, 0.5
 TEST_PATH = r"(^|/)(tests?|__tests__)(/|$)|\.(?:spec|test)\.(?:[cm]?[jt]sx?|ets)$|(^|/)(?:test_[^/]+\.py|[^/]+_test\.(?:py|go))$"
 ENTRY_FILE = r"(^|/)(main|index|cli|server|app)\.[^./]+$"
