@@ -12,8 +12,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -21,6 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.checkpoints import kept as stored  # noqa: F401
+from codeloom.checkpoints import shared_dir  # noqa: F401
+
 _LOWER_ASCII = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ALNUM = bytes((c + 32 if 65 <= c <= 90 else c) if (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128) else 32 for c in range(256))
 
@@ -35,71 +36,12 @@ def alnum_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_ALNUM).split() if text else []
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster shares.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a local one is made.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame, *instead_of: DataFrame) -> DataFrame:
-    """Like ``cut``, but as a compressed table in the shared folder: for what is large beside the input.
-
-    Stored tables that df was made from and that nothing else needs (instead_of) are deleted at once, all others when the
-    driver's JVM ends.
-    """
-    spark = df.sparkSession
-    where = f"{shared_dir(spark).rstrip('/')}/codeloom-{uuid.uuid4().hex}"
-    path, store = _hadoop(spark, where)
-    try:
-        df.write.option("compression", "zstd").parquet(where)
-    except BaseException:
-        store.delete(path, True)
-        raise
-    store.deleteOnExit(path)
-    for old in instead_of:
-        path, store = _hadoop(spark, old.stored_at)
-        store.delete(path, True)
-    out = spark.read.schema(df.schema).parquet(where)
-    out.stored_at = where
-    return out
-
-
-def _hadoop(spark: SparkSession, where: str):
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
-    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of plans that nobody holds any more."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``, or the context's checkpoint folder.
-
-    Where neither is set, a local one is made, which only a local session can use: on a cluster it's an error.
-    """
-    global _own_dir
-    if where := spark.conf.get("spark.checkpoint.dir", None):
-        return where
-    set_by_hand = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if set_by_hand.isDefined():
-        return set_by_hand.get()
-    if not re.match(r"local($|\[)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    _own_dir = _own_dir or "file://" + tempfile.mkdtemp(prefix="codeloom-")
-    return _own_dir
-
-
-_own_dir: str | None = None
-
-
 def give_back() -> None:
     """Return what this process has freed to the system; the allocators keep it otherwise."""
     pa.default_memory_pool().release_unused()

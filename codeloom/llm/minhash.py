@@ -12,7 +12,7 @@ How it scales:
   group of copies. Then only members of different components are left to compare: those outside a bucket's largest
   component are queries against all its members, in blocks of bounded size. So every candidate pair is compared or
   already connected, however large the bucket is: there is no cap.
-* Links, labels and fingerprints stay in the cluster; only counts reach the driver. Rounds are cut by checkpoints.
+* Links, labels and fingerprints stay in the cluster; only counts reach the driver. Rounds are cut by tables in the shared folder.
 
 With 32 bands of 4 coordinates a pair of similarity 0.8 is missed by all bands with probability (1 - 0.8^4)^32 < 1e-7.
 
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.bpe import sliced
-from codeloom.llm.common import cut, id_text, id_type, row_key, space_words, tidy
+from codeloom.llm.common import id_text, id_type, row_key, space_words, stored, tidy
 
 SHINGLE_WORDS = 5
 BINS = 128
@@ -140,7 +140,7 @@ def profiles(docs: DataFrame, shingle_words: int, bins: int = BANDS * 4, bands:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough. pairs has to be checkpointed: it is read twice.
+    """The pairs (a, b) whose full shingle sets are similar enough. pairs has to be stored: it is read twice.
 
     A text a travels once for each ``PARTNERS`` partners, and a task holds the sets of one pair at a time.
     """
@@ -221,36 +221,40 @@ def across(members: DataFrame, texts: DataFrame, shingle_words: int, similarity:
 def components(edges: DataFrame) -> DataFrame:
     """``node, label``: the least node of each node's component, for the nodes of edges (a, b).
 
-    Labels go to neighbours and then to the label of the label, until none changes; each round is a few shuffles of
-    the edges and is checkpointed. The number of rounds grows with the logarithm of a component's diameter.
+    Every node points to a lesser one of its component. In each round it, and the node that it points to, take the least
+    pointer's pointer that its neighbours have, until none changes; so trees of pointers join at their roots, and the
+    number of rounds grows with the logarithm of the number of nodes. A round is a few shuffles of the edges, and written.
     """
-    both = cut(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    kind = dict(edges.dtypes)["a"]
+    both = stored(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
-        heard = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("l")), "b").groupBy(F.col("a").alias("node")).agg(F.min("l").alias("heard"))
-        near = labels.join(heard, "node").select("node", "label", F.least("label", "heard").alias("now"))
-        jump = labels.select(F.col("node").alias("now"), F.col("label").alias("far"))
-        new = cut(near.join(jump, "now", "left").select("node", (F.coalesce(F.least("now", "far"), "now")).alias("label"), (F.coalesce(F.least("now", "far"), "now") != F.col("label")).alias("changed")))
-        labels = new.select("node", "label")
-        if not new.where("changed").limit(1).count():
-            return labels
+        up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
+        at = labels.select("node", "label").join(up, "label")
+        heard = both.join(at.select(F.col("node").alias("b"), "up"), "b").groupBy(F.col("a").alias("node")).agg(F.min("up").alias("heard"))
+        near = at.join(heard, "node")
+        told = near.select("node", F.least("up", "heard").alias("now"), F.col("label").alias("was")).unionAll(near.select("label", "heard", F.lit(None).cast(kind)))
+        new = stored(told.groupBy("node").agg(F.min("now").alias("label"), F.max("was").alias("was")), labels)
+        labels = new
+        if not new.where("label <> was").limit(1).count():
+            return new.select("node", "label")
 
 
 def groups(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """``doc_id, k1, k2, n_shingles, component_id, group, kept`` for every row of docs; group is the component's own key."""
-    rows = cut(profiles(docs, shingle_words))
+    rows = stored(profiles(docs, shingle_words))
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("k1", "k2")).alias("key"), F.first("buckets").alias("buckets"), F.first("n_shingles").alias("n"))
     members = nodes.select("node", "n", F.explode("buckets").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot <> top")
     # Each bucket's first pivot is done after this; the others stay as members.
-    members = cut(members.join(shared.select("bucket", "pivot"), "bucket").where("node <> pivot"))
+    members = stored(members.join(shared.select("bucket", "pivot"), "bucket").where("node <> pivot"))
     found = members.select("pivot").unionAll(members.select("node")).distinct().withColumnRenamed("pivot", "node")
     keys = nodes.select("node", "key.k1", "key.k2").join(found, "node")
     source = id_text(docs).select(*row_key(), "text")
-    texts = cut(source.join(keys, ["k1", "k2"]).dropDuplicates(["node"]).select("node", "text"))
+    texts = stored(source.join(keys, ["k1", "k2"]).dropDuplicates(["node"]).select("node", "text"))
 
-    pairs = cut(members.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    edges = cut(verified(pairs, texts, shingle_words, similarity))
+    pairs = stored(members.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+    edges = stored(verified(pairs, texts, shingle_words, similarity))
     labels = components(edges)
     # What one bucket still holds in different components is compared in blocks; after that nothing is left open.
     named = members.select("bucket", "node", "n").join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
@@ -260,9 +264,9 @@ def groups(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, similarity: t
     dealt = lambda rows, n, most: F.ceil(F.greatest(rows / most, n / BLOCK_SHINGLES))
     outer = [F.col(c) - F.col(f"main.{c}") for c in ("rows", "n")]
     mixed = mixed.select("bucket", dealt(F.col("rows"), F.col("n"), BLOCK_ROWS).alias("blocks"), dealt(*outer, BLOCK_QUERIES).alias("chunks"), F.col("main.label").alias("main"))
-    # Checkpointed before it is read more than once: which of several equal partners a block names may differ between runs.
-    proposed = cut(across(cut(named.drop("n").join(mixed, "bucket")), texts, shingle_words, similarity))
-    more = cut(verified(proposed, texts, shingle_words, similarity))
+    # Stored before it is read more than once: which of several equal partners a block names may differ between runs.
+    proposed = stored(across(stored(named.drop("n").join(mixed, "bucket")), texts, shingle_words, similarity))
+    more = stored(verified(proposed, texts, shingle_words, similarity))
     if more.limit(1).count():
         labels = components(edges.unionAll(more))
     least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import cut, put_file, shared_dir
+from codeloom.llm.common import stored, put_file, shared_dir
 
 FRAME_BYTES = 256 * 1024
 BUNDLE_BYTES = 8 * 1024 * 1024
@@ -173,7 +173,7 @@ def write(pages: DataFrame, folder: str, *, min_payload: int = MIN_PAYLOAD, fram
         if bundle.records:
             yield flush(bundle)
 
-    return cut(roles(pages, min_payload).mapInArrow(run, "bundle string, n_records long, n_frames long, n_bytes long"))
+    return stored(roles(pages, min_payload).mapInArrow(run, "bundle string, n_records long, n_frames long, n_bytes long"))
 
 
 def read(manifest: DataFrame, folder: str, id_type: str = "bigint") -> DataFrame:

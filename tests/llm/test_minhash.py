@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from codeloom.llm import minhash
+from codeloom.llm.common import stored
 
 
 def plain(texts, size):
@@ -82,3 +83,13 @@ def test_sketch_fills_and_estimates():
         a, b = minhash.sketch(pool[:800]), minhash.sketch(pool[100:])
         errors.append((a == b).mean() - 700 / len(pool))
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
+
+
+def test_components_of_a_long_chain(spark, monkeypatch):
+    n, written = 20_000, []
+    monkeypatch.setattr(minhash, "stored", lambda df, *old: written.append(1) or stored(df, *old))
+    at = random.Random(3).sample(range(n), n)
+    edges = spark.createDataFrame([(f"{a:06d}", f"{b:06d}") for a, b in zip(at, at[1:], strict=False)] + [("x1", "x2")], "a string, b string")
+    found = minhash.components(edges).groupBy("label").count().collect()
+    assert sorted((r["label"], r["count"]) for r in found) == [("000000", n), ("x1", 2)]
+    assert len(written) < 25

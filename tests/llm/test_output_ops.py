@@ -101,8 +101,9 @@ def test_matching_statistics_equal_plain():
         assert len(made.len) <= 2 * sum(map(len, seqs)) + 1
         for i, (length, state) in enumerate(made.statistics(text)):
             assert length == max((n for n in range(i + 2) if n == 0 or tuple(text[i + 1 - n : i + 1]) in subs), default=0)
-            for k, end in made.where[state].items() if length else ():
-                assert seqs[k][end - length : end] == text[i + 1 - length : i + 1]
+            for k, ends in made.where[state].items() if length else ():
+                for end in ends:
+                    assert seqs[k][end - length : end] == text[i + 1 - length : i + 1]
             if length:
                 has = {k for k, s in enumerate(seqs) if any(s[a : a + length] == text[i + 1 - length : i + 1] for a in range(len(s)))}
                 assert has == set(made.where[state])
