@@ -9,31 +9,32 @@ from codeloom import schema as S
 from codeloom.functions import scalars as X
 
 
-def dependents(resolved: DataFrame, changed: DataFrame) -> DataFrame:
-    """``file, changed_file, specifier``: who imports a changed file, by the first specifier that does. changed: ``path``."""
-    hit = resolved.where("target <> file").join(changed.select(F.col("path").alias("target")), "target")
-    return hit.groupBy("file", F.col("target").alias("changed_file")).agg(F.min_by("specifier", "seq").alias("specifier"))
+def dependents(resolved: DataFrame, changed: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``file, changed_file, specifier``: who imports a changed file, by the first specifier that does. changed: ``path``, and by."""
+    hit = resolved.where("target <> file").join(changed.select(*by, F.col("path").alias("target")), "target")
+    return hit.groupBy(*by, "file", F.col("target").alias("changed_file")).agg(F.min_by("specifier", "seq").alias("specifier"))
 
 
-def affected_tests(files: DataFrame, graph: DataFrame, calls: DataFrame, changed_files: DataFrame, changed_names: DataFrame, impact_files: DataFrame) -> DataFrame:
+def affected_tests(files: DataFrame, graph: DataFrame, calls: DataFrame, changed_files: DataFrame, changed_names: DataFrame, impact_files: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """``file, reason, rank, distance, resolution``: each test file with its strongest reason.
 
-    changed_files ``path``; changed_names ``name``; impact_files ``path, depth`` (least depth).
+    changed_files ``path``; changed_names ``name``; impact_files ``path, depth`` (least depth); and the columns of by in each of
+    them where they hold many changes.
     """
     tests = files.where(X.is_test_path(F.col("path"))).select(F.col("path").alias("file"))
-    row = lambda df, reason, distance, label: df.select("file", F.lit(S.TEST_RANK[reason]).alias("rank"), F.lit(reason).alias("reason"), distance.cast("int").alias("distance"), F.lit(label).alias("resolution"))
+    row = lambda df, reason, distance, label: df.select(*by, "file", F.lit(S.TEST_RANK[reason]).alias("rank"), F.lit(reason).alias("reason"), distance.cast("int").alias("distance"), F.lit(label).alias("resolution"))
     imports = tests.join(graph.withColumnRenamed("src", "file"), "file")
-    changed = changed_files.select(F.col("path").alias("dst"))
-    own = row(tests.join(changed.withColumnRenamed("dst", "file"), "file", "left_semi"), "changed-test", F.lit(0), "exact")
-    direct = row(imports.join(changed, "dst", "left_semi").select("file").distinct(), "imports-changed-file", F.lit(1), "import-scoped")
-    near = imports.join(impact_files.select(F.col("path").alias("dst"), "depth"), "dst").groupBy("file").agg(F.min("depth").alias("depth"))
-    named = tests.join(calls.join(changed_names.select("name").distinct(), "name", "left_semi").select("file").distinct(), "file", "left_semi")
-    stems = changed_files.select(X.path_stem(F.col("path")).alias("stem")).distinct()
-    alike = tests.withColumn("stem", X.path_stem(F.col("file"))).join(stems, "stem", "left_semi")
+    changed = changed_files.select(*by, F.col("path").alias("dst")).distinct()
+    own = row(tests.join(changed.withColumnRenamed("dst", "file"), "file"), "changed-test", F.lit(0), "exact")
+    direct = row(imports.join(changed, "dst").select(*by, "file").distinct(), "imports-changed-file", F.lit(1), "import-scoped")
+    near = imports.join(impact_files.select(*by, F.col("path").alias("dst"), "depth"), "dst").groupBy(*by, "file").agg(F.min("depth").alias("depth"))
+    named = calls.select("file", "name").distinct().join(tests, "file", "left_semi").join(changed_names.select(*by, "name").distinct(), "name").select(*by, "file").distinct()
+    stems = changed_files.select(*by, X.path_stem(F.col("path")).alias("stem")).distinct()
+    alike = tests.withColumn("stem", X.path_stem(F.col("file"))).join(stems, "stem")
     every = own.unionByName(direct).unionByName(row(near, "imports-impact-file", F.col("depth"), "import-scoped")).unionByName(row(named, "references-symbol-name", F.lit(1), "name-only"))
     every = every.unionByName(row(alike, "path-convention", F.lit(None), "name-only"))
-    best = every.groupBy("file").agg(F.min_by(F.struct("reason", "distance", "resolution"), "rank").alias("b"), F.min("rank").alias("rank"))
-    return best.select("file", "rank", "b.reason", "b.distance", "b.resolution")
+    best = every.groupBy(*by, "file").agg(F.min_by(F.struct("reason", "distance", "resolution"), "rank").alias("b"), F.min("rank").alias("rank"))
+    return best.select(*by, "file", "rank", "b.reason", "b.distance", "b.resolution")
 
 
 def ordered_tests(tests: DataFrame, limit: int = 20) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -143,15 +143,54 @@ def ranges(files: DataFrame) -> DataFrame:
     return now.unionByName(base)
 
 
-def overlaps(hunks: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Hunks with the declarations they touch: an equi-join on the file with a range condition. hunks: ``file, start, stop, ...``."""
-    return hunks.join(symbols, "file").where("line <= stop and end_line >= start")
+#: Lines are covered by blocks of 1, 16, 256, ... lines, up to so many levels.
+_BASE, _LEVELS = 16, 7
+
+
+def _blocks(start: Column, stop: Column) -> Column:
+    """The fewest blocks (level, number) that make up the lines start to stop."""
+    whole = lambda x, k: F.floor(x / F.lit(_BASE**k)).cast("long")
+    first = lambda k: whole(start + _BASE**k - 1, k)
+    end = lambda k: whole(stop + 1, k)
+    none = F.array().cast("array<struct<level:int,n:bigint>>")
+
+    def span(k: int, a: Column, b: Column) -> Column:
+        return F.when(a < b, F.transform(F.sequence(a, b - 1), lambda n: F.struct(F.lit(k).alias("level"), n.alias("n")))).otherwise(none)
+
+    parts = []
+    for k in range(_LEVELS):
+        if k + 1 == _LEVELS:
+            parts.append(span(k, first(k), end(k)))
+            continue
+        inner = first(k + 1) < end(k + 1)  # a level up takes the middle
+        parts += [span(k, first(k), F.when(inner, _BASE * first(k + 1)).otherwise(end(k))), F.when(inner, span(k, _BASE * end(k + 1), end(k))).otherwise(none)]
+    return F.concat(*parts)
 
 
-def outside(hunks: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Hunks that touch no declaration."""
-    s = symbols.select(F.col("file").alias("f"), "line", "end_line")
-    return hunks.join(s, (hunks.file == s.f) & (F.col("line") <= F.col("stop")) & (F.col("end_line") >= F.col("start")), "left_anti")
+def _around(line: Column) -> Column:
+    """The blocks that a line stands in, one of each level."""
+    return F.array(*[F.struct(F.lit(k).alias("level"), F.floor(line / F.lit(_BASE**k)).cast("long").alias("n")) for k in range(_LEVELS)])
+
+
+def overlaps(hunks: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Hunks with the declarations they touch. hunks: ``file, start, stop, ...``.
+
+    Either the declaration begins within the hunk, or the hunk begins within the rest of the declaration. Both are a line in
+    a range: the range is dealt out to the few blocks that make it up, the line to the blocks around it, and one of them
+    is equal exactly if it's within. So an equi-join makes the result's rows only, also in a file of very many of both.
+    """
+    s = symbols.withColumnRenamed("file", "of_file")
+    same = (F.col("file") == F.col("of_file")) & (F.col("block") == F.col("of_block"))
+    within = hunks.withColumn("block", F.explode(_blocks(F.col("start"), F.col("stop")))).join(s.withColumn("of_block", F.explode(_around(F.col("line")))), same)
+    inside = hunks.withColumn("block", F.explode(_around(F.col("start")))).join(s.withColumn("of_block", F.explode(_blocks(F.col("line") + 1, F.col("end_line")))), same)
+    columns = ["file", *[c for c in hunks.columns if c != "file"], *[c for c in symbols.columns if c != "file"]]
+    return within.select(*columns).unionAll(inside.select(*columns))
+
+
+def outside(hunks: DataFrame, symbols: DataFrame, touched: DataFrame | None = None) -> DataFrame:
+    """Hunks that touch no declaration. touched: ``overlaps`` of the two, if at hand."""
+    touched = overlaps(hunks, symbols) if touched is None else touched
+    return hunks.join(touched.select("file", "start", "stop").distinct(), ["file", "start", "stop"], "left_anti").select(*hunks.columns)
 
 
 def identity_counts(symbols: DataFrame) -> DataFrame:

@@ -74,39 +74,43 @@ def pagerank_distributed(nodes: DataFrame, edges: DataFrame, *, damping: float =
     return ranks
 
 
-def direct_callers(edges: DataFrame, changed: DataFrame) -> DataFrame:
+def direct_callers(edges: DataFrame, changed: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Who calls a changed symbol, each with its strongest relation (the first one on ties).
 
-    changed: ``id, ord`` (long). Result ``id, depth, strength, via_target, via_file, via_line``.
+    changed: ``id, ord`` (long), and the columns of by where it holds many changes. Result: those columns and
+    ``id, depth, strength, via_target, via_file, via_line``.
     """
-    hits = edges.where("source_id is not null").join(changed.select(F.col("id").alias("target_id"), "ord"), "target_id")
+    hits = edges.where("source_id is not null").join(changed.select(*by, F.col("id").alias("target_id"), "ord"), "target_id")
     best = F.max_by(F.struct("target_id", "call_file", "call_line", "strength"), F.struct("strength", -F.col("ord"), -F.col("seq")))
-    return hits.groupBy(F.col("source_id").alias("id")).agg(best.alias("b")).select("id", F.lit(1).alias("depth"), "b.strength", F.col("b.target_id").alias("via_target"), F.col("b.call_file").alias("via_file"), F.col("b.call_line").alias("via_line"))
+    return hits.groupBy(*by, F.col("source_id").alias("id")).agg(best.alias("b")).select(*by, "id", F.lit(1).alias("depth"), "b.strength", F.col("b.target_id").alias("via_target"), F.col("b.call_file").alias("via_file"), F.col("b.call_line").alias("via_line"))
 
 
-def impact(edges: DataFrame, changed: DataFrame, max_depth: int = 3) -> DataFrame:
+def impact(edges: DataFrame, changed: DataFrame, max_depth: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
     """Everything that reaches a changed symbol within max_depth calls, at its least depth.
 
     A node's strength is the strongest over its shortest paths of the weakest relation on the path. The changed symbols
-    aren't part of the result. Columns as in ``direct_callers``; depth 1 is included.
+    aren't part of the result. Columns as in ``direct_callers``; depth 1 is included. With by, each change is followed on
+    its own, all of them in the same joins.
     """
     back = edges.where("source_id is not null").select("source_id", "target_id", "call_file", "call_line", F.col("strength").alias("edge"), "seq")
-    seen = changed.select("id")
-    front = changed.select("id", F.lit(3).alias("strength"), F.array(F.col("ord").cast("long")).alias("ord"))
+    seen = changed.select(*by, F.col("id").alias("source_id"))
+    front = changed.select(*by, "id", F.lit(3).alias("strength"), F.array(F.col("ord").cast("long")).alias("ord"))
+    key = [*by, "source_id"]
     out = None
     for depth in range(1, max_depth + 1):
         step = back.join(front, back.target_id == front.id).drop("id").withColumn("now", F.least("strength", "edge"))
-        step = step.join(seen, step.source_id == seen.id, "left_anti").withColumn("at", F.concat("ord", F.array("seq")))
+        step = step.join(seen, key, "left_anti").withColumn("at", F.concat("ord", F.array("seq")))
         # strongest, and among those the first in breadth-first order
-        ranked = step.groupBy("source_id").agg(F.max("now").alias("best"), F.min("at").alias("first"))
-        via = step.join(ranked, "source_id").where("now = best").groupBy("source_id").agg(F.min_by(F.struct("target_id", "call_file", "call_line"), "at").alias("via"))
-        found = kept(ranked.join(via, "source_id").select(F.col("source_id").alias("id"), F.lit(depth).alias("depth"), F.col("best").alias("strength"), F.col("first").alias("ord"), "via.target_id", "via.call_file", "via.call_line"))
+        via = F.struct("target_id", "call_file", "call_line")
+        ranked = step.groupBy(*key, "now").agg(F.min(F.struct("at", via.alias("via"))).alias("first"))
+        best = ranked.groupBy(*key).agg(F.max(F.struct("now", "first.via")).alias("b"), F.min("first.at").alias("ord"))
+        found = kept(best.select(*by, F.col("source_id").alias("id"), F.lit(depth).alias("depth"), F.col("b.now").alias("strength"), "ord", "b.via.target_id", "b.via.call_file", "b.via.call_line"))
         out = found if out is None else out.unionByName(found)
-        seen = seen.unionByName(found.select("id"))
-        front = found.select("id", "strength", "ord")
+        seen = seen.unionByName(found.select(*by, F.col("id").alias("source_id")))
+        front = found.select(*by, "id", "strength", "ord")
         if found.isEmpty():
             break
-    return out.select("id", "depth", "strength", F.col("target_id").alias("via_target"), F.col("call_file").alias("via_file"), F.col("call_line").alias("via_line"))
+    return out.select(*by, "id", "depth", "strength", F.col("target_id").alias("via_target"), F.col("call_file").alias("via_file"), F.col("call_line").alias("via_line"))
 
 
 def focus_ancestors(rows: DataFrame, symbols: DataFrame, focus_files: list[str], max_depth: int = 6) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from codeloom.parsing import declarators, wellformed
 from codeloom.parsing.lexer import Braces, Lines, closing, scan
 from codeloom.parsing.model import Call, Parsed, Symbol, binding, imported
 
@@ -60,10 +61,13 @@ class _Source:
             name, at = m["name"], m.start("name")
             if name in self.not_calls or at in self.taken:
                 continue
-            before = self.code[:at].rstrip()
+            stop = at
+            while stop and self.code[stop - 1].isspace():
+                stop -= 1
+            before = self.code[max(0, stop - 16) : stop]
             q = None
             if r := re.search(rf"(?:{scoped})$", before):
-                q = self._receiver(before[: r.start()])
+                q = self._receiver(stop - len(before) + r.start())
                 if q is None:
                     continue
             elif re.search(r"\b(?:function|fn|func|def|class|interface|enum|struct)$", before):
@@ -72,33 +76,33 @@ class _Source:
                 continue
             self.calls.append(Call(name, at, self.lines.of(at), q))
 
-    def _receiver(self, before: str) -> str | None:
-        """The text of the expression that a member is called on."""
-        i = len(before)
+    def _receiver(self, end: int) -> str | None:
+        """The text of the expression that a member is called on, which ends at a position."""
+        code, i = self.code, end
         while i > 0:
-            c = before[i - 1]
+            c = code[i - 1]
             if c in ")]":
                 depth, j = 0, i - 1
                 while j >= 0:
-                    depth += before[j] in ")]"
-                    depth -= before[j] in "(["
+                    depth += code[j] in ")]"
+                    depth -= code[j] in "(["
                     if depth == 0:
                         break
                     j -= 1
                 i = max(0, j)
-            elif re.match(r"[\w$.?:@]", c) or (c == ">" and before[i - 2 : i] == "->"):
+            elif re.match(r"[\w$.?:@]", c) or (c == ">" and code[i - 2 : i] == "->"):
                 i -= 2 if c == ">" else 1
-            elif c == ">" and (j := self._angle(before, i - 1)) is not None:
+            elif c == ">" and (j := self._angle(code, i - 1)) is not None:
                 i = j
             elif c in "\"'`":
-                j = before.rfind(c, 0, i - 1)
+                j = code.rfind(c, 0, i - 1)
                 i = j if j >= 0 else i - 1
                 break
             else:
                 break
-        if made := re.search(r"\bnew\s+$", before[:i]):
-            i = made.start()
-        text = self.raw[i : len(before)].strip().strip(".:?")
+        if made := re.search(r"\bnew\s+$", code[max(0, i - 40) : i]):
+            i = max(0, i - 40) + made.start()
+        text = self.raw[i:end].strip().strip(".:?")
         return text or None
 
     @staticmethod
@@ -110,7 +114,7 @@ class _Source:
                 return None
             depth += (before[j] == ">") - (before[j] == "<")
             if depth == 0:
-                return j if re.search(r"\w$", before[:j]) else None
+                return j if re.search(r"\w$", before[max(0, j - 1) : j]) else None
         return None
 
 
@@ -125,6 +129,7 @@ def script(code: str, lang: str) -> Parsed:
     typed = lang in ("typescript", "arkts")
     export = r"(?P<export>export\s+)?(?:default\s+)?(?:declare\s+)?"
     top = lambda at: s.braces.enclosing(at)
+    checked = wellformed.check(code, lang)
 
     for m in re.finditer(rf"\bimport\s+(?:type\s+)?(?P<what>[\w$*{{}},\s]*?)\s*(?:from\s*)?(?=[\"'])", s.code):
         s.imports.append(imported(_string(s.raw, m.end()), s.lines.of(m.start()), "import", _es_bindings(m["what"])))
@@ -143,19 +148,19 @@ def script(code: str, lang: str) -> Parsed:
             continue
         stop = s.braces.pairs.get(open_, len(s.code) - 1) + 1
         start, decorators = _decorated(s, m.start())
-        sym = s.add(m, m["name"], "class" if kind == "struct" else kind, stop, bool(m["export"]) and top(m.start()) < 0, ("struct " if kind == "struct" else "") + m["name"], decorators=decorators)
+        sym = s.add(m, m["name"], "class" if kind == "struct" else kind, stop, bool(m["export"]), ("struct " if kind == "struct" else "") + m["name"], decorators=decorators)
         if lang == "arkts" and decorators:
             sym.start, sym.line = start, s.lines.of(start)
         if kind != "enum":
             bodies[open_] = kind
-    for m in re.finditer(rf"{export}(?:async\s+)?\bfunction\s*\*?\s*(?P<name>{_ID})\s*(?:<[^()]*>)?\s*(?=\()", s.code):
+    for m in () if checked else re.finditer(rf"{export}(?:async\s+)?\bfunction\s*\*?\s*(?P<name>{_ID})\s*(?:<[^()]*>)?\s*(?=\()", s.code):
         close = closing(s.code, m.end())
         start, decorators = _decorated(s, m.start())
-        s.add(m, m["name"], "function", s.body_end(close + 1), bool(m["export"]) and top(m.start()) < 0, m["name"] + s.raw[m.end() : close + 1], decorators=decorators)
+        s.add(m, m["name"], "function", s.body_end(close + 1), bool(m["export"]), m["name"] + s.raw[m.end() : close + 1], decorators=decorators)
     if typed:
         for m in re.finditer(rf"(?:^|(?<=[\n;}}]))\s*{export}type\s+(?P<name>{_ID})\s*(?:<[^=]*>)?\s*=", s.code):
             end = re.compile(r";|\n(?=\s*(?:export|import|const|let|type|function|class|interface|enum)\b)|\n\s*\n|$").search(s.code, m.end())
-            s.add(m, m["name"], "type", end.start() + 1 if end else len(s.code), bool(m["export"]) and top(m.start("name")) < 0, m["name"])
+            s.add(m, m["name"], "type", end.start() + 1 if end else len(s.code), bool(m["export"]), m["name"])
     for m in re.finditer(rf"(?:^|(?<=[\n;{{}}]))\s*{export}(?:const|let|var)\s+(?P<name>{_ID})\s*(?P<after>[:=;,\n])", s.code):
         if top(m.start("name")) < 0:
             stop = _value_end(s, m.end())
@@ -164,6 +169,8 @@ def script(code: str, lang: str) -> Parsed:
                 stop = _declarators(s, m, first, stop)
             s.add(m, m["name"], "variable", min(stop, len(s.code)), bool(m["export"]), m["name"])
     for open_, _kind in bodies.items():
+        if checked and _kind != "interface":
+            continue
         close = s.braces.pairs.get(open_, len(s.code))
         for m in re.finditer(rf"(?:^|(?<=[;{{}}\n]))\s*(?:(?:public|private|protected|static|async|readonly|override|abstract|get|set|accessor|declare)\s+)*\*?\s*(?P<name>[#]?{_ID})\s*[?!]?\s*(?:<[^()=;]*>)?\s*(?P<next>[(:=;])", s.code[open_ + 1 : close]):
             at = open_ + 1 + m.start("name")
@@ -180,10 +187,27 @@ def script(code: str, lang: str) -> Parsed:
                 sym.exported = False
             elif typed and _kind != "interface":
                 s.add(whole, m["name"], "field", _value_end(s, at), False, m["name"], decorators=decorators)
+    issues = s.issues()
+    if checked:
+        issues, found = checked
+        for f in found:
+            s.taken.add(f.name_at)
+            if f.kind == "field" and not typed:
+                continue
+            decorators = [code[a:b] for a, b in f.decorators]
+            start = f.start
+            if f.kind == "function":
+                outer, decorators = _decorated(s, re.compile(r"(?:export\s+)?(?:default\s+)?(?:declare\s+)?$").search(s.code, 0, f.start).start() if s.code[: f.start].rstrip().endswith(("export", "default", "declare")) else f.start)
+                if lang == "arkts" and decorators:
+                    start = outer
+            elif f.decorators and (lang == "arkts" or f.kind == "field"):
+                start = f.decorators[0][0]
+            head = f.name if f.kind == "field" else f.name + code[f.name_at + len(f.name) : f.head_end]
+            s.symbols.append(Symbol(f.name, f.kind, start, f.stop, s.lines.of(start), s.lines.of(max(start, f.stop - 1)), f.exported, head, decorators=decorators))
     s.find_calls(r"\?\.|\.")
     if lang == "arkts":
         _arkui(s)
-    return Parsed(s.symbols, s.imports, s.calls, s.issues())
+    return Parsed(s.symbols, s.imports, s.calls, issues)
 
 
 def _line_end(s: _Source, at: int) -> int:
@@ -283,7 +307,7 @@ def _arkui(s: _Source) -> None:
     for c in s.calls:
         line_start = s.code.rfind("\n", 0, c.start) + 1
         head = s.code[line_start : c.start]
-        if c.qualifier is not None and re.match(r"\s*\.$", head):
+        if c.qualifier is not None and (re.match(r"\s*\.$", head) or re.match(r"[A-Z]\w*\s*\(", c.qualifier) and builds(c.start)):
             continue
         if c.qualifier is None and c.name[:1].isupper() and re.match(r"\s*$", head) and builds(c.start):
             c.context = "arkui"
@@ -365,6 +389,8 @@ def rust(code: str) -> Parsed:
             bs.append(binding(names[0], names[-1], "named"))
         s.imports.append(imported(base.replace("::", "/"), s.lines.of(m.start()), "import", bs))
     s.find_calls(r"\.|::")
+    listed = [x for x in s.symbols if x.kind == "enum"]
+    s.calls = [c for c in s.calls if not any(x.start <= c.start < x.stop for x in listed)]  # variants with fields look like calls
     return Parsed(s.symbols, s.imports, s.calls, s.issues())
 
 
@@ -434,10 +460,10 @@ def c_family(code: str, lang: str) -> Parsed:
         boxes[m.end() - 1] = (m["what"].split()[0], m["name"])
         stop = s.braces.pairs.get(m.end() - 1, len(s.code) - 1) + 1
         s.add(m, m["name"].split("::")[-1], kind, stop, True, m["name"])
-    for m in re.finditer(r"\btypedef\b[^;{]*?\b(?P<name>\w+)\s*;|\busing\s+(?P<alias>\w+)\s*=", s.code):
-        name = m["name"] or m["alias"]
-        sym = Symbol(name, "type", m.start(), s.body_end(m.end() - 1), s.lines.of(m.start()), s.lines.of(m.end()), True, name)
-        s.symbols.append(sym)
+    for m in re.finditer(r'\b(?:extern\s*"\s*"|namespace)\s*\{', s.code):
+        boxes[m.end() - 1] = ("namespace", "")
+    for m in re.finditer(r"\busing\s+(?P<name>\w+)\s*=", s.code):
+        s.add(m, m["name"], "type", s.body_end(m.end()), True, m["name"])
 
     def exported(at: int, box: int, head: str) -> bool:
         if re.search(r"\bstatic\b", head) and (box < 0 or boxes.get(box, ("",))[0] == "namespace"):
@@ -467,14 +493,20 @@ def c_family(code: str, lang: str) -> Parsed:
         if not after or in_code or parts[-1] in s.not_calls or not (m["head"].strip() or special or len(parts) > 1 and parts[-1].lstrip("~") == parts[-2]):
             continue
         member = own is not None and own[0] in ("class", "struct", "union")
-        s.taken.add(m.end("name") - len(parts[-1]))
-        s.add(m, parts[-1], "method" if member or len(parts) > 1 else "function", s.body_end(close + 1), exported(m.start(), box, m["head"]), parts[-1] + s.raw[m.end() : close + 1], owner=tuple(("class", p) for p in parts[:-1]))
-    for m in re.finditer(r"(?:^|(?<=[;{}:\n]))[ \t]*(?P<head>(?:(?:static|extern|const|constexpr|inline|mutable|volatile|unsigned|signed|long|short|struct)\s+)*[\w:]+(?:<[^;{}()]*>)?[\s*&]+)(?P<name>\w+)\s*(?:\[[^\]]*\]\s*)*(?=[=;{])", s.code):
-        box = s.braces.enclosing(m.start("name"))
-        own = boxes.get(box)
-        if m["name"] == "operator" or (box >= 0 and (own is None or own[0] == "enum")) or re.match(r"\s*(?:return|using|typedef|class|struct|enum|namespace|goto|case|delete|throw|else|public|private|protected|template|friend)\b(?!\s+\w+\s+\w)", m["head"]):
-            continue
-        member = own is not None and own[0] != "namespace"
-        s.add(m, m["name"], "field" if member else "variable", s.body_end(m.end()), exported(m.start(), box, m["head"]), m["name"])
+        s.taken |= {m.end("name") - len(parts[-1]), m.end("name") - len(parts[-1].lstrip("~"))}
+        for i in re.finditer(r"[:,]\s*(\w+)\s*\(", after[0]):  # members that a constructor sets aren't called
+            s.taken.add(close + 1 + i.start(1))
+        s.add(m, parts[-1], "method" if member or len(parts) > 1 else "function", s.body_end(close + 1), exported(m.start(), box, m["head"]), parts[-1] + s.raw[m.end() : close + 1], owner=tuple(("owner", p) for p in parts[:-1]))
+    made = {(x.name, x.line) for x in s.symbols if x.kind in ("function", "method")}
+    regions = [(-1, 0, len(s.code)), *[(box, box + 1, s.braces.pairs.get(box, len(s.code))) for box, (what, _) in boxes.items() if what != "enum"]]
+    for box, first, last in regions:
+        member = box in boxes and boxes[box][0] != "namespace"
+        for a, b in declarators.statements(s.code, s.braces.pairs, first, last):
+            for d in declarators.declared(s.code, a, b):
+                if (d.name, s.lines.of(d.start)) in made or d.name in s.not_calls:
+                    continue
+                kind = "type" if d.typedef else ("method" if member else "function") if d.function else "field" if member else "variable"
+                s.symbols.append(Symbol(d.name, kind, d.start, d.stop, s.lines.of(d.start), s.lines.of(max(d.start, d.stop - 1)), d.typedef or exported(d.start, box, d.head), d.name))
+                s.taken.add(d.at)
     s.find_calls(r"->|\.|::")
     return Parsed(s.symbols, s.imports, s.calls, s.issues())

@@ -55,33 +55,57 @@ class Parsed:
     issues: list[tuple[str, int]]  # (kind, line)
 
 
-def identify(file: str, symbols: list[Symbol]) -> None:
-    """Scopes, ordinals and ids: an owner is the innermost declaration around a symbol, then its synthetic owners.
+#: Kinds that a declared owner of members outside it can have.
+OWNERS = ("class", "interface", "trait", "module", "namespace", "impl")
 
-    Ordinals count equal (kind, name) within one scope in source order, so they don't change with blank lines.
+
+def scope_kind(lang: str, kind: str) -> str:
+    """A declaration's kind in the scopes and ids of what stands within it."""
+    if kind == "interface":
+        return "trait" if lang == "rust" else "interface"
+    if kind == "module":
+        return "namespace" if lang in ("c", "cpp") else "module"
+    return kind if kind in ("class", "function", "method") else "owner"
+
+
+def identify(file: str, symbols: list[Symbol], lang: str = "") -> None:
+    """Scopes, ordinals and ids: an owner is the innermost declaration around a symbol, then the owners that it names.
+
+    A named owner (a receiver, an impl, a qualifier) is the declaration of that name in the same scope, of its kind or, for
+    the kind ``owner``, of any that has members; where there is none, it's an owner of its own. Ordinals count equal (kind,
+    name) within one scope in source order, so they don't change with blank lines.
     """
     symbols.sort(key=lambda s: (s.start, -s.stop))
-    seen: dict[tuple, int] = {}
+    around: list[Symbol | None] = []
     stack: list[Symbol] = []
-    synthetic: dict[tuple, int] = {}
     for s in symbols:
-        while stack and not (stack[-1].start <= s.start and s.stop <= stack[-1].stop and stack[-1] is not s):
+        while stack and not (stack[-1].start <= s.start and s.stop <= stack[-1].stop):
             stack.pop()
-        scope = [*stack[-1].scope, {"kind": stack[-1].scope_kind or stack[-1].kind, "name": stack[-1].name, "ordinal": stack[-1].ordinal}] if stack else []
+        around.append(stack[-1] if stack else None)
+        stack.append(s)
+    declared: dict[tuple, list[tuple[str, int]]] = {}
+    for s, outer in zip(symbols, around, strict=True):  # owners may be declared behind what names them
+        if outer is None and not s.owner:
+            same = declared.setdefault(("[]", s.name), [])
+            same.append((scope_kind(lang, s.kind), 1 + sum(k == scope_kind(lang, s.kind) for k, _ in same)))
+    seen: dict[tuple, int] = {}
+    for s, outer in zip(symbols, around, strict=True):
+        scope = [*outer.scope, {"kind": outer.scope_kind, "name": outer.name, "ordinal": outer.ordinal}] if outer else []
         for kind, name in s.owner:
-            key = (repr(scope), kind, name)
-            scope = [*scope, {"kind": kind, "name": name, "ordinal": synthetic.setdefault(key, 1)}]
-        s.scope = scope
-        key = (repr(scope), s.scope_kind or s.kind, s.name)
+            known = [x for x in declared.get((repr(scope), name), ()) if x[0] in OWNERS and kind in ("owner", x[0])]
+            own, ordinal = known[0] if known else (kind, 1)
+            scope = [*scope, {"kind": own, "name": name, "ordinal": ordinal}]
+        s.scope, s.scope_kind = scope, scope_kind(lang, s.kind)
+        key = (repr(scope), s.scope_kind, s.name)
         s.ordinal = seen[key] = seen.get(key, 0) + 1
-        parts = [*scope, {"kind": s.scope_kind or s.kind, "name": s.name, "ordinal": s.ordinal}]
-        s.id = f"sym:v1:{encode(file)}#" + "/".join(f"{p['kind']}:{encode(p['name'])}@{p['ordinal']}" for p in parts)
-        stack.append(s)
+        if scope:
+            declared.setdefault((repr(scope), s.name), []).append((s.scope_kind, s.ordinal))
+        s.id = f"sym:v1:{encode(file)}#" + "/".join(f"{p['kind']}:{encode(p['name'])}@{p['ordinal']}" for p in [*scope, {"kind": s.scope_kind, "name": s.name, "ordinal": s.ordinal}])
 
 
 def rows(file: str, lang: str, parsed: Parsed, seq: int = 0) -> dict:
     """Rows of the index tables for one file."""
-    identify(file, parsed.symbols)
+    identify(file, parsed.symbols, lang)
     symbols = []
     for k, s in enumerate(sorted(parsed.symbols, key=lambda s: (s.line, s.start))):
         own = s.id.split("#", 1)[1]

@@ -34,13 +34,13 @@ CTES = {
         CAST(row_number() OVER (PARTITION BY c.fid ORDER BY c.line, c.name, coalesce(c.from_pid, -1), coalesce(c.qualifier, '')) AS INT) AS seq
         FROM call0 c JOIN files f ON c.fid = f.fid LEFT JOIN symbols s ON c.from_pid = s.pid""",
     # imports: src file, specifier, bindings (imported, local, how)
-    "imp0": """SELECT DISTINCT l_suppkey AS src, l_partkey % n AS dst FROM lineitem CROSS JOIN nf WHERE l_linenumber = 1 AND l_quantity <= 2 AND l_suppkey <> l_partkey % n""",
+    "imp0": """SELECT DISTINCT src, dst FROM (SELECT l_suppkey AS src, (l_suppkey + 7 * l_linenumber) % n AS dst FROM lineitem CROSS JOIN nf) WHERE src <> dst""",
     "imp": """SELECT i.src AS src_fid, i.dst AS dst_fid, a.path AS src, b.path AS dst,
         CASE WHEN (i.src + i.dst) % 3 = 0 THEN 'named' WHEN (i.src + i.dst) % 3 = 1 THEN 'namespace' ELSE 'none' END AS how, concat('ns', CAST(i.dst % 7 AS STRING)) AS ns, s.name AS bound
         FROM imp0 i JOIN files a ON i.src = a.fid JOIN files b ON i.dst = b.fid JOIN sym0 s ON s.pid = i.dst""",
-    # sparse: imports with few cycles
-    "sparse": """SELECT DISTINCT a.path AS src, b.path AS dst FROM lineitem CROSS JOIN nf JOIN files a ON l_suppkey = a.fid JOIN files b ON l_partkey % n = b.fid
-        WHERE l_linenumber = 1 AND l_quantity <= 2 AND l_returnflag = 'A' AND l_suppkey <> l_partkey % n""",
+    # sparse: one import of each file that was parsed, so that there are several cycles and files without neighbours
+    "spa0": """SELECT fid AS src, (3 * fid + CAST(floor(abs(mtime_ms)) AS BIGINT)) % n AS dst FROM files CROSS JOIN nf WHERE status IS NULL OR status = 'parsed'""",
+    "sparse": """SELECT DISTINCT a.path AS src, b.path AS dst FROM spa0 i JOIN files a ON i.src = a.fid JOIN files b ON i.dst = b.fid WHERE i.src <> i.dst""",
     # hunks: hid, fid, file, start, stop
     "hunks": """SELECT o_orderkey AS hid, f.fid, f.path AS file, CAST(o_orderkey AS INT) AS start, CAST(o_orderkey + 5 AS INT) AS stop FROM orders CROSS JOIN nf JOIN files f ON o_custkey % n = f.fid""",
     # runs: one experiment run for each document

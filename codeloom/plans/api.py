@@ -39,7 +39,7 @@ class CodeIndex:
             gone = not previous["files"].join(plan, "path", "left_anti").isEmpty()
             if not stale and not gone:
                 return cls(spark, root, previous)
-            sources = reader.option("code", "true").load().join(plan.where("action = 'extract'").select("path"), "path", "left_semi")
+            sources = tree.read_files(plan.where("action = 'extract'").select("path").repartition(max(2, spark.sparkContext.defaultParallelism)), root)
         else:
             plan, sources = None, reader.option("code", "true").load()
         fresh = kept(E.extract(sources.repartition(max(2, spark.sparkContext.defaultParallelism))))
@@ -133,7 +133,7 @@ class CodeIndex:
         g = self.module_graph
         return {"cycles": graph.import_cycles(g.withColumn("root", F.lit(self.root))).orderBy("members").limit(limit), "orphans": graph.orphans(self.files, self.symbols, g).orderBy("path").limit(limit)}
 
-    def change_context(self, *, diff_text: str | None = None, files: list[str] | None = None, symbols: list[str] | None = None, base_ref: str | None = None, base_sources: dict[str, str] | None = None, focus_files: list[str] = (), **limits) -> dict:
+    def change_context(self, *, diff_text: str | None = None, files: list[str] | None = None, symbols: list[str] | None = None, base_ref: str | None = None, base_sources: dict[str, str] | None = None, focus_files: list[str] = (), only_files: set[str] | None = None, **limits) -> dict:
         """What a change touches and reaches. Exactly one of diff_text, files, symbols and base_ref says what changed.
 
         base_sources: contents of changed files before the change; with base_ref they come from git. A diff without them
@@ -173,6 +173,9 @@ class CodeIndex:
             changed = name(now).withColumn("side", F.lit("current")).select(*sym.columns, "side", "change").unionByName(gone.select(*sym.columns, "side", "change"))
             lost = diff.outside(ranges.where("side = 'current'"), sym)
             unmapped = [r.asDict() for r in lost.orderBy("file", "start").limit(report.XRAY["unmapped"] + 1).collect()]
+        touched = paths
+        if only_files is not None:  # before any limit, so that nothing else takes the task's place
+            changed, paths = changed.where(F.col("file").isin(list(only_files))), paths.where(F.col("path").isin(list(only_files)))
         changed = kept_in_order(changed.orderBy("side", "file", "line", "id"))
         top = [r.asDict(recursive=True) for r in changed.select("id", "name", "kind", "file", "line", "end_line", "side", "change").limit(at["max_impact"] + 1).collect()]
         seeds = changed.select("id", F.monotonically_increasing_id().alias("ord"))  # in the order of the checkpointed rows
@@ -202,7 +205,7 @@ class CodeIndex:
         counts = said.first().asDict()
         gaps = [r[0] for r in evidence.gaps(said).collect()]
         full = {"changed": (top, at["max_impact"]), "unmapped": (unmapped, report.XRAY["unmapped"]), "callers": (callers, at["max_impact"]), "impact": (impact, at["max_impact"]), "paths": (paths_, at["max_paths"]), "dependents": (deps, at["max_impact"]), "tests": (tests, at["max_tests"])}
-        return {"files": [r[0] for r in paths.orderBy("path").collect()], "gaps": gaps, "evidence": counts, "truncated": {k: len(v) > n for k, (v, n) in full.items()}, **{k: v[:n] for k, (v, n) in full.items()}}
+        return {"files": [r[0] for r in touched.orderBy("path").collect()], "gaps": gaps, "evidence": counts, "truncated": {k: len(v) > n for k, (v, n) in full.items()}, **{k: v[:n] for k, (v, n) in full.items()}}
 
     def change_text(self, **options) -> str:
         return report.render_change(self.change_context(**options))
@@ -224,9 +227,10 @@ class CodeIndex:
         for t in tokens:
             mention = mention | X.file_mention(F.col("path"), F.lit(t))
         mentioned = [r.path for r in self.files.where(mention).select("path").orderBy("path").limit(n_files).collect()]
-        changed = self.change_context(base_ref=base_ref) if base_ref and kind in ("change", "test") else None
         primary = context.primary_symbols(self.symbols, task, names=names, mentioned=mentioned, limit=n_symbols, ambiguous=kind == "ambiguous")
         rows = [r.asDict() for r in primary.collect()]
+        own_files = {r["file"] for r in rows}
+        changed = self.change_context(base_ref=base_ref, focus_files=mentioned, only_files=own_files or None) if base_ref and kind in ("change", "test") else None
         none = self.spark.createDataFrame([], "path string, depth int")
 
         def seed_tests(paths: set[str], names: set[str]) -> DataFrame:
@@ -234,7 +238,6 @@ class CodeIndex:
             return change.affected_tests(self.files, self.module_graph, self.calls, *own, none)
 
         if changed and rows:
-            changed = change.narrowed(changed, {r["file"] for r in rows})
             found = seed_tests({r["file"] for r in changed["changed"]}, {r["name"] for r in changed["changed"]})
             changed["tests"] = [r.asDict() for r in change.ordered_tests(found).collect()]
         ids = self.spark.createDataFrame([(r["id"],) for r in rows], "id string")
@@ -251,25 +254,26 @@ class CodeIndex:
         if not rows and kind in ("architecture", "exploration", "ambiguous"):
             pool["map"] = self.map(n_files).select("path", F.least(F.lit(35.0), F.col("score") + 10).alias("score"))
         files = [r.asDict() for r in context.relevant_files(pool, n_files).collect()]
-        forms: dict[str, list[str]] = {}
+        forms: dict[str, list] = {}
         if sources is not None and rows:
             own = self.spark.createDataFrame([(r["id"], r["file"], r["line"], r["end_line"], r["signature"]) for r in rows], "id string, path string, line int, end_line int, signature string")
             decl = own.join(sources.select("path", F.col("code").alias("text")), "path").withColumn("focus", F.lit(None).cast("int"))
             for r in excerpts.variants(decl).orderBy("id", "rank").collect():
-                forms.setdefault(r.id, []).append(r.excerpt)
+                forms.setdefault(r.id, []).append(r)
         items = []
         for i, r in enumerate(rows):
             head = f"{r['kind']} {r['name']} {r['file']}:{r['line']} {r['signature']}"
-            items.append({"key": r["id"], "priority": 100 if i < 4 else 45, "text": "\n".join([head, *forms.get(r["id"], [])[:1]]), "forms": ["\n".join([head, f]) for f in forms.get(r["id"], [])[1:]] + [head]})
+            own = [{"head": head, "file": r["file"], "start": x.start, "lines": x.excerpt.split("\n")} if x.form != "signature" else f"{head}\n{x.excerpt}" for x in forms.get(r["id"], [])]
+            items.append({"key": r["id"], "file": r["file"], "priority": 100 if i < 4 else 45, "forms": [*own, head]})
         for c in changed["changed"] if changed else []:
-            items.append({"key": ("change", c["id"], c["side"]), "priority": 80 if c["side"] == "current" else 40, "text": f"{c['change']} {c['kind']} {c['name']} {c['file']}:{c['line']}"})
+            items.append({"key": ("change", c["id"], c["side"]), "file": c["file"], "priority": 80 if c["side"] == "current" else 40, "text": f"{c['change']} {c['kind']} {c['name']} {c['file']}:{c['line']}"})
         for n in near:
             strong = n["resolution"] != "name-only"
-            items.append({"key": (n["id"], n["direction"], n["other"]), "priority": 75 if strong else 20, "text": f"{n['direction']} {n['other_name']} {n['other_file']} [{n['resolution']}]"})
+            items.append({"key": (n["id"], n["direction"], n["other"]), "file": n["other_file"], "priority": 75 if strong else 20, "text": f"{n['direction']} {n['other_name']} {n['other_file']} [{n['resolution']}]"})
         for i, f in enumerate(files):
             test = f["reason"] == "affected-test"
             items.append({"key": ("file", f["path"]), "priority": (60 if i < 2 else 30) if test else 35 if f["reason"] == "import-dependent" else 10, "text": f"{f['reason']} {f['path']}"})
-        chosen = report.select_pack(items, budget)
+        chosen = report.select_pack(items, budget, n_files)
         return {"kind": kind, "symbols": rows, "files": files, "neighbours": near, "items": chosen, "text": report.render_pack(chosen, budget), "change": changed}
 
     def read_sources(self, paths: list[str]) -> DataFrame:

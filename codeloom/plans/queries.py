@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom import schema as S
 from codeloom.functions import scalars as X
-from codeloom.operators import change, context, diff, evidence, excerpts, graph, imports, incremental, references, search, stats
+from codeloom.operators import batch, change, context, diff, evidence, excerpts, graph, imports, incremental, references, search, stats
 from codeloom.plans import languages
 from codeloom.plans.adapters import Adapter, with_ctes
 from codeloom.streaming import events
@@ -177,7 +177,10 @@ def incoming_counts(a):
     return references.incoming_counts(_edges(a))
 
 
-@query("SELECT file, name, line, from_id FROM calls c WHERE from_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.source_id = c.from_id AND e.call_line = c.line AND e.name = c.name AND e.resolution <> 'name-only')", _EDGES_SQL)
+@query(
+    "SELECT c.file, c.name, c.line, c.from_id FROM calls c LEFT JOIN settled e ON e.from_id = c.from_id AND e.line = c.line AND e.name = c.name WHERE c.from_id IS NOT NULL AND e.name IS NULL",
+    _EDGES_SQL + ", settled AS MATERIALIZED (SELECT DISTINCT source_id AS from_id, call_line AS line, name FROM edges WHERE resolution <> 'name-only' AND source_id IS NOT NULL)",
+)
 def unresolved_calls(a):
     return references.unresolved(_calls(a), _edges(a).where("resolution <> 'name-only'")).select("file", "name", "line", "from_id")
 
@@ -254,35 +257,54 @@ def file_density(a):
     return search.density(_symbols(a)).withColumn("density", F.round("density", 6))
 
 
-def _pagerank_sql(rounds: int = 25) -> str:
-    out = [_density_sql(), "base AS (SELECT path, density / sum(density) OVER () AS share FROM dens)", "lk AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS k FROM sparse WHERE src IN (SELECT path FROM base) AND dst IN (SELECT path FROM base))", "p0 AS MATERIALIZED (SELECT path, share AS r FROM base)"]
+def _pagerank_sql(rounds: int = S.MAX_ROUNDS) -> str:
+    """Each round as an expression of its own; the first one that moved less than the tolerance is the result."""
+    out = [_density_sql(), "base AS MATERIALIZED (SELECT path, density / sum(density) OVER () AS share FROM dens)", "lk AS MATERIALIZED (SELECT src, dst, count(*) OVER (PARTITION BY src) AS k FROM sparse WHERE src IN (SELECT path FROM base) AND dst IN (SELECT path FROM base))"]
+    out += ["loose AS MATERIALIZED (SELECT path FROM base WHERE path NOT IN (SELECT src FROM lk))", "p0 AS MATERIALIZED (SELECT path, share AS r FROM base)"]
     for i in range(1, rounds + 1):
-        out.append(f"p{i} AS MATERIALIZED (SELECT b.path, CAST(0.15 AS DOUBLE) * b.share + CAST(0.85 AS DOUBLE) * (coalesce(f.x, 0) + (SELECT coalesce(sum(r), 0) FROM p{i - 1} WHERE path NOT IN (SELECT src FROM lk)) * b.share) AS r FROM base b LEFT JOIN (SELECT dst, sum(r / k) AS x FROM lk JOIN p{i - 1} ON src = path GROUP BY dst) f ON b.path = f.dst)")
+        out.append(f"p{i} AS MATERIALIZED (SELECT b.path, CAST(0.15 AS DOUBLE) * b.share + CAST(0.85 AS DOUBLE) * (coalesce(f.x, 0) + (SELECT coalesce(sum(r), 0) FROM p{i - 1} JOIN loose USING (path)) * b.share) AS r FROM base b LEFT JOIN (SELECT dst, sum(r / k) AS x FROM lk JOIN p{i - 1} ON src = path GROUP BY dst) f ON b.path = f.dst)")
+    every = " UNION ALL ".join(f"SELECT {i} AS i, path, r FROM p{i}" for i in range(rounds + 1))
+    out.append(f"steps AS MATERIALIZED ({every})")
+    out.append("moved AS (SELECT i, sum(abs(d)) AS d FROM (SELECT i, r - lag(r) OVER (PARTITION BY path ORDER BY i) AS d FROM steps) WHERE i > 0 GROUP BY i)")
+    out.append(f"pr AS (SELECT path, r FROM steps WHERE i = (SELECT coalesce(min(i), {rounds}) FROM moved WHERE d < {S.TOLERANCE}))")
     return ", ".join(out)
 
 
-def _ranks(a: Adapter, rounds: int = 25) -> DataFrame:
+def _ranks(a: Adapter) -> DataFrame:
     nodes = search.density(_symbols(a)).select(F.lit("r").alias("root"), "path", F.col("density").alias("weight"))
-    return graph.pagerank(nodes, a.sparse.withColumn("root", F.lit("r")), tolerance=0.0, rounds=rounds)
+    return graph.ranked(nodes, a.sparse.withColumn("root", F.lit("r")))
 
 
-@query("SELECT path, round(r, 6) AS rank FROM p25", _pagerank_sql())
+@query("SELECT path, round(r, 6) AS rank FROM pr", _pagerank_sql())
 def pagerank_files(a):
     return _ranks(a).select("path", F.round("rank", 6).alias("rank"))
 
 
-@query("SELECT d.path, round(density + CAST(0.5 AS DOUBLE) * r, 6) AS score, d.n_symbols, least(18, d.n_symbols) AS n_listed FROM dens d JOIN p25 USING (path) ORDER BY score DESC, d.path LIMIT 24", _pagerank_sql())
+@query("SELECT d.path, round(density + CAST(0.5 AS DOUBLE) * r, 6) AS score, d.n_symbols, least(18, d.n_symbols) AS n_listed FROM dens d JOIN pr USING (path) ORDER BY score DESC, d.path LIMIT 24", _pagerank_sql())
 def repo_map(a):
     top = graph.repo_map(_symbols(a), _ranks(a), search.density(_symbols(a)))
     return top.select("path", F.round("score", 6).alias("score"), "n_symbols", F.size("symbols").cast("long").alias("n_listed"))
 
 
 # -- change impact -----------------------------------------------------------------------------------------------------
-_LEVELS = f""", ch AS (SELECT id FROM symbols WHERE {_SEED}), e1 AS (SELECT source_id AS s, target_id AS t, max(strength) AS w FROM edges WHERE source_id IS NOT NULL GROUP BY 1, 2),
-d1 AS (SELECT s AS id, max(w) AS w FROM e1 WHERE t IN (SELECT id FROM ch) AND s NOT IN (SELECT id FROM ch) GROUP BY s),
-d2 AS (SELECT s AS id, max(least(e1.w, d1.w)) AS w FROM e1 JOIN d1 ON t = d1.id WHERE s NOT IN (SELECT id FROM ch UNION SELECT id FROM d1) GROUP BY s),
-d3 AS (SELECT s AS id, max(least(e1.w, d2.w)) AS w FROM e1 JOIN d2 ON t = d2.id WHERE s NOT IN (SELECT id FROM ch UNION SELECT id FROM d1 UNION SELECT id FROM d2) GROUP BY s),
-lv AS (SELECT id, 1 AS depth, w FROM d1 UNION ALL SELECT id, 2, w FROM d2 UNION ALL SELECT id, 3, w FROM d3)"""
+# Every hunk that touches declarations is a change of its own; all of them are followed together.
+_LEVELS = """, ch AS MATERIALIZED (SELECT DISTINCT h.hid AS c, s.id FROM hunks h JOIN symbols s ON h.file = s.file AND s.line <= h.stop AND s.end_line >= h.start),
+e1 AS MATERIALIZED (SELECT source_id AS s, target_id AS t, max(strength) AS w FROM edges WHERE source_id IS NOT NULL GROUP BY 1, 2),
+d1 AS MATERIALIZED (SELECT c, s AS id, max(w) AS w FROM e1 JOIN ch ON t = ch.id WHERE (c, s) NOT IN (SELECT c, id FROM ch) GROUP BY c, s),
+n1 AS (SELECT c, id FROM ch UNION ALL SELECT c, id FROM d1),
+d2 AS MATERIALIZED (SELECT c, s AS id, max(least(e1.w, d1.w)) AS w FROM e1 JOIN d1 ON t = d1.id WHERE (c, s) NOT IN (SELECT c, id FROM n1) GROUP BY c, s),
+n2 AS (SELECT c, id FROM n1 UNION ALL SELECT c, id FROM d2),
+d3 AS MATERIALIZED (SELECT c, s AS id, max(least(e1.w, d2.w)) AS w FROM e1 JOIN d2 ON t = d2.id WHERE (c, s) NOT IN (SELECT c, id FROM n2) GROUP BY c, s),
+lv AS MATERIALIZED (SELECT c, id, 1 AS depth, w FROM d1 UNION ALL SELECT c, id, 2, w FROM d2 UNION ALL SELECT c, id, 3, w FROM d3)"""
+
+
+def _ranges(a: Adapter) -> DataFrame:
+    return a.hunks.select(F.col("hid").alias("diff_id"), "file", "start", "stop")
+
+
+def _reach(a: Adapter) -> DataFrame:
+    changed = batch.changed_symbols(_ranges(a), _symbols(a))
+    return graph.impact(_edges(a), changed.select("diff_id", "id", "ord"), by=("diff_id",))
 
 
 def _changed(a: Adapter) -> DataFrame:
@@ -290,15 +312,43 @@ def _changed(a: Adapter) -> DataFrame:
     return _symbols(a).join(touched, "pid", "left_semi").select("id", "file", F.col("pid").alias("ord"))
 
 
-@query("SELECT id, CAST(depth AS INT) AS depth, CAST(w AS INT) AS strength FROM lv", _EDGES_SQL + _LEVELS)
+@query("SELECT c AS hid, CAST(depth AS INT) AS depth, CAST(w AS INT) AS strength, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM lv GROUP BY ALL", _EDGES_SQL + _LEVELS)
 def impact_labels(a):
-    return graph.impact(_edges(a), _changed(a)).select("id", "depth", "strength")
+    return _reach(a).groupBy(F.col("diff_id").alias("hid"), "depth", "strength").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
-@query("SELECT s.file, CAST(min(depth) AS INT) AS depth FROM lv JOIN symbols s USING (id) WHERE depth >= 2 GROUP BY s.file", _EDGES_SQL + _LEVELS)
+@query("SELECT hid, CAST(depth AS INT) AS depth, count(*) AS n_files FROM (SELECT c AS hid, s.file, min(depth) AS depth FROM lv JOIN symbols s USING (id) WHERE depth >= 2 GROUP BY c, s.file) GROUP BY ALL", _EDGES_SQL + _LEVELS)
 def impact_files(a):
-    rows = graph.impact(_edges(a), _changed(a)).where("depth >= 2")
-    return rows.join(_symbols(a).select("id", "file"), "id").groupBy("file").agg(F.min("depth").alias("depth"))
+    rows = _reach(a).where("depth >= 2").join(_symbols(a).select("id", "file"), "id").groupBy("diff_id", "file").agg(F.min("depth").alias("depth"))
+    return rows.groupBy(F.col("diff_id").alias("hid"), "depth").agg(F.count("*").alias("n_files"))
+
+
+_TOP = 40
+_TABLES = f""", rows AS (SELECT lv.c AS diff_id, s.name, s.file, s.line, s.id, lv.depth, lv.w FROM lv JOIN symbols s USING (id)),
+callers AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY diff_id ORDER BY file, line, id) AS rank, count(*) OVER (PARTITION BY diff_id) AS total FROM (
+  SELECT c AS diff_id, s.name, s.file, s.line, s.id, max(w) AS w FROM e1 JOIN ch ON t = ch.id JOIN symbols s ON s.id = e1.s GROUP BY ALL)) WHERE rank <= {_TOP}),
+impact AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY diff_id ORDER BY depth, w DESC, file, line, id) AS rank, count(*) OVER (PARTITION BY diff_id) AS total FROM rows WHERE depth >= 2) WHERE rank <= {_TOP}),
+dep AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY diff_id ORDER BY file, changed_file) AS rank, count(*) OVER (PARTITION BY diff_id) AS total FROM (SELECT h.hid AS diff_id, i.src AS file, i.dst AS changed_file FROM hunks h JOIN imp i ON i.dst = h.file)) WHERE rank <= {_TOP})"""
+
+
+def _contexts(a: Adapter) -> dict[str, DataFrame]:
+    resolved = imports.resolve(_imports(a), a.files)
+    return batch.contexts(_files(a), _symbols(a), resolved, imports.module_graph(resolved), _calls(a), _edges(a), _ranges(a), max_impact=_TOP)
+
+
+@query(
+    "SELECT diff_id, 'callers' AS kind, CAST(rank AS INT) AS rank, id, CAST(w AS INT) AS strength, total FROM callers UNION ALL SELECT diff_id, 'impact', CAST(rank AS INT), id, CAST(w AS INT), total FROM impact",
+    _EDGES_SQL + _LEVELS + _TABLES,
+)
+def change_contexts(a):
+    tables = _contexts(a)
+    some = lambda n: tables[n].select("diff_id", F.lit(n).alias("kind"), "rank", "id", "strength", "total")
+    return some("callers").unionByName(some("impact"))
+
+
+@query("SELECT diff_id, CAST(rank AS INT) AS rank, file, changed_file, total FROM dep", _EDGES_SQL + _LEVELS + _TABLES)
+def change_dependents(a):
+    return _contexts(a)["dependents"].select("diff_id", "rank", "file", "changed_file", "total")
 
 
 @query(f"SELECT source_id AS id, CAST(max(strength) AS INT) AS strength FROM edges WHERE source_id IS NOT NULL AND target_id IN (SELECT id FROM symbols WHERE {_SEED}) GROUP BY source_id", _EDGES_SQL)

@@ -122,22 +122,77 @@ def review(result: dict, budget: int) -> dict:
     return {"text": text(), "brief": brief, "left_out": {k: len(pools[k]) - len(v) for k, v in brief.items()}}
 
 
-def select_pack(candidates: list[dict], budget: int) -> list[dict]:
+class Covered:
+    """The lines of each file that a pack shows already, as disjoint ranges in order."""
+
+    def __init__(self) -> None:
+        self.of: dict[str, list[tuple[int, int]]] = {}
+
+    def left(self, file: str, start: int, stop: int) -> list[tuple[int, int]]:
+        """The parts of a range that aren't shown yet."""
+        out, at = [], start
+        for a, b in self.of.get(file, []):
+            if b < at:
+                continue
+            if a > stop:
+                break
+            if a > at:
+                out.append((at, a - 1))
+            at = max(at, b + 1)
+        return [*out, (at, stop)] if at <= stop else out
+
+    def add(self, file: str, start: int, stop: int) -> None:
+        merged: list[tuple[int, int]] = []
+        for a, b in sorted([*self.of.get(file, []), (start, stop)]):
+            if merged and a <= merged[-1][1] + 1:
+                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+            else:
+                merged.append((a, b))
+        self.of[file] = merged
+
+
+def _cut_form(form: dict, covered: Covered) -> tuple[str, list[tuple[int, int]]] | None:
+    """An excerpt's text without the lines that are shown already, and its ranges; None if nothing of it is left.
+
+    form: ``head, file, start, lines``. Parts that don't follow each other are told apart by their line numbers.
+    """
+    start = form["start"]
+    parts = covered.left(form["file"], start, start + len(form["lines"]) - 1)
+    if not parts:
+        return None
+    whole = parts == [(start, start + len(form["lines"]) - 1)]
+    out = [form["head"]] if form["head"] else []
+    for a, b in parts:
+        out += ([] if whole else [f"@@ {a}-{b}"]) + form["lines"][a - start : b - start + 1]
+    return "\n".join(out), parts
+
+
+def select_pack(candidates: list[dict], budget: int, max_files: int | None = None) -> list[dict]:
     """Items by priority, stable on ties, as many as fit; an item's shorter forms are tried before it is left out.
 
-    candidates: ``priority, text, forms`` (further texts, shorter and shorter) and ``key``; one item for each key.
+    candidates: ``priority, key, forms``, best first; one item for each key. A form is a text, or an excerpt (``head, file,
+    start, lines``), which is cut by the lines that the pack shows already before its cost is told. An excerpt of which
+    nothing is left gives way to the next form. Items of more than max_files files aren't taken.
     """
     chosen: list[dict] = []
-    used, keys = 0, set()
+    used, keys, covered = 0, set(), Covered()
+    files: set[str] = set()
     for c in sorted(candidates, key=lambda c: -c["priority"]):
-        if c["key"] in keys:
+        file = c.get("file")
+        if c["key"] in keys or (max_files is not None and file is not None and file not in files and len(files) >= max_files):
             continue
-        for form in [c["text"], *c.get("forms", [])]:
-            cost = units(form) + 1
+        for form in [*([c["text"]] if "text" in c else []), *c.get("forms", [])]:
+            text, parts = (form, []) if isinstance(form, str) else _cut_form(form, covered) or (None, [])
+            if text is None:
+                continue
+            cost = units(text) + 1
             if used + cost <= budget:
-                chosen.append({"key": c["key"], "priority": c["priority"], "text": form})
+                chosen.append({"key": c["key"], "priority": c["priority"], "text": text})
                 used += cost
                 keys.add(c["key"])
+                files |= {file} if file is not None else set()
+                for a, b in parts:
+                    covered.add(form["file"], a, b)
                 break
     return chosen
 

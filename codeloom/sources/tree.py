@@ -73,6 +73,32 @@ def snapshot(root: str, excluded: set[str]) -> dict[str, float]:
     return out
 
 
+def read_files(paths, root: str):
+    """``root, path, lang, mtime_ms, code`` of the given paths (a DataFrame with ``path``) only: each is opened once, by the executors.
+
+    A file that has gone gives no row; one that is too large or can't be read has a null code.
+    """
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for rel in b["path"]:
+                full, code = os.path.join(root, rel), None
+                try:
+                    st = os.stat(full)
+                    if st.st_size <= MAX_BYTES:
+                        with open(full, encoding="utf-8", errors="replace") as f:
+                            code = f.read()
+                except OSError:
+                    continue
+                rows.append((root, rel, language_for(rel), st.st_mtime_ns / 1e6, code))
+            yield pd.DataFrame(rows, columns=["root", "path", "lang", "mtime_ms", "code"])
+
+    return paths.select("path").mapInPandas(run, "root string, path string, lang string, mtime_ms double, code string")
+
+
 def _excluded(options: dict) -> set[str]:
     return set(S.EXCLUDED_DIRS) | set(filter(None, options.get("excludeDirs", "").split(",")))
 
