@@ -8,7 +8,7 @@ repositories; a single graph too large for one worker has the distributed forms
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom import schema as S
@@ -92,25 +92,59 @@ def impact(edges: DataFrame, changed: DataFrame, max_depth: int = 3, by: tuple[s
     aren't part of the result. Columns as in ``direct_callers``; depth 1 is included. With by, each change is followed on
     its own, all of them in the same joins.
     """
-    back = edges.where("source_id is not null").select("source_id", "target_id", "call_file", "call_line", F.col("strength").alias("edge"), "seq")
-    seen = changed.select(*by, F.col("id").alias("source_id"))
-    front = changed.select(*by, "id", F.lit(3).alias("strength"), F.array(F.col("ord").cast("long")).alias("ord"))
+    pairs = kept(_pairs(edges))
+    links = pairs.select("source_id", "target_id", *[F.col(f"s{k}").isNotNull().alias(f"h{k}") for k in _STRENGTHS])
     key = [*by, "source_id"]
+    front = changed.select(*by, "id", F.lit(3).alias("strength"), F.col("ord").cast("long").alias("rank"))
+    seen = changed.select(*by, F.col("id").alias("source_id"))
     out = None
     for depth in range(1, max_depth + 1):
-        step = back.join(front, back.target_id == front.id).drop("id").withColumn("now", F.least("strength", "edge"))
-        step = step.join(seen, key, "left_anti").withColumn("at", F.concat("ord", F.array("seq")))
-        # strongest, and among those the first in breadth-first order
-        via = F.struct("target_id", "call_file", "call_line")
-        ranked = step.groupBy(*key, "now").agg(F.min(F.struct("at", via.alias("via"))).alias("first"))
-        best = ranked.groupBy(*key).agg(F.max(F.struct("now", "first.via")).alias("b"), F.min("first.at").alias("ord"))
-        found = kept(best.select(*by, F.col("source_id").alias("id"), F.lit(depth).alias("depth"), F.col("b.now").alias("strength"), "ord", "b.via.target_id", "b.via.call_file", "b.via.call_line"))
+        step = links.join(front, F.col("target_id") == F.col("id")).groupBy(*key).agg(*[_reached(k) for k in _STRENGTHS])
+        step = kept(step.join(seen, key, "left_anti").select(*key, *_best()))
+        via = front.withColumnRenamed("id", "target_id")
+        found = step.join(via, [*by, "rank"]).join(pairs, ["source_id", "target_id"])
+        hop = _first_call(lambda c: F.least(c["edge"], F.col("strength")) == F.col("now")).alias("hop")
+        found = found.select(*key, "now", "before", "target_id", hop)
+        order = []
+        if depth < max_depth:  # what comes first of the paths to a symbol orders it, whatever its strength
+            first = step.select(*key, "before").join(via.withColumnRenamed("rank", "before"), [*by, "before"]).join(pairs, ["source_id", "target_id"])
+            order = [*by, "before", "seq"]
+            found = found.join(first.select(*key, _first_call(lambda c: F.lit(True))["seq"].alias("seq")), key).repartitionByRange(*order).sortWithinPartitions(*order)
+        rank = F.monotonically_increasing_id() if order else F.lit(None).cast("long")
+        found = kept(found.select(*by, F.col("source_id").alias("id"), F.lit(depth).alias("depth"), F.col("now").alias("strength"), rank.alias("rank"), F.col("target_id").alias("via_target"), F.col("hop.call_file").alias("via_file"), F.col("hop.call_line").alias("via_line")))
         out = found if out is None else out.unionByName(found)
         seen = seen.unionByName(found.select(*by, F.col("id").alias("source_id")))
-        front = found.select(*by, "id", "strength", "ord")
+        front = found.select(*by, "id", "strength", "rank")
         if found.isEmpty():
             break
-    return out.select(*by, "id", "depth", "strength", F.col("target_id").alias("via_target"), F.col("call_file").alias("via_file"), F.col("call_line").alias("via_line"))
+    return out.drop("rank")
+
+
+_STRENGTHS = (1, 2, 3)
+
+
+def _pairs(edges: DataFrame) -> DataFrame:
+    """``source_id, target_id``, and the first call of each strength between the two, as s1, s2 and s3."""
+    call = F.struct("seq", "call_file", "call_line", F.col("strength").alias("edge"))
+    return edges.where("source_id is not null").groupBy("source_id", "target_id").agg(*[F.min(F.when(F.col("strength") == k, call)).alias(f"s{k}") for k in _STRENGTHS])
+
+
+def _first_call(usable) -> Column:
+    """The first call of a pair that is usable."""
+    return F.array_min(F.filter(F.array(*[F.col(f"s{k}") for k in _STRENGTHS]), lambda c: c.isNotNull() & usable(c)))
+
+
+def _reached(k: int) -> Column:
+    """The least rank of the symbols through which a path of strength k comes."""
+    weaker = (F.col("strength") > k) & F.col(f"h{k}")
+    same = (F.col("strength") == k) & F.array_contains(F.array(*[F.col(f"h{j}") for j in _STRENGTHS if j >= k]), True)
+    return F.min(F.when(weaker | same, F.col("rank"))).alias(f"r{k}")
+
+
+def _best() -> list[Column]:
+    """The strongest path's strength and rank, and the least rank of any."""
+    ranks = [F.col(f"r{k}") for k in reversed(_STRENGTHS)]
+    return [F.coalesce(*[F.when(F.col(f"r{k}").isNotNull(), F.lit(k)) for k in reversed(_STRENGTHS)]).alias("now"), F.coalesce(*ranks).alias("rank"), F.least(*ranks).alias("before")]
 
 
 def focus_ancestors(rows: DataFrame, symbols: DataFrame, focus_files: list[str], max_depth: int = 6) -> DataFrame:
@@ -139,34 +173,24 @@ def entry_paths(edges: DataFrame, changed: DataFrame, entries: DataFrame, max_de
     those the first by the calls' order. A step joins pairs of caller and callee, not single calls, and aggregates numbers
     only; the hop of a symbol that was reached is looked up afterwards. The last step only looks for entries.
     """
-    levels = (1, 2, 3)
-    call = F.struct("seq", "call_file", "call_line", F.col("strength").alias("edge"))
-    pairs = kept(edges.where("source_id is not null").groupBy("source_id", "target_id").agg(*[F.min(F.when(F.col("strength") == k, call)).alias(f"s{k}") for k in levels]))
-    links = pairs.select("source_id", "target_id", *[F.col(f"s{k}").isNotNull().alias(f"h{k}") for k in levels])
-    first_call = lambda usable: F.array_min(F.filter(F.array(*[F.col(f"s{k}") for k in levels]), lambda c: c.isNotNull() & usable(c)))
-
-    def reached(k: int):
-        """The least rank of the symbols through which a path of strength k comes."""
-        weaker = (F.col("strength") > k) & F.col(f"h{k}")
-        same = (F.col("strength") == k) & F.array_contains(F.array(*[F.col(f"h{j}") for j in levels if j >= k]), True)
-        return F.min(F.when(weaker | same, F.col("rank"))).alias(f"r{k}")
-
+    pairs = kept(_pairs(edges))
+    links = pairs.select("source_id", "target_id", *[F.col(f"s{k}").isNotNull().alias(f"h{k}") for k in _STRENGTHS])
     hops = F.array().cast("array<struct<from_id:string,to_id:string,file:string,line:int,strength:int>>")
     front = changed.select(F.col("id").alias("changed_id"), "id", F.lit(3).alias("strength"), F.lit(1).alias("rank"), hops.alias("hops")).distinct()
     seen, out = front.select("changed_id", "id"), None
     for depth in range(1, max_depth + 1):
         near = links if depth < max_depth else links.join(entries.select(F.col("id").alias("source_id")), "source_id", "left_semi")
-        step = near.join(front.select("changed_id", "id", "strength", "rank"), F.col("target_id") == F.col("id")).groupBy("changed_id", "source_id").agg(*[reached(k) for k in levels])
+        step = near.join(front.select("changed_id", "id", "strength", "rank"), F.col("target_id") == F.col("id")).groupBy("changed_id", "source_id").agg(*[_reached(k) for k in _STRENGTHS])
         step = step.join(seen.withColumnRenamed("id", "source_id"), ["changed_id", "source_id"], "left_anti")
-        step = step.select("changed_id", "source_id", F.coalesce(*[F.when(F.col(f"r{k}").isNotNull(), F.lit(k)) for k in reversed(levels)]).alias("now"), F.coalesce(*[F.col(f"r{k}") for k in reversed(levels)]).alias("rank"), F.least(*[f"r{k}" for k in levels]).alias("before"))
+        step = step.select("changed_id", "source_id", *_best())
         via = front.withColumnRenamed("id", "target_id")
-        hop = first_call(lambda c: F.least(c["edge"], F.col("strength")) == F.col("now"))
+        hop = _first_call(lambda c: F.least(c["edge"], F.col("strength")) == F.col("now"))
         found = step.join(via, ["changed_id", "rank"]).join(pairs, ["source_id", "target_id"]).withColumn("hop", hop)
         one = F.struct(F.col("source_id").alias("from_id"), F.col("target_id").alias("to_id"), F.col("hop.call_file").alias("file"), F.col("hop.call_line").alias("line"), F.col("hop.edge").alias("strength"))
         found = found.select("changed_id", F.col("source_id").alias("id"), F.col("now").alias("strength"), "before", F.concat(F.array(one), "hops").alias("hops"))
         if depth < max_depth:  # what comes first of the paths to a symbol orders it, whatever its strength
             order = found.select("changed_id", F.col("id").alias("source_id"), "before").join(via.select("changed_id", "target_id", F.col("rank").alias("before")), ["changed_id", "before"]).join(pairs, ["source_id", "target_id"])
-            order = order.select("changed_id", F.col("source_id").alias("id"), first_call(lambda c: F.lit(True))["seq"].alias("seq"))
+            order = order.select("changed_id", F.col("source_id").alias("id"), _first_call(lambda c: F.lit(True))["seq"].alias("seq"))
             found = found.join(order, ["changed_id", "id"]).withColumn("rank", F.row_number().over(Window.partitionBy("changed_id").orderBy("before", "seq"))).drop("seq")
         found = kept(found.drop("before"))
         hit = found.join(entries, "id", "left_semi").select("changed_id", F.col("id").alias("entry_id"), F.lit(depth).alias("depth"), F.array_min(F.transform("hops", lambda h: h["strength"])).alias("strength"), "hops")
