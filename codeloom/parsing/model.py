@@ -84,10 +84,13 @@ def identify(file: str, symbols: list[Symbol], lang: str = "") -> None:
         around.append(stack[-1] if stack else None)
         stack.append(s)
     declared: dict[tuple, list[tuple[str, int]]] = {}
-    for s, outer in zip(symbols, around, strict=True):  # owners may be declared behind what names them
-        if outer is None and not s.owner:
-            same = declared.setdefault(("[]", s.name), [])
-            same.append((scope_kind(lang, s.kind), 1 + sum(k == scope_kind(lang, s.kind) for k, _ in same)))
+    early: dict[int, list[dict]] = {}  # scopes within declarations that name no owner: what names one may stand before it
+    for s, outer in zip(symbols, around, strict=True):
+        if not s.owner and (outer is None or id(outer) in early):
+            scope, kind = early[id(outer)] if outer else [], scope_kind(lang, s.kind)
+            same = declared.setdefault((repr(scope), s.name), [])
+            same.append((kind, 1 + sum(k == kind for k, _ in same)))
+            early[id(s)] = [*scope, {"kind": kind, "name": s.name, "ordinal": same[-1][1]}]
     seen: dict[tuple, int] = {}
     for s, outer in zip(symbols, around, strict=True):
         scope = [*outer.scope, {"kind": outer.scope_kind, "name": outer.name, "ordinal": outer.ordinal}] if outer else []
@@ -98,7 +101,7 @@ def identify(file: str, symbols: list[Symbol], lang: str = "") -> None:
         s.scope, s.scope_kind = scope, scope_kind(lang, s.kind)
         key = (repr(scope), s.scope_kind, s.name)
         s.ordinal = seen[key] = seen.get(key, 0) + 1
-        if scope:
+        if id(s) not in early:
             declared.setdefault((repr(scope), s.name), []).append((s.scope_kind, s.ordinal))
         s.id = f"sym:v1:{encode(file)}#" + "/".join(f"{p['kind']}:{encode(p['name'])}@{p['ordinal']}" for p in [*scope, {"kind": s.scope_kind, "name": s.name, "ordinal": s.ordinal}])
 

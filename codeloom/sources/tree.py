@@ -6,7 +6,11 @@ top folders are the partitions, so large trees are walked in parallel; file cont
 
 from __future__ import annotations
 
+import json
 import os
+import shutil
+import uuid
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -16,6 +20,8 @@ from codeloom.parsing.extract import language_for
 from codeloom.sources import ignore
 
 MAX_BYTES = 1_000_000
+#: Parts that a snapshot of a tree is compared in.
+BUCKETS = 8
 
 
 class Walk(InputPartition):
@@ -125,40 +131,95 @@ class TreeReader(DataSourceReader):
             yield (self.root, rel, language_for(rel), st.st_mtime_ns / 1e6, code)
 
 
+class Snapshots:
+    """Numbered states of a tree: in memory, or in a folder that driver and executors share, where they outlive the query.
+
+    A state in a folder is one file for each bucket of top folders, so that it is compared in parts.
+    """
+
+    def __init__(self, folder: str | None):
+        self.folder, self.states = folder, {0: {}}
+
+    @staticmethod
+    def bucket(path: str) -> int:
+        return zlib.crc32(path.split("/", 1)[0].encode("utf-8", "surrogatepass")) % BUCKETS
+
+    def last(self) -> int:
+        if self.folder is None:
+            return max(self.states)
+        return max((int(n) for n in os.listdir(self.folder) if n.isdigit()), default=0) if os.path.isdir(self.folder) else 0
+
+    def part(self, n: int, bucket: int) -> dict[str, float]:
+        if self.folder is None:
+            return {p: ms for p, ms in self.states.get(n, {}).items() if self.bucket(p) == bucket}
+        if n == 0:
+            return {}
+        with open(os.path.join(self.folder, str(n), f"{bucket}.json"), encoding="utf-8", errors="surrogatepass") as f:
+            return json.load(f)
+
+    def whole(self, n: int) -> dict[str, float]:
+        return {p: ms for k in range(BUCKETS) for p, ms in self.part(n, k).items()}
+
+    def add(self, n: int, state: dict[str, float]) -> None:
+        if self.folder is None:
+            self.states[n] = state
+            return
+        draft = os.path.join(self.folder, f"_{n}_{uuid.uuid4().hex}")
+        os.makedirs(draft)
+        for k in range(BUCKETS):
+            with open(os.path.join(draft, f"{k}.json"), "w", encoding="utf-8", errors="surrogatepass") as f:
+                json.dump({p: ms for p, ms in sorted(state.items()) if self.bucket(p) == k}, f)
+        os.rename(draft, os.path.join(self.folder, str(n)))  # whole or not at all
+
+    def drop_before(self, n: int) -> None:
+        if self.folder is None:
+            for k in [k for k in self.states if k < n]:
+                del self.states[k]
+        elif os.path.isdir(self.folder):
+            for k in os.listdir(self.folder):
+                if k.isdigit() and int(k) < n:
+                    shutil.rmtree(os.path.join(self.folder, k), ignore_errors=True)
+
+
 class TreeStream(DataSourceStreamReader):
-    """Changes of a tree as events, found by comparing snapshots; a lost event is repaired by the next one."""
+    """Changes of a tree as events, found by comparing snapshots; a lost event is repaired by the next one.
+
+    With the option ``stateDir`` (a path that driver and executors share, one for each query) snapshots are kept there, so a
+    query that is stopped and started again gives exactly what has changed in between.
+    """
 
     def __init__(self, options: dict):
         self.root, self.excluded = options["root"], _excluded(options)
-        self.states: dict[int, dict[str, float]] = {0: {}}
+        self.states = Snapshots(options.get("stateDir"))
 
     def initialOffset(self):
         return {"n": 0}
 
     def latestOffset(self):
-        n, now = max(self.states), snapshot(self.root, self.excluded)
-        if now != self.states[n]:
+        n, now = self.states.last(), snapshot(self.root, self.excluded)
+        if now != self.states.whole(n):
             n += 1
-            self.states[n] = now
+            self.states.add(n, now)
         return {"n": n}
 
     def partitions(self, start, end):
-        old, new = self.states.get(start["n"], {}), self.states.get(end["n"], {})
-        rows = [(p, "unlink" if p not in new else "add" if p not in old else "change", new.get(p)) for p in sorted(old.keys() | new.keys()) if old.get(p) != new.get(p)]
-        return [Events(rows)]
+        a, b = start["n"], end["n"]
+        sent = self.states.folder is None  # what only the driver's memory holds goes with the partition
+        return [Events(k, a, b, (self.states.part(a, k), self.states.part(b, k)) if sent else None) for k in range(BUCKETS)]
 
     def read(self, part):
-        for path, op, ms in part.rows:
-            yield (self.root, path, op, ms)
+        old, new = part.sides or (self.states.part(part.start, part.bucket), self.states.part(part.end, part.bucket))
+        for path in sorted(old.keys() | new.keys()):
+            if old.get(path) != new.get(path):
+                yield (self.root, path, "unlink" if path not in new else "add" if path not in old else "change", new.get(path))
 
     def commit(self, end):
-        for n in [n for n in self.states if n < end["n"]]:
-            del self.states[n]
+        self.states.drop_before(end["n"])
 
 
 class Events(InputPartition):
-    def __init__(self, rows: list):
-        self.rows = rows
+    def __init__(self, bucket: int, start: int, end: int, sides: tuple[dict, dict] | None):
+        self.bucket, self.start, self.end, self.sides = bucket, start, end, sides
 
 
 class SourceTree(DataSource):

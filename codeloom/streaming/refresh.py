@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.plans.api import CodeIndex
@@ -15,7 +17,10 @@ def follow(spark: SparkSession, root: str, base: str, checkpoint: str, *, interv
     from codeloom.sources import tree
 
     tree.register(spark)
-    events = spark.readStream.format("source_tree_events").option("root", root).load()
+    stream = spark.readStream.format("source_tree_events").option("root", root)
+    if place := re.match(r"(?:file:(?://)?)?(/.*)", checkpoint):  # snapshots outlive the query where a path can be opened
+        stream = stream.option("stateDir", f"{place[1]}/tree_states")
+    events = stream.load()
 
     def apply(batch: DataFrame, _: int) -> None:
         paths = [r.path for r in batch.select("path").dropDuplicates(["path"]).collect()]  # of one micro-batch
