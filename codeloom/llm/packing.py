@@ -87,14 +87,15 @@ def pack(docs: DataFrame, rank_file: str, pattern: str, *, length: int = ROW_TOK
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
     dealt = rows.select("doc_id", *row_key(), "text").repartition(blocks, "k1", "k2").sortWithinPartitions("k1", "k2").select("doc_id", "text")
-    out_type = pa.from_numpy_dtype(np.int64) if kind == "bigint" else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         bpe, block = loaded(rank_file, pattern), TaskContext.get().partitionId()
         parts, owner, piece = [], [], []
+        id_kind = pa.int64()
         for batch in batches:
+            id_kind = batch.schema.field("doc_id").type
             for some in sliced(batch):
                 for doc, text in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), strict=True):
                     ids = np.array(bpe.encode_ordinary(text), dtype=np.int32)
@@ -113,7 +114,7 @@ def pack(docs: DataFrame, rank_file: str, pattern: str, *, length: int = ROW_TOK
                     positions[a:b] = np.arange(b - a)
                 for c, v in zip(cols, (block << 32 | k, [owner[i] for i in row], [piece[i] for i in row], int(ends[-1]), ends.tolist(), ids.tobytes(), positions.tobytes()), strict=True):
                     c.append(v)
-            kinds = [pa.int64(), pa.list_(out_type) if out_type else None, pa.list_(pa.int32()), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+            kinds = [pa.int64(), pa.list_(id_kind), pa.list_(pa.int32()), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary()]
             yield pa.record_batch([pa.array(c, type=t) for c, t in zip(cols, kinds, strict=True)], names=["pack_id", "doc_ids", "pieces", "n_tokens", "cu_seqlens", "input_ids", "position_ids"])
 
     return dealt.mapInArrow(run, f"pack_id long, doc_ids array<{kind}>, pieces array<int>, n_tokens long, cu_seqlens array<int>, input_ids binary, position_ids binary")
