@@ -42,11 +42,11 @@ def test_a_step_joins_pairs_and_not_calls(spark):
     many = [("a", "b", "f", i, 1, i) for i in range(500)] + [("b", "c", "f", i, 2, 1000 + i) for i in range(500)]
     frame = spark.createDataFrame(many, "source_id string, target_id string, call_file string, call_line int, strength int, seq long")
     one = lambda n: spark.createDataFrame([(n,)], "id string")
-    rows, real = [], graph.cut
+    rows, real = [], graph.kept
     try:
-        graph.cut = lambda df: rows.append(real(df)) or rows[-1]
+        graph.kept = lambda df: rows.append(real(df)) or rows[-1]
         got = graph.entry_paths(frame, one("c"), one("a")).collect()
     finally:
-        graph.cut = real
+        graph.kept = real
     assert [(r.depth, r.strength, [h.line for h in r.hops]) for r in got] == [(2, 1, [0, 0])]
     assert rows[0].count() == 2
