@@ -11,7 +11,7 @@ from codeloom import schema as S
 from codeloom.functions import scalars as X
 
 
-def blocks(runs: DataFrame, arms: list[str] = S.ARMS) -> DataFrame:
+def blocks(runs: DataFrame, arms: list[str]) -> DataFrame:
     """``block_id, state, missing``: matched (all arms, none excluded), excluded or incomplete. runs: ``block_id, arm_id, excluded``."""
     wanted = F.array(*[F.lit(a) for a in sorted(arms)])
     by = runs.where(F.col("arm_id").isin(arms)).groupBy("block_id").agg(F.array_sort(F.collect_set("arm_id")).alias("present"), F.bool_or(F.coalesce("excluded", F.lit(False))).alias("bad"))
@@ -30,7 +30,7 @@ def arm_stats(runs: DataFrame) -> DataFrame:
     )
 
 
-def pairs(runs: DataFrame, arms: list[str] = S.ARMS) -> DataFrame:
+def pairs(runs: DataFrame, arms: list[str]) -> DataFrame:
     """``block_id, treatment, baseline, token_diff, success_diff`` for all pairs of arms in matched blocks."""
     matched = blocks(runs, arms).where("state = 'matched'").select("block_id")
     kept = runs.join(matched, "block_id", "left_semi")

@@ -65,5 +65,4 @@ TASK_CHANGE = r"(fix|bug|broken|breaks?|change|changed|current|working\s+tree|re
 TASK_TEST = r"(test|tests|spec|specs|failing|assert|coverage)"
 TASK_ARCHITECTURE = r"(architecture|architectural|flow|loading|authentication|authorization|plugin|startup|overview|pipeline|lifecycle|design|works?)"
 TASK_EXPLORE = r"(where|implement|add|feature|introduce|entry\s+point|similar|explore|understand|locate)"
-ARMS = ["stock", "v0.5", "v0.6", "v0.7"]
 CLAIM_DECIDE, CLAIM_PUBLISH = 30, 60

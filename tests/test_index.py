@@ -231,9 +231,10 @@ def test_fit_lines_never_exceeds(rows, most):
 
 
 def test_stats(spark):
-    runs = spark.createDataFrame([(b, a, a == "v0.7", 10 * i, 5, False) for b in ("x", "y") for i, a in enumerate(["stock", "v0.5", "v0.6", "v0.7"])] + [("z", "stock", True, None, 5, False)], "block_id string, arm_id string, success boolean, tokens long, wall_ms long, excluded boolean")
-    assert {(r.block_id, r.state) for r in stats.blocks(runs).collect()} == {("x", "matched"), ("y", "matched"), ("z", "incomplete")}
-    assert stats.pairs(runs).count() == 12 and {r.claim for r in stats.claims(stats.pairs(runs)).collect()} == {"none"}
+    arms = ["none", "old", "new", "next"]
+    runs = spark.createDataFrame([(b, a, a == "next", 10 * i, 5, False) for b in ("x", "y") for i, a in enumerate(arms)] + [("z", "none", True, None, 5, False)], "block_id string, arm_id string, success boolean, tokens long, wall_ms long, excluded boolean")
+    assert {(r.block_id, r.state) for r in stats.blocks(runs, arms).collect()} == {("x", "matched"), ("y", "matched"), ("z", "incomplete")}
+    assert stats.pairs(runs, arms).count() == 12 and {r.claim for r in stats.claims(stats.pairs(runs, arms)).collect()} == {"none"}
 
 
 def test_registry(spark, tmp_path):
