@@ -413,6 +413,25 @@ def affected_tests(a):
     return got.select("file", "rank", "reason", F.coalesce("distance", F.lit(-1)).alias("distance"))
 
 
+_STEM = "regexp_replace(regexp_extract({}, '[^/]+$'), '[.].*$', '')"
+
+
+@query(
+    """SELECT diff_id, file, CAST(r AS INT) AS strength_rank, reason, CAST(d AS INT) AS distance, CAST(rank AS INT) AS rank, total FROM (
+      SELECT *, row_number() OVER (PARTITION BY diff_id ORDER BY r, nullif(d, -1) NULLS LAST, file) AS rank, count(*) OVER (PARTITION BY diff_id) AS total FROM best) WHERE rank <= 20""",
+    _EDGES_SQL + _LEVELS + f""", tst AS MATERIALIZED (SELECT path FROM files WHERE regexp_matches(path, '{_RE2_TEST}')), hp AS MATERIALIZED (SELECT DISTINCT hid AS diff_id, file AS path FROM hunks),
+near AS MATERIALIZED (SELECT lv.c AS diff_id, s.file, min(depth) AS depth FROM lv JOIN symbols s USING (id) WHERE depth >= 2 GROUP BY ALL),
+why AS (SELECT hp.diff_id, tst.path AS file, 0 AS r, 'changed-test' AS reason, 0 AS d FROM tst JOIN hp USING (path)
+  UNION ALL SELECT hp.diff_id, tst.path, 1, 'imports-changed-file', 1 FROM tst JOIN imp i ON i.src = tst.path JOIN hp ON hp.path = i.dst
+  UNION ALL SELECT n.diff_id, tst.path, 2, 'imports-impact-file', min(n.depth) FROM tst JOIN imp i ON i.src = tst.path JOIN near n ON n.file = i.dst GROUP BY n.diff_id, tst.path
+  UNION ALL SELECT DISTINCT ch.c, tst.path, 3, 'references-symbol-name', 1 FROM tst JOIN (SELECT DISTINCT file, name FROM calls) k ON k.file = tst.path JOIN symbols s ON s.name = k.name JOIN ch ON ch.id = s.id
+  UNION ALL SELECT hp.diff_id, tst.path, 4, 'path-convention', NULL FROM tst JOIN hp ON {_STEM.format("tst.path")} = {_STEM.format("hp.path")}),
+best AS (SELECT diff_id, file, min(r) AS r, arg_min(reason, r) AS reason, arg_min(coalesce(d, -1), r) AS d FROM why GROUP BY diff_id, file)""",
+)
+def change_tests(a):
+    return _contexts(a)["tests"].select("diff_id", "file", "strength_rank", "reason", F.coalesce("distance", F.lit(-1)).alias("distance"), "rank", "total")
+
+
 @query("SELECT a.path AS old_path, b.path AS new_path FROM (SELECT path, lang AS h, row_number() OVER (PARTITION BY lang ORDER BY path) AS k FROM files WHERE fid % 3 = 0) a JOIN (SELECT path, lang AS h, row_number() OVER (PARTITION BY lang ORDER BY path) AS k FROM files WHERE fid % 3 = 1) b USING (h, k)")
 def rename_pairs(a):
     side = lambda k: a.files.where(f"fid % 3 = {k}").select("path", F.col("lang").alias("content"))
