@@ -1,9 +1,12 @@
 """What is sent to the driver, shuffled or written doesn't depend on a table looking small on disk."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from codeloom.checkpoints import kept
 from codeloom.operators import diff
+from codeloom.plans import languages
 
 
 def plan(df):
@@ -17,3 +20,19 @@ def test_overlaps_send_no_side_to_the_driver(spark):
     touched = diff.overlaps(h, d)
     assert "Broadcast" not in plan(touched)
     assert touched.count() == 5000 and touched.where("h <> d").isEmpty()
+
+
+def test_sources_of_a_small_file_are_parsed_in_many_tasks(spark, tmp_path):
+    spark.range(5000).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = languages.extracted(spark.read.parquet(f"{tmp_path}/part.parquet"), "go")
+    assert got.select(F.spark_partition_id()).distinct().count() == 3
+    assert got.select("path").distinct().count() == 5000
+
+
+def test_calls_are_dealt_out_by_name_and_not_one_by_one(spark):
+    from codeloom.plans import queries
+    from codeloom.plans.adapters import Adapter
+
+    edges = queries._edges(Adapter(spark, "/root/testdata/sf0.001"))
+    assert not re.search(r"hashpartitioning\([^)]*\bseq#", plan(edges))
+    assert edges.count() == edges.select("seq").distinct().count() > 0
