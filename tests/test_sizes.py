@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from codeloom.checkpoints import kept
-from codeloom.operators import diff
+from codeloom.operators import diff, graph, references
 from codeloom.plans import languages
 
 
@@ -36,3 +36,34 @@ def test_calls_are_dealt_out_by_name_and_not_one_by_one(spark):
     edges = queries._edges(Adapter(spark, "/root/testdata/sf0.001"))
     assert not re.search(r"hashpartitioning\([^)]*\bseq#", plan(edges))
     assert edges.count() == edges.select("seq").distinct().count() > 0
+
+
+def test_degrees_and_cycles_are_those_of_all_line_items(spark):
+    from codeloom.plans import queries
+    from codeloom.plans.adapters import Adapter
+
+    sf = "/root/testdata/sf0.001"
+    n = Adapter(spark, sf).table("supplier").count()
+    rows = Adapter(spark, sf).table("lineitem").select("l_suppkey", "l_linenumber").distinct().collect()
+    links = {(r.l_suppkey, (r.l_suppkey + 7 * r.l_linenumber) % n) for r in rows}
+    links = {(a, b) for a, b in links if a != b}
+    got = queries.QUERIES["degree_table"](spark, sf).collect()
+    assert sum(r.n_out for r in got) == sum(r.n_in for r in got) == len(links)
+    assert sum(len(r.members.split(",")) for r in queries.QUERIES["import_cycles"](spark, sf).collect()) == n  # 7 k modulo 10: one ring
+
+
+def test_neighbours_are_dealt_out_once(spark):
+    edges = spark.createDataFrame([("a", "b", "exact", 1, 2), ("a", "b", "name-only", 2, 1), (None, "b", "exact", 3, 3)], "source_id string, target_id string, resolution string, call_line int, seq long")
+    got = references.neighbours(edges)
+    assert plan(got).count("Exchange") == 1
+    assert {tuple(r) for r in got.collect()} == {("a", "calls", "b", "name-only", 2), ("b", "called-by", "a", "name-only", 2)}
+
+
+def test_impact_pairs_up_only_what_leads_to_the_change(spark, monkeypatch):
+    rows = [("b", "a", "f", 1, 3, 1), ("c", "b", "f", 2, 2, 2)] + [(f"x{k}", f"y{k}", "f", k, 1, 10 + k) for k in range(50)]
+    edges = spark.createDataFrame(rows, "source_id string, target_id string, call_file string, call_line int, strength int, seq long")
+    paired = []
+    monkeypatch.setattr(graph, "_pairs", lambda e, real=graph._pairs: paired.append(e.count()) or real(e))
+    got = graph.impact(edges, spark.createDataFrame([("a", 1)], "id string, ord long")).collect()
+    assert [(r.id, r.depth, r.strength) for r in sorted(got)] == [("b", 1, 3), ("c", 2, 2)]
+    assert max(paired) == 1
