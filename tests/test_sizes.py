@@ -67,3 +67,49 @@ def test_impact_pairs_up_only_what_leads_to_the_change(spark, monkeypatch):
     got = graph.impact(edges, spark.createDataFrame([("a", 1)], "id string, ord long")).collect()
     assert [(r.id, r.depth, r.strength) for r in sorted(got)] == [("b", 1, 3), ("c", 2, 2)]
     assert max(paired) == 1
+
+
+def test_counts_of_edges_are_those_of_settled_calls(spark):
+    from codeloom.plans import queries
+    from codeloom.plans.adapters import Adapter
+
+    a = Adapter(spark, "/root/testdata/sf0.001")
+    edges, calls = kept(queries._edges(a)), queries._settled(a)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(references.settled_incoming_counts(calls)) == rows(references.incoming_counts(edges).where("id is not null"))
+    assert rows(references.settled_label_counts(calls)) == rows(references.label_counts(edges))
+    left = references.unresolved(queries._calls(a), edges.where("resolution <> 'name-only'")).select("file", "name", "line", "from_id")
+    assert rows(references.settled_unresolved(calls)) == rows(left) and not left.isEmpty()
+    # Counting labels carries no candidates, and what is unresolved isn't told by exploding edges.
+    assert "Generate explode(top" not in plan(references.settled_label_counts(calls)) + plan(references.settled_unresolved(calls))
+    assert "world_top" not in plan(references.settled_label_counts(calls))
+
+
+def test_unresolved_sites_keep_a_row_for_each_call(spark):
+    rows = [("f", "g", 1, "a", "exact"), ("f", "g", 1, "a", None), ("f", "h", 1, "a", "name-only"), ("f", "h", 1, "a", None), ("f", "k", 2, None, None)]
+    got = references.settled_unresolved(spark.createDataFrame(rows, "file string, name string, call_line int, from_id string, resolution string"))
+    assert [tuple(r) for r in got.collect()] == [("f", "h", 1, "a")] * 2
+
+
+def test_modules_aren_t_paired_with_all_calls_of_their_importers(spark):
+    from codeloom.plans import queries
+    from codeloom.plans.adapters import Adapter
+
+    text = plan(queries._settled(Adapter(spark, "/root/testdata/sf0.001")))
+    assert "module_n" in text and "Join" in text
+    offers = [x for x in text.splitlines() if "Join" in x and re.search(r"\[def_file#\d+\], \[dst#\d+\]|\[dst#\d+\], \[def_file#\d+\]", x)]
+    assert offers, "declarations meet the modules by file alone, without calls"
+
+
+def test_calls_are_dealt_out_by_file_and_by_owner(spark, tmp_path, monkeypatch):
+    from codeloom.plans import adapters
+
+    a = adapters.Adapter(spark, "/root/testdata/sf0.001")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(a._numbered_calls())
+        want, got = a.sql("SELECT * FROM calls"), a.calls
+        assert got.columns == want.columns and got.count() == want.count() and got.exceptAll(want).isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not re.search(r"hashpartitioning\(fid#\d+L?, name#", text)  # not dealt out once more to be made distinct
