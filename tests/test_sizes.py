@@ -113,3 +113,14 @@ def test_calls_are_dealt_out_by_file_and_by_owner(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert not re.search(r"hashpartitioning\(fid#\d+L?, name#", text)  # not dealt out once more to be made distinct
+
+
+def test_rows_of_sources_go_to_arrow_in_small_pieces(spark):
+    from codeloom.parsing import extract
+
+    rows = [(f"p{k}.go", "go", None if k % 7 == 0 else f"func f{k}() {{ g() }}\n") for k in range(2 * extract.BATCH_SOURCES + 1)]
+    got = extract.extract(spark.createDataFrame(rows, "path string, lang string, code string").coalesce(1))
+    assert "MapInArrow" in plan(got)
+    for r in got.collect():
+        k = int(r.path[1:-3])
+        assert (r.diagnostic.status, [s.name for s in r.symbols], [c.name for c in r.calls]) == (("failed", [], []) if k % 7 == 0 else ("parsed", [f"f{k}"], ["g"]))
