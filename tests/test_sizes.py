@@ -1,7 +1,9 @@
 """What is sent to the driver, shuffled or written doesn't depend on a table looking small on disk."""
 
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from codeloom.checkpoints import kept
@@ -124,3 +126,13 @@ def test_rows_of_sources_go_to_arrow_in_small_pieces(spark):
     for r in got.collect():
         k = int(r.path[1:-3])
         assert (r.diagnostic.status, [s.name for s in r.symbols], [c.name for c in r.calls]) == (("failed", [], []) if k % 7 == 0 else ("parsed", [f"f{k}"], ["g"]))
+
+
+@pytest.mark.parametrize("lang", ["javascript"])
+def test_a_long_name_is_read_once(lang):
+    from codeloom.parsing import extract
+
+    begun = time.process_time()
+    got = extract.extract_text("x" * 20_000 + ";\nint a = f();\n", lang, "p")
+    assert [c["name"] for c in got["calls"]] == ["f"]
+    assert time.process_time() - begun < 4
