@@ -128,7 +128,7 @@ def test_rows_of_sources_go_to_arrow_in_small_pieces(spark):
         assert (r.diagnostic.status, [s.name for s in r.symbols], [c.name for c in r.calls]) == (("failed", [], []) if k % 7 == 0 else ("parsed", [f"f{k}"], ["g"]))
 
 
-@pytest.mark.parametrize("lang", ["javascript", "rust", "arkts"])
+@pytest.mark.parametrize("lang", ["javascript", "rust", "c", "arkts"])
 def test_a_long_name_is_read_once(lang):
     from codeloom.parsing import extract
 
