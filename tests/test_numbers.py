@@ -17,7 +17,7 @@ def rows(df):
     return sorted(map(str, df.collect()))
 
 
-@pytest.mark.parametrize("name", ["entry_paths"])
+@pytest.mark.parametrize("name", ["entry_paths", "impact_files", "impact_labels"])
 def test_steps_write_no_text_and_edges_are_made_once(spark, monkeypatch, name):
     written, made = [], []
     monkeypatch.setattr(graph, "kept", lambda df, *old, real=graph.kept: written.append(df.dtypes) or real(df, *old))
@@ -29,7 +29,7 @@ def test_steps_write_no_text_and_edges_are_made_once(spark, monkeypatch, name):
     assert "world_top" not in plan  # read back, not made once more
 
 
-@pytest.mark.parametrize("name", ["entry_paths"])
+@pytest.mark.parametrize("name", ["entry_paths", "impact_files", "impact_labels"])
 def test_equals_sql(spark, name):
     con = duckdb.connect()
     for t in os.listdir(SF):
