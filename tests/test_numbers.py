@@ -29,7 +29,7 @@ def test_steps_write_no_text_and_edges_are_made_once(spark, monkeypatch, name):
     assert "world_top" not in plan  # read back, not made once more
 
 
-@pytest.mark.parametrize("name", ["entry_paths", "impact_files", "impact_labels"])
+@pytest.mark.parametrize("name", ["entry_paths", "impact_files", "impact_labels", "neighbourhood"])
 def test_equals_sql(spark, name):
     con = duckdb.connect()
     for t in os.listdir(SF):
@@ -52,3 +52,15 @@ def test_reach_is_impact_without_calls(spark):
         want = graph.impact(edges, changed, 3, ("c",))
         assert rows(got.select("c", "id", "depth", "strength")) == rows(want.select("c", "id", "depth", "strength"))
         assert got.where("depth = 3").count() > 10
+
+
+def test_neighbours_come_from_calls_dealt_out_by_owner(spark):
+    a = Adapter(spark, SF)
+    _, calls, ids = queries._by_number(a)
+    got = references.settled_neighbours(calls, a.files)
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "target_id" in text and "called-by" in text
+    name = {r.no: r.id for r in ids.collect()}
+    assert [name[n] for n in sorted(name)] == sorted(name.values())  # numbers keep the order of the ids
+    want = references.neighbours(queries._edges(a))
+    assert sorted((name[r.id], r.direction, name[r.other], r.label, r.line) for r in got.collect()) == sorted(map(tuple, want.collect()))
