@@ -54,6 +54,15 @@ def test_reach_is_impact_without_calls(spark):
         assert got.where("depth = 3").count() > 10
 
 
+def test_what_was_seen_is_told_after_paths_are_grouped(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(graph, "kept", lambda df, *old, real=graph.kept: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, *old))
+    links = spark.createDataFrame([(1, 0, 2), (2, 0, 1), (3, 1, 3), (3, 2, 1), (0, 3, 3)], "source_id long, target_id long, strength int")
+    got = graph.reach(links, spark.createDataFrame([(0,)], "id long")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 2), (2, 1, 1), (3, 2, 2)]
+    assert not any("LeftAnti" in p for p in plans)  # moved below the grouping, it would deal out every path
+
+
 def test_neighbours_come_from_calls_dealt_out_by_owner(spark):
     a = Adapter(spark, SF)
     _, calls, ids = queries._by_number(a)
